@@ -1,0 +1,19 @@
+"""Joining small results whose size is checked first."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_SMALL_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+    """The table for a broadcast if it has at most ``max_rows`` rows, else itself.
+
+    The rows fetched for the check are the broadcast table, so a small result
+    is computed once. A larger one is left to the join strategy Spark picks.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
