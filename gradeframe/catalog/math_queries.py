@@ -112,8 +112,8 @@ def normalize_answer(spark: SparkSession, folder: str) -> DataFrame:
 def parse_number(spark: SparkSession, folder: str) -> DataFrame:
     normal = answer_spellings(spark, folder).withColumn(
         "normal_form", equivalence.normalize_answer("answer_text"))
-    number = F.round(equivalence.parse_number("normal_form"), 6)
-    return normal.select(*ROW, "normal_form", number.alias("number"))
+    return scoring.parse_numbers(normal, "normal_form").select(
+        *ROW, "normal_form", F.round("number", 6).alias("number"))
 
 
 @query(f"SELECT {_ROW}, answer_text, gold, is_correct FROM {_JUDGED}")
@@ -191,14 +191,15 @@ def benchmark_summary(spark: SparkSession, folder: str) -> DataFrame:
     return summary.withColumns({**rounded("accuracy_any"), **flat}).drop("pass_at_k")
 
 
-@query(f"""SELECT benchmark, pass_1 AS pass_at_1, round(accuracy, 6) AS accuracy_any,
+@query(f"""SELECT benchmark, round(pass_1, 6) AS pass_at_1, round(accuracy, 6) AS accuracy_any,
     printf('%.2f%%', accuracy * 100) AS accuracy_shown, printf('%.4f', pass_1) AS pass_at_1_shown
-  FROM {_SUMMARY} JOIN {_mean_sql(1)} USING (benchmark)""")
+  FROM {_SUMMARY} JOIN (SELECT benchmark, avg(c / n) AS pass_1 FROM {_SCORES} GROUP BY benchmark)
+    USING (benchmark)""")
 def quick_results(spark: SparkSession, folder: str) -> DataFrame:
     scores = score_samples(math_rollouts(spark, folder))
     quick = scoring.quick_results(scoring.benchmark_summary(scores, ks=[1]))
     shown = {"accuracy_shown": passk.percent_text("accuracy_any"),
-             "pass_at_1_shown": passk.score_text(F.round("pass_at_1", 6))}
+             "pass_at_1_shown": passk.score_text("pass_at_1")}
     return quick.withColumns(shown).withColumns(rounded("pass_at_1", "accuracy_any"))
 
 

@@ -6,7 +6,6 @@ RE2 has no lookaround, so numbers and letters are found in other ways here.
 from __future__ import annotations
 
 from gradeframe.functions.choice import PHRASES
-from gradeframe.functions.equivalence import FLOAT
 from gradeframe.functions.text import SOFT_BREAKS, SPACE, WHITESPACE, char_class
 
 WS = f"'{WHITESPACE}'"
@@ -76,7 +75,9 @@ def normal(t: str) -> str:
     return f"rtrim({s}, '。．.!！；;，,')"
 
 
-_FLOAT = FLOAT.replace(r"\p{Nd}", "[0-9]")
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+_FLOAT = (rf"[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
+          r"|inf|infinity|nan)")
 
 
 def _double(x: str) -> str:
@@ -111,12 +112,17 @@ def choice(t: str, labels: str) -> str:
     line = f"""upper(list_filter(list_transform(string_split({t}, chr(10)), lambda l: trim(l, {WS})),
       lambda l: l <> '' AND list_contains({labels}, upper(l[1]))
         AND (length(l) = 1 OR NOT regexp_matches(l[2], '{letter}')))[1][1])"""
-    word = rf"""list_filter({labels}, lambda c:
-      regexp_matches({t}, '(?:^|[^\p{{L}}\p{{N}}_])' || c || '(?:$|[^\p{{L}}\p{{N}}_])'))[1]"""
+    # One constant pattern per letter; DuckDB compiles those once.
+    word, last = [], []
+    for c in "ABCDE":
+        alone = rf"(?:^|[^\p{{L}}\p{{N}}_]){c}(?:$|[^\p{{L}}\p{{N}}_])"
+        word.append(f"WHEN list_contains({labels}, '{c}') AND regexp_matches({t}, '{alone}') THEN '{c}'")
+        final = rf"(?s)^(?:.*[^\p{{L}}\p{{N}}])?{c}(?:[^\p{{L}}\p{{N}}{c}][^{c}]*)?$"
+        last.insert(0, f"WHEN list_contains({labels}, '{c}') "
+                       f"AND regexp_matches(upper({t}), '{final}') THEN '{c}'")
+    word, last = f"CASE {' '.join(word)} END", f"CASE {' '.join(last)} END"
     present = f"list_filter({labels}, lambda c: contains(upper({t}), c))"
     only = f"CASE WHEN len({present}) = 1 THEN {present}[1] END"
-    last = rf"""list_filter(list_reverse({labels}), lambda c: regexp_matches(upper({t}),
-      '(?s)^(?:.*[^\p{{L}}\p{{N}}])?' || c || '(?:[^\p{{L}}\p{{N}}' || c || '][^' || c || ']*)?$'))[1]"""
     return f"coalesce({', '.join(phrases)}, {line}, {word}, {only}, {last})"
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeframe.catalog import oracle
 from gradeframe.catalog.math_queries import rounded
 from gradeframe.catalog.registry import query
-from gradeframe.catalog.rollouts import LINE_ORDER, MATH_COLUMNS, MATH_OUTPUT, MATH_PARTS, MATH_SQL
+from gradeframe.catalog.rollouts import (
+    LINE_ORDER, MATH_COLUMNS, MATH_OUTPUT, MATH_PARTS, MATH_SQL, math_rollouts,
+)
 from gradeframe.functions import prompts
-from gradeframe.functions.equivalence import normalize_answer  # noqa: F401  (re-export for users)
 from gradeframe.operators import layout, prompting, rollouts, scoring
 from gradeframe.plans.math_eval import judged_samples
 from gradeframe.sources import discovery, jsonl, logs
@@ -183,7 +184,6 @@ _ALL_JUDGED = oracle.judged(
 @query(f"""SELECT example_id, line_no, part_key, supp_key, reward, advantage
   FROM {_advantage_sql(_ALL_JUDGED, 'example_id', 'stddev_samp')}""")
 def example_advantage(spark: SparkSession, folder: str) -> DataFrame:
-    from gradeframe.catalog.rollouts import math_rollouts
     rewarded = (judged_samples(math_rollouts(spark, folder))
                 .select("example_id", "line_no", "part_key", "supp_key",
                         F.col("is_correct").cast("double").alias("reward")))
@@ -236,9 +236,8 @@ def score_scan_json(spark: SparkSession, folder: str) -> DataFrame:
              .selectExpr("o_orderkey", *_LINE_PARTS)
              .select("o_orderkey", F.expr(_LINE).alias("value")))
     answers = jsonl.parse_answers(lines).withColumnRenamed("answer", "gold")
-    samples = layout.explode_samples(answers, "predicted_answers", "answer_text")
-    scores = scoring.example_scores(scoring.judge(samples), ["o_orderkey"])
-    return scoring.with_empty_examples(scores, answers, ["o_orderkey"])
+    samples = layout.explode_samples(answers, "predicted_answers", "answer_text", keep_empty=True)
+    return scoring.example_scores(scoring.judge(samples), ["o_orderkey"], position="sample_idx")
 
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (

@@ -19,14 +19,16 @@ CLOSING_PUNCTUATION = "。．.!！；;，,"
 TOLERANCE = 1e-6
 
 # Grammar of a float literal in lower case, as a conversion from text accepts it.
-_DIGITS = rf"{DIGIT}+(?:_{DIGIT}+)*"
+_DIGITS = rf"{DIGIT}++(?:_{DIGIT}++)*+"
 FLOAT = (
     rf"[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
-    r"|inf|infinity|nan)"
+    r"|inf(?:inity)?|nan)"
 )
-IS_FLOAT = rf"^{FLOAT}$"
-IS_FRACTION = rf"^{FLOAT}/{FLOAT}$"
-IS_PERCENT = rf"^{FLOAT}%$"
+# A number, a fraction of two numbers, or a percentage. The look at the first
+# character turns most words away without trying the grammar.
+NUMERIC = rf"^(?=[+\-.in{DIGIT}]){FLOAT}(?:/{FLOAT}|%)?$"
+# Spellings that a plain cast to double would not take.
+UNUSUAL = r"[^\x00-\x7f]|_|nan"
 
 # Decimal digits of other scripts and their values, from the character database.
 _FOREIGN_DIGITS = "".join(
@@ -46,45 +48,25 @@ def normalize_answer(answer: ColumnLike) -> Column:
     return F.rtrim(text, F.lit(CLOSING_PUNCTUATION))
 
 
-def _to_double(token: Column) -> Column:
-    """Value of a token already known to match ``FLOAT``."""
-    infinity = F.when(F.startswith(token, F.lit("-")), F.lit(float("-inf"))).otherwise(
-        F.lit(float("inf")))
-    plain = F.replace(token, F.lit("_"), F.lit(""))
-    ascii_digits = F.when(
-        F.rlike(plain, F.lit(r"[^\x00-\x7f]")),
-        F.translate(plain, _FOREIGN_DIGITS, _FOREIGN_VALUES)).otherwise(plain)
-    return (F.when(F.contains(token, F.lit("nan")), F.lit(float("nan")))
-            .when(F.contains(token, F.lit("inf")), infinity)
-            .otherwise(ascii_digits.try_cast("double")))
-
-
-def parse_fraction(text: ColumnLike) -> Column:
-    """``a/b`` with exactly one slash; NULL when b is zero."""
-    text = as_column(text)
-    return F.when(F.rlike(text, F.lit(IS_FRACTION)), F.try_divide(
-        _to_double(F.substring_index(text, "/", 1)),
-        _to_double(F.substring_index(text, "/", -1))))
-
-
-def parse_percent(text: ColumnLike) -> Column:
+def numeric_text(text: ColumnLike) -> Column:
+    """Castable spelling of a text in normal form, NULL if it is no number."""
     text = as_column(text)
-    return F.when(F.rlike(text, F.lit(IS_PERCENT)), _to_double(F.rtrim(text, F.lit("%"))) / 100)
+    # The underscore has no counterpart in the values, so it is dropped.
+    plain = F.translate(text, _FOREIGN_DIGITS + "_", _FOREIGN_VALUES)
+    usual = F.regexp_replace(plain, "[+-]nan", "nan")
+    return F.when(F.rlike(text, F.lit(NUMERIC)),
+                  F.when(F.rlike(text, F.lit(UNUSUAL)), usual).otherwise(text))
 
 
-def parse_float(text: ColumnLike) -> Column:
-    text = as_column(text)
-    return F.when(F.rlike(text, F.lit(IS_FLOAT)), _to_double(text))
-
-
-def parse_number(text: ColumnLike) -> Column:
-    """Fraction, percentage or plain number in normal form, else NULL.
-
-    The text is named many times; pass a column, not a long expression.
-    """
+def numeric_value(text: ColumnLike) -> Column:
+    """Value of a ``numeric_text``: a/b (NULL for b = 0), a% or plain."""
     text = as_column(text)
-    # Plain numbers are by far the most frequent; the three grammars exclude each other.
-    return F.coalesce(parse_float(text), parse_fraction(text), parse_percent(text))
+    ratio = F.try_divide(F.substring_index(text, "/", 1).try_cast("double"),
+                         F.substring_index(text, "/", -1).try_cast("double"))
+    return (F.when(F.contains(text, F.lit("/")), ratio)
+            .when(F.endswith(text, F.lit("%")),
+                  F.rtrim(text, F.lit("%")).try_cast("double") / 100)
+            .otherwise(text.try_cast("double")))
 
 
 def verdict(pred: ColumnLike, gold: ColumnLike, pred_number: ColumnLike, gold_number: ColumnLike,

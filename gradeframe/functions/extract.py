@@ -17,11 +17,13 @@ from gradeframe.functions.text import (
 # The patterns and the punctuation that define the answers.
 BOXED = r"\\boxed\{([^}]+)\}"
 LATEX_FRACTION = r"\\frac\{[^}]+\}\{[^}]+\}"
+# A marker takes the rest of its line; the answer ends at the first soft break.
+_REST_OF_LINE = rf"{SPACE}*({char_class(SOFT_BREAKS + chr(10), negate=True)}+).*"
 ANSWER_MARKERS = (
-    rf"(?iud)Answer:{SPACE}*(.+)",
-    rf"(?iud)答案[:：]{SPACE}*(.+)",
-    rf"(?iud)final answer is:?{SPACE}*(.+)",
-    rf"(?iud)最终答案[:：是]{SPACE}*(.+)",
+    rf"(?iud)Answer:{_REST_OF_LINE}",
+    rf"(?iud)答案[:：]{_REST_OF_LINE}",
+    rf"(?iud)final answer is:?{_REST_OF_LINE}",
+    rf"(?iud)最终答案[:：是]{_REST_OF_LINE}",
 )
 TRAILING_PUNCTUATION = "。.!！；;，,"
 
@@ -53,9 +55,7 @@ def strip_trailing_punctuation(text: ColumnLike) -> Column:
 
 
 def _marked(text: ColumnLike, pattern: str) -> Column:
-    first_line = F.regexp_extract(
-        strip(last_match(text, pattern)), f"^{char_class(SOFT_BREAKS, negate=True)}*", 0)
-    return blank_to_null(strip_trailing_punctuation(first_line))
+    return blank_to_null(strip_trailing_punctuation(last_match(text, pattern)))
 
 
 def marked_answer(text: ColumnLike) -> Column:

@@ -10,10 +10,16 @@ CHUNK = 4096
 
 
 def explode_samples(df: DataFrame, array: str = "outputs", value: str = "output",
-                    index: str = "sample_idx") -> DataFrame:
-    """One row per array element; examples with an empty array vanish."""
+                    index: str = "sample_idx", keep_empty: bool = False) -> DataFrame:
+    """One row per array element.
+
+    Examples with an empty array vanish, or stay as one row without a position.
+    The outer form also keeps Spark from testing the array size in a filter of
+    its own, which would compute a derived array twice.
+    """
     others = [c for c in df.columns if c != array]
-    return df.select(*others, F.posexplode(array).alias(index, value))
+    rows = df.select(*others, F.posexplode_outer(array).alias(index, value))
+    return rows if keep_empty else rows.where(F.col(index).isNotNull())
 
 
 def collect_samples(df: DataFrame, keys: Sequence[str], value: str, array: str,

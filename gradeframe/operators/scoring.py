@@ -27,12 +27,21 @@ def judge(df: DataFrame, pred: str = "answer_text", gold: str = "gold", name: st
     """
     gold_form = F.col(gold_normal) if gold_normal else equivalence.normalize_answer(gold)
     differ = F.col("__p") != F.col("__g")
-    return (df.withColumn("__p", equivalence.normalize_answer(pred)).withColumn("__g", gold_form)
-            .withColumn("__pn", F.when(differ, equivalence.parse_number("__p")))
-            .withColumn("__gn", F.when(F.col("__pn").isNotNull(),
-                                       equivalence.parse_number("__g")))
+    # Two more stages, so that a text is checked against the grammar once.
+    pred_text = F.when(differ, equivalence.numeric_text("__p"))
+    gold_text = F.when(F.col("__pt").isNotNull(), equivalence.numeric_text("__g"))
+    return (df.withColumns({"__p": equivalence.normalize_answer(pred), "__g": gold_form})
+            .withColumn("__pt", pred_text).withColumn("__gt", gold_text)
+            .withColumns({"__pn": equivalence.numeric_value("__pt"),
+                          "__gn": equivalence.numeric_value("__gt")})
             .withColumn(name, equivalence.verdict("__p", "__g", "__pn", "__gn", strict))
-            .drop("__p", "__g", "__pn", "__gn"))
+            .drop("__p", "__g", "__pt", "__gt", "__pn", "__gn"))
+
+
+def parse_numbers(df: DataFrame, text: str, name: str = "number") -> DataFrame:
+    """Add the value of a text in normal form, NULL if it is no number."""
+    return (df.withColumn("__text", equivalence.numeric_text(text))
+            .withColumn(name, equivalence.numeric_value("__text")).drop("__text"))
 
 
 def attach_gold(samples: DataFrame, questions: DataFrame, keys: Sequence[str],
@@ -47,11 +56,17 @@ def attach_gold(samples: DataFrame, questions: DataFrame, keys: Sequence[str],
     return join_unique(samples, side, keys, "inner", spread=spread, min_rows=min_rows)
 
 
-def example_scores(judged: DataFrame, keys: Sequence[str],
-                   verdict: str = "is_correct") -> DataFrame:
-    """Samples n and correct samples c of each example."""
-    return judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                     F.count_if(F.col(verdict)).alias("c"))
+def example_scores(judged: DataFrame, keys: Sequence[str], verdict: str = "is_correct",
+                   position: str | None = None) -> DataFrame:
+    """Samples n and correct samples c of each example.
+
+    With ``position``, a row without one stands for an example without samples.
+    """
+    if position is None:
+        n, right = F.count(F.lit(1)), F.col(verdict)
+    else:
+        n, right = F.count(position), F.col(verdict) & F.col(position).isNotNull()
+    return judged.groupBy(*keys).agg(n.alias("n"), F.count_if(right).alias("c"))
 
 
 def with_empty_examples(scores: DataFrame, questions: DataFrame,

@@ -32,18 +32,17 @@ def score_samples(samples: DataFrame, keys: Sequence[str] = ("benchmark", "examp
 def score_raw(raw: DataFrame, by: Sequence[str] = ("benchmark",),
               ks: Sequence[int] | None = None, on_short: str = "error") -> DataFrame:
     """Array-layout generations to one summary row per benchmark."""
-    keys = [*by, "example_id"]
-    samples = layout.explode_samples(raw.withColumnRenamed("answer", "gold"))
-    scores = scoring.with_empty_examples(score_samples(samples, keys), raw, keys)
+    samples = layout.explode_samples(raw.withColumnRenamed("answer", "gold"), keep_empty=True)
+    scores = scoring.example_scores(judged_samples(samples), [*by, "example_id"],
+                                    position="sample_idx")
     return scoring.benchmark_summary(scores, by, ks, on_short)
 
 
 def score_answers(answers: DataFrame, by: Sequence[str] = ("benchmark",),
                   ks: Sequence[int] | None = None, on_short: str = "error") -> DataFrame:
     """Already extracted answers to one summary row per benchmark."""
-    keys = [*by, "example_id"]
-    samples = layout.explode_samples(
-        answers.withColumnRenamed("answer", "gold"), "predicted_answers", "answer_text")
-    counted = scoring.example_scores(scoring.judge(samples), keys)
-    scores = scoring.with_empty_examples(counted, answers, keys)
+    samples = layout.explode_samples(answers.withColumnRenamed("answer", "gold"),
+                                     "predicted_answers", "answer_text", keep_empty=True)
+    scores = scoring.example_scores(scoring.judge(samples), [*by, "example_id"],
+                                    position="sample_idx")
     return scoring.benchmark_summary(scores, by, ks, on_short)

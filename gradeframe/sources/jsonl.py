@@ -105,8 +105,11 @@ def parse_answers(lines: DataFrame, value: str = "value") -> DataFrame:
                  .when(F.col("__kind") == "missing", F.array().cast("array<string>"))
                  .when(F.col("__kind") == "null", F.array(F.lit(None).cast("string")))
                  .otherwise(one))
-    return (lines.where(F.rlike(F.col(value), F.lit(r"\S")))
-            .withColumn("__variant", F.parse_json(value)).withColumn("__field", field)
+    filled = F.rlike(F.col(value), F.lit(r"\S"))
+    # Guarded twice: a filter does not promise to be tested before the parser runs.
+    return (lines.where(filled)
+            .withColumn("__variant", F.when(filled, F.parse_json(value)))
+            .withColumn("__field", field)
             .withColumn("__kind", kind).withColumn("__raw", raw)
             .withColumn("answer", F.when(no_answer, F.lit("")).otherwise(F.col("__raw.answer")))
             .withColumn("predicted_answers", predicted)
