@@ -218,7 +218,7 @@ _WITH_EMPTY = f"""(SELECT q.benchmark, q.example_id, coalesce(n, 0) AS n, coales
   LEFT JOIN {_SCORES} s USING (benchmark, example_id))"""
 
 
-@query(f"""SELECT benchmark, count(*) AS total_examples, count(*) FILTER (WHERE n = 0) AS empty_examples,
+@query(f"""SELECT benchmark, count(*) AS total_examples,
     count(*) FILTER (WHERE c > 0) AS correct_at_least_once,
     round(count(*) FILTER (WHERE c > 0) / count(*), 6) AS accuracy_any,
     round(avg({oracle.pass_at_k('n', 'c', '1')}) FILTER (WHERE n > 0), 6) AS pass_at_1
@@ -232,11 +232,9 @@ def passk_empty_examples(spark: SparkSession, folder: str) -> DataFrame:
     scores = scoring.with_empty_examples(
         scoring.example_scores(scoring.judge(with_gold, gold_normal="gold_normal"), keys),
         questions, keys)
-    counts = scores.groupBy("benchmark").agg(F.count_if(F.col("n") == 0).alias("empty_examples"))
-    first = scoring.pass_at_k_by(scores, ks=[1]).select("benchmark",
-                                                        F.col("pass_at_k").alias("pass_at_1"))
-    return (scoring.accuracy_any(scores).join(counts, "benchmark").join(first, "benchmark", "left")
-            .withColumns(rounded("accuracy_any", "pass_at_1")))
+    first = F.try_element_at("pass_at_k", F.lit("pass@1"))
+    return (scoring.benchmark_summary(scores, ks=[1]).withColumn("pass_at_1", first)
+            .drop("pass_at_k").withColumns(rounded("accuracy_any", "pass_at_1")))
 
 
 _BINOMIAL = ("CASE WHEN 2 > c THEN 0.0 ELSE "

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradeframe.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -15,7 +18,11 @@ ORACLES: dict[str, str] = {}
 def query(sql: str) -> Callable[[Query], Query]:
     """Register a query under its function name."""
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        @wraps(function)
+        def tuned(spark: SparkSession, folder: str) -> DataFrame:
+            return function(tune(spark), folder)
+
+        QUERIES[function.__name__] = tuned
         ORACLES[function.__name__] = sql
         return function
     return register

@@ -12,9 +12,9 @@ DEFAULT_LABELS = ("A", "B", "C", "D", "E")
 # possessive, because nothing that may follow a gap is part of one.
 _GAP = char_class(WHITESPACE + ":") + "*+"
 PHRASES = (
-    rf"(?:answer|Answer|ANSWER){_GAP}(?:(?:is|IS){_GAP})?\(?([A-E])",
-    rf"(?:correct|Correct|CORRECT){_GAP}(?:(?:answer|option|choice){_GAP})?\(?([A-E])",
-    rf"(?:option|Option|OPTION|choice|Choice|CHOICE){_GAP}\(?([A-E])",
+    rf"(?:[aA]nswer|ANSWER){_GAP}(?:(?:is|IS){_GAP})?\(?([A-E])",
+    rf"(?:[cC]orrect|CORRECT){_GAP}(?:(?:answer|option|choice){_GAP})?\(?([A-E])",
+    rf"(?:[oO]ption|OPTION|[cC]hoice|CHOICE){_GAP}\(?([A-E])",
     r"\(([A-E])\)",
     r"\[([A-E])\]",
 )
@@ -32,11 +32,15 @@ def _first_common(candidates: Column, allowed: Column) -> Column:
     return F.try_element_at(F.array_intersect(candidates, allowed), F.lit(1))
 
 
+def _if_label(letter: Column, labels: Column) -> Column:
+    """The letter if it is a label, else NULL, naming the letter once."""
+    return F.get(labels, (F.array_position(labels, letter) - 1).cast("int"))
+
+
 def phrase_choice(text: ColumnLike, labels: Column) -> Column:
     """Letter of the first phrase whose first match names a valid label."""
     text = as_column(text)
-    return F.coalesce(*[
-        _first_common(F.array(F.regexp_extract(text, p, 1)), labels) for p in PHRASES])
+    return F.coalesce(*[_if_label(F.regexp_extract(text, p, 1), labels) for p in PHRASES])
 
 
 def line_choice(text: ColumnLike, labels: Column) -> Column:

@@ -8,16 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def crossover(curve: DataFrame, small: str, large: str, by: Sequence[str] = ("benchmark",),
               model: str = "model", k: str = "k", value: str = "pass_at_k") -> DataFrame:
-    """Smallest k at which the small model beats the large one, NULL if never."""
-    ours = curve.where(F.col(model) == small).select(*by, k, F.col(value).alias("small_value"))
-    theirs = curve.where(F.col(model) == large).select(*by, k, F.col(value).alias("large_value"))
-    ahead = F.col("small_value") > F.col("large_value")
-    return (ours.join(theirs, [*by, k]).groupBy(*by)
+    """Smallest k at which the small model beats the large one, NULL if never.
+
+    Both curves are laid side by side in one aggregation, so the metric is
+    computed once. Only ks that both models have are compared.
+    """
+    def of(name: str) -> Column:
+        return F.max(F.when(F.col(model) == name, F.col(value)))
+
+    pairs = (curve.where(F.col(model).isin(small, large)).groupBy(*by, k)
+             .agg(of(small).alias("__small"), of(large).alias("__large"))
+             .where(F.col("__small").isNotNull() & F.col("__large").isNotNull()))
+    ahead = F.col("__small") > F.col("__large")
+    return (pairs.groupBy(*by)
             .agg(F.min(F.when(ahead, F.col(k))).alias("crossover_k"),
                  F.count_if(ahead).alias("ks_ahead"), F.count(F.lit(1)).alias("ks_compared"))
             .withColumns({"small_model": F.lit(small), "large_model": F.lit(large)}))
@@ -26,10 +34,13 @@ def crossover(curve: DataFrame, small: str, large: str, by: Sequence[str] = ("be
 def delta_to_baseline(metrics: DataFrame, baseline: str, on: Sequence[str],
                       method: str = "method", value: str = "value",
                       scale: float = 1.0) -> DataFrame:
-    """Difference of every other method to the baseline, ``scale`` 100 for points."""
-    base = (metrics.where(F.col(method) == baseline)
-            .select(*on, F.col(value).alias("baseline_value")))
-    return (metrics.where(F.col(method) != baseline).join(base, list(on))
+    """Difference of every other method to the baseline, ``scale`` 100 for points.
+
+    A window over one metric cell, whose rows are the methods compared.
+    """
+    base = F.max(F.when(F.col(method) == baseline, F.col(value))).over(Window.partitionBy(*on))
+    return (metrics.withColumn("baseline_value", base)
+            .where((F.col(method) != baseline) & F.col("baseline_value").isNotNull())
             .withColumn("delta", (F.col(value) - F.col("baseline_value")) * scale))
 
 

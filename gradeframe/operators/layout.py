@@ -37,11 +37,13 @@ def collect_samples(df: DataFrame, keys: Sequence[str], value: str, array: str,
             .select(*keys, "part", F.transform("__pairs", lambda p: p[value]).alias(array)))
 
 
-def explode_range(df: DataFrame, last: str, name: str, block: int = CHUNK) -> DataFrame:
-    """Rows 1..last for each input row, via blocks, so no long array is built."""
-    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(last) - 1) / block))
-    upper = F.least((F.col("__block") + 1) * block, F.col(last).cast("long"))
-    return (df.where(F.col(last) >= 1)
+def explode_range(df: DataFrame, last: str, name: str, first: int = 1,
+                  block: int = CHUNK) -> DataFrame:
+    """Rows first..last for each input row, via blocks, so no long array is built."""
+    end = F.col(last).cast("long")
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((end - first) / block))
+    lower = F.col("__block") * block + first
+    return (df.where(F.col(last) >= first)
             .withColumn("__block", F.explode(blocks))
-            .withColumn(name, F.explode(F.sequence(F.col("__block") * block + 1, upper)))
+            .withColumn(name, F.explode(F.sequence(lower, F.least(lower + (block - 1), end))))
             .drop("__block"))

@@ -89,15 +89,52 @@ def _k_array(ks: Sequence[int]) -> Column:
     return F.array(*[F.lit(int(k)).cast("long") for k in ks])
 
 
-def score_histogram(scores: DataFrame, by: Sequence[str] = ("benchmark",)) -> DataFrame:
-    """Number of examples per (n, c)."""
-    return scores.groupBy(*by, "n", "c").agg(F.count(F.lit(1)).alias("examples"))
+def score_histogram(scores: DataFrame, by: Sequence[str] = ("benchmark",),
+                    order_by: str | None = None) -> DataFrame:
+    """Number of examples per (n, c), with the first example if an order is named."""
+    first = [F.min(order_by).alias("first_example")] if order_by else []
+    return scores.groupBy(*by, "n", "c").agg(F.count(F.lit(1)).alias("examples"), *first)
 
 
-def _checked(k: str = "k", n: str = "n") -> Column:
+def _short_of(k: str = "k", n: str = "n") -> Column:
     message = F.concat(F.lit("an example has only "), F.col(n).cast("string"),
                        F.lit(" samples, Pass@"), F.col(k).cast("string"), F.lit(" is undefined"))
-    return F.when(F.col(n) < F.col(k), F.raise_error(message).cast("double"))
+    return F.when((F.col(n) > 0) & (F.col(n) < F.col(k)), F.raise_error(message).cast("double"))
+
+
+def _with_ks(scores: DataFrame, by: list[str], ks: Sequence[int] | None, order_by: str,
+             start: Sequence[int]) -> DataFrame:
+    """Histogram rows times k; ``start`` adds further values in front."""
+    if ks is not None:
+        return score_histogram(scores, by).withColumn("k", F.explode(_k_array([*start, *ks])))
+    histogram = score_histogram(scores, by, order_by)
+    grouped = by or ["__all"]
+    if not by:
+        histogram = histogram.withColumn("__all", F.lit(0))
+    # The list is 1..n of the first example that has samples.
+    first = (histogram.where("n > 0").groupBy(*grouped)
+             .agg(F.min_by("n", "first_example").alias("__n")))
+    ranged = (histogram.drop("first_example").join(first, grouped, "left")
+              .withColumn("__last", F.coalesce("__n", F.lit(0))))
+    return explode_range(ranged, "__last", "k", first=min([*start, 1]))
+
+
+def _mean_at_k(scores: DataFrame, by: list[str], ks: Sequence[int] | None, on_short: str,
+               order_by: str, start: Sequence[int] = ()) -> DataFrame:
+    if on_short not in ("error", "drop", "clamp"):
+        raise ValueError(f"on_short must be error, drop or clamp, not {on_short!r}")
+    ranged = _with_ks(scores, by, ks, order_by, start)
+    value = passk.pass_at_k("n", "c", "k")
+    if on_short == "error":
+        value = F.coalesce(_short_of(), value)
+    counted = F.col("n") > 0
+    if on_short == "drop":
+        counted = counted & (F.col("k") <= F.col("n"))
+    weight = F.when(counted, F.col("examples"))
+    return (ranged.withColumn("__value", value).groupBy(*by, "k")
+            .agg(F.try_divide(F.sum(F.col("__value") * weight), F.sum(weight)).alias("pass_at_k"),
+                 F.sum("examples").alias("examples"),
+                 F.sum(F.when(F.col("c") > 0, F.col("examples")).otherwise(0)).alias("hits")))
 
 
 def pass_at_k_by(scores: DataFrame, by: Sequence[str] = ("benchmark",),
@@ -109,27 +146,8 @@ def pass_at_k_by(scores: DataFrame, by: Sequence[str] = ("benchmark",),
     ``on_short`` says what happens to an example with fewer than k samples:
     'error' raises, 'drop' leaves it out of that k, 'clamp' uses its own n.
     """
-    if on_short not in ("error", "drop", "clamp"):
-        raise ValueError(f"on_short must be error, drop or clamp, not {on_short!r}")
-    filled = scores.where("n > 0")
-    if not by:
-        filled = filled.withColumn("__all", F.lit(0))
-    groups = list(by) or ["__all"]
-    histogram = score_histogram(filled, groups)
-    if ks is not None:
-        ranged = histogram.withColumn("k", F.explode(_k_array(ks)))
-    else:
-        first = filled.groupBy(*groups).agg(F.min_by("n", order_by).alias("__first_n"))
-        ranged = explode_range(histogram.join(first, groups), "__first_n", "k")
-    value = passk.pass_at_k("n", "c", "k")
-    if on_short == "drop":
-        ranged = ranged.where("k <= n")
-    elif on_short == "error":
-        value = F.coalesce(_checked(), value)
-    return (ranged.withColumn("__value", value)
-            .groupBy(*by, "k")
-            .agg((F.sum(F.col("__value") * F.col("examples")) / F.sum("examples"))
-                 .alias("pass_at_k")))
+    means = _mean_at_k(scores, list(by), ks, on_short, order_by)
+    return means.where("pass_at_k IS NOT NULL").select(*by, "k", "pass_at_k")
 
 
 def accuracy_any(scores: DataFrame, by: Sequence[str] = ("benchmark",)) -> DataFrame:
@@ -141,25 +159,35 @@ def accuracy_any(scores: DataFrame, by: Sequence[str] = ("benchmark",)) -> DataF
         F.coalesce(F.try_divide(hit, total), F.lit(0.0)).alias("accuracy_any"))
 
 
+def _k_map(pairs: Column) -> Column:
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(
+        F.concat(F.lit("pass@"), p["k"].cast("string")), p["pass_at_k"])))
+
+
 def pass_at_k_map(table: DataFrame, by: Sequence[str] = ("benchmark",)) -> DataFrame:
     """Fold long Pass@k rows into one ``pass@k -> value`` map, in order of k."""
     pairs = F.array_sort(F.collect_list(F.struct("k", "pass_at_k")))
-    entry = F.transform(pairs, lambda p: F.struct(
-        F.concat(F.lit("pass@"), p["k"].cast("string")), p["pass_at_k"]))
-    return table.groupBy(*by).agg(F.map_from_entries(entry).alias("pass_at_k"))
+    return table.groupBy(*by).agg(_k_map(pairs).alias("pass_at_k"))
 
 
 def benchmark_summary(scores: DataFrame, by: Sequence[str] = ("benchmark",),
-                      ks: Sequence[int] | None = None, on_short: str = "error") -> DataFrame:
+                      ks: Sequence[int] | None = None, on_short: str = "error",
+                      order_by: str = "example_id") -> DataFrame:
     """One row per benchmark with counts, accuracy and the Pass@k map.
 
-    A benchmark whose examples all lack samples keeps its counts and an empty map.
+    Everything comes from one pass over the histogram: k = 0 carries the counts
+    over all examples. A benchmark whose examples all lack samples keeps its
+    counts and an empty map.
     """
-    by = list(by)
-    curve = pass_at_k_map(pass_at_k_by(scores, by, ks, on_short), by)
-    empty = F.from_json(F.lit("{}"), "map<string,double>")
-    return (accuracy_any(scores, by).join(curve, by, "left")
-            .withColumn("pass_at_k", F.coalesce("pass_at_k", empty)))
+    means = _mean_at_k(scores, list(by), ks, on_short, order_by, start=[0])
+    filled = (F.col("k") > 0) & F.col("pass_at_k").isNotNull()
+    pairs = F.array_sort(F.collect_list(F.when(filled, F.struct("k", "pass_at_k"))))
+    total = F.max(F.when(F.col("k") == 0, F.col("examples")))
+    hits = F.max(F.when(F.col("k") == 0, F.col("hits")))
+    return (means.groupBy(*by)
+            .agg(total.alias("total_examples"), hits.alias("correct_at_least_once"),
+                 F.coalesce(F.try_divide(hits, total), F.lit(0.0)).alias("accuracy_any"),
+                 _k_map(pairs).alias("pass_at_k")))
 
 
 def quick_results(summary: DataFrame, by: Sequence[str] = ("benchmark",)) -> DataFrame:

@@ -6,7 +6,13 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# The JVM only interprets methods above 8000 bytes of byte code. Long chains of
+# text expressions fuse into such methods; with this limit Spark runs the chain
+# operator by operator instead, each compiled in small pieces.
+METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
 SETTINGS = {
+    METHOD_LIMIT[0]: METHOD_LIMIT[1],
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -16,6 +22,13 @@ SETTINGS = {
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the method limit to a session that has not chosen its own."""
+    if spark.conf.get(METHOD_LIMIT[0], "65535") == "65535":
+        spark.conf.set(*METHOD_LIMIT)
+    return spark
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g",
                   name: str = "gradeframe", **extra: str) -> SparkSession:
     """A single-machine session for tests and benchmarks.
