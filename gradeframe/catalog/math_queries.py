@@ -304,14 +304,16 @@ def mean_delta(spark: SparkSession, folder: str) -> DataFrame:
     return curves.mean_delta(_deltas(spark, folder), ["model"]).withColumns(rounded("mean_delta"))
 
 
-_STEP_CURVE = f"""(SELECT step, avg(c / n) AS pass_at_1
-  FROM {_scores_sql('step', 'benchmark', 'example_id')} GROUP BY step)"""
+_STEP_CURVE = f"""(SELECT benchmark, step, avg(c / n) AS pass_at_1
+  FROM {_scores_sql('step', 'benchmark', 'example_id')} GROUP BY benchmark, step)"""
 
 
-@query(f"""SELECT step, round(pass_at_1, 6) AS pass_at_1,
-  round(pass_at_1 - lag(pass_at_1) OVER (ORDER BY step), 6) AS change FROM {_STEP_CURVE}""")
+@query(f"""SELECT benchmark, step, round(pass_at_1, 6) AS pass_at_1,
+  round(pass_at_1 - lag(pass_at_1) OVER (PARTITION BY benchmark ORDER BY step), 6) AS change
+  FROM {_STEP_CURVE}""")
 def metric_by_step(spark: SparkSession, folder: str) -> DataFrame:
     scores = score_samples(math_rollouts(spark, folder), ["step", "benchmark", "example_id"])
-    curve = (scoring.pass_at_k_by(scores, ["step"], ks=[1]).drop("k")
+    curve = (scoring.pass_at_k_by(scores, ["benchmark", "step"], ks=[1]).drop("k")
              .withColumnRenamed("pass_at_k", "pass_at_1"))
-    return curves.step_delta(curve, "pass_at_1").withColumns(rounded("pass_at_1", "change"))
+    return curves.step_delta(curve, "pass_at_1", ["benchmark"]).withColumns(
+        rounded("pass_at_1", "change"))

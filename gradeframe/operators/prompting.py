@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gradeframe.operators.sizes import broadcast_if_small
+from gradeframe.operators.skew import join_same
 
 # Sampling parameters per mode and token limits per benchmark.
 SAMPLING = (
@@ -107,7 +108,7 @@ def run_config(prompts: DataFrame, by: Sequence[str], k: int, prompt: str = "pro
     runs = prompts.groupBy(*by).agg(F.min(order_by).alias(order_by),
                                     F.count(F.lit(1)).alias("examples"))
     first = prompts.select(*by, order_by, F.col(prompt).alias("first_prompt"))
-    return (first.join(broadcast_if_small(runs), [*by, order_by])
+    return (join_same(first, broadcast_if_small(runs), [*by, order_by], "inner")
             .withColumn("samples_per_example", F.lit(int(k)))
             .withColumn("generations", F.col("examples") * k)
             .drop(order_by))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gradeframe.functions.passk import annealing_weight
-from gradeframe.operators.skew import MIN_HOT_ROWS, join_unique
+from gradeframe.operators.skew import hot_keys, join_same, key_hash
 
 EXPLORER, LEARNER = "explorer", "learner"
 
@@ -58,27 +58,31 @@ def mixed_group(rollouts: DataFrame, keys: Sequence[str], order_by: Sequence[str
 
 def group_advantage(rollouts: DataFrame, keys: Sequence[str], reward: str = "reward",
                     std: str = "pop", name: str = "advantage", bounded: bool = False,
-                    min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                    min_rows: int | None = None) -> DataFrame:
     """(reward - mean) / standard deviation within the group, 0 where it is 0.
 
-    Groups built by ``mixed_group`` are bounded and may use a window. In general
-    the two moments are aggregated with map-side combine and joined back, which
-    holds for groups of any size.
+    Groups of ordinary size take one window. The rows of hot groups, if there
+    are any, are aggregated with map-side combine instead, and the few moments
+    are broadcast back to them. ``bounded`` skips the search for hot groups,
+    for groups built by ``mixed_group``.
     """
     if std not in ("pop", "samp"):
         raise ValueError(f"std must be pop or samp, not {std!r}")
     deviation = F.stddev_pop(reward) if std == "pop" else F.stddev_samp(reward)
-    keys = list(keys)
-    if bounded:
-        window = Window.partitionBy(*keys)
-        with_moments = rollouts.withColumns({
-            "__mean": F.avg(reward).over(window), "__std": deviation.over(window)})
-    else:
-        moments = rollouts.groupBy(*keys).agg(F.avg(reward).alias("__mean"),
-                                              deviation.alias("__std"))
-        with_moments = join_unique(rollouts, moments, keys, min_rows=min_rows)
+    moments = {"__mean": F.avg(reward), "__std": deviation}
+    hot = [] if bounded else hot_keys(rollouts, keys, min_rows)
+    is_hot = key_hash(keys).isin([h.key_hash for h in hot])
+
+    window = Window.partitionBy(*keys)
+    cold = rollouts.where(~is_hot) if hot else rollouts
+    scored = cold.withColumns({n: m.over(window) for n, m in moments.items()})
+    if hot:
+        rows = rollouts.where(is_hot)
+        # At most MAX_HOT groups.
+        few = F.broadcast(rows.groupBy(*keys).agg(*[m.alias(n) for n, m in moments.items()]))
+        scored = scored.unionByName(join_same(rows, few, keys, "inner"))
     scaled = F.try_divide(F.col(reward) - F.col("__mean"), F.col("__std"))
     # A group of equal rewards can carry a rounding residue instead of a clean 0.
     flat = F.coalesce(F.abs("__std") < 1e-12, F.lit(True))
-    return (with_moments.withColumn(name, F.when(flat, F.lit(0.0)).otherwise(scaled))
+    return (scored.withColumn(name, F.when(flat, F.lit(0.0)).otherwise(scaled))
             .drop("__mean", "__std"))

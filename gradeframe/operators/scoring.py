@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions import equivalence, passk
 from gradeframe.operators.layout import explode_range
-from gradeframe.operators.skew import MIN_HOT_ROWS, join_unique
+from gradeframe.operators.skew import join_unique
 
 
 def judge(df: DataFrame, pred: str = "answer_text", gold: str = "gold", name: str = "is_correct",
@@ -46,7 +46,7 @@ def parse_numbers(df: DataFrame, text: str, name: str = "number") -> DataFrame:
 
 def attach_gold(samples: DataFrame, questions: DataFrame, keys: Sequence[str],
                 gold: str = "gold", spread: Sequence[str] | None = None,
-                min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                min_rows: int | None = None) -> DataFrame:
     """Bring the gold answer and its normal form to each sample.
 
     Gold answers are normalised once per question, before the join.

@@ -3,9 +3,10 @@
 A key is hot when it holds more than ``1 / MAX_HOT`` of all rows. There can
 never be more than ``MAX_HOT`` of those, whatever the size of the data, so the
 list of hot keys is safe to bring to the driver and to broadcast. Detection is
-one pass over the key columns with a frequent-items sketch: partial sketches
-are merged, keys are not shuffled. The sketch only decides how rows are spread;
-results are exact with any list of hot keys.
+one pass over the key columns with a frequent-items sketch: keys are not
+shuffled, and sketches are merged in two levels, so that no task has to take the
+sketches of all input tasks. The sketch only decides how rows are spread; results
+are exact with any list of hot keys.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
-MAX_HOT = 2000
+MAX_HOT = 1000
 MIN_HOT_ROWS = 2_000_000
-_SKETCH_ITEMS = 32_768
+# Enough for an error well below the share of a hot key; about 100 kB per task.
+_SKETCH_ITEMS = 8192
+_MERGE_GROUPS = 512
 
 _HASH, _SPLITS, _SALT, _SLICE = "__key_hash", "__splits", "__salt", "__slice"
 
@@ -34,13 +37,17 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> list[HotKey]:
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> list[HotKey]:
     """Keys too large for one task, at most ``MAX_HOT`` of them."""
-    sketch = (df.select(key_hash(keys).alias("h"))
-              .agg(F.expr(f"approx_top_k(h, {MAX_HOT}, {_SKETCH_ITEMS})").alias("top"),
-                   F.count(F.lit(1)).alias("total"))
+    merger = F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS))
+    sketch = (df.select(key_hash(keys).alias("h"), merger.alias("merger"))
+              .groupBy("merger")
+              .agg(F.expr(f"approx_top_k_accumulate(h, {_SKETCH_ITEMS})").alias("part"),
+                   F.count(F.lit(1)).alias("rows"))
+              .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(part), {MAX_HOT})").alias("top"),
+                   F.sum("rows").alias("total"))
               .first())
-    limit = max(min_rows, ceil(sketch["total"] / MAX_HOT))
+    limit = max(MIN_HOT_ROWS if min_rows is None else min_rows, ceil((sketch["total"] or 0) / MAX_HOT))
     return [HotKey(r["item"], r["count"], ceil(r["count"] / limit))
             for r in (sketch["top"] or []) if r["count"] > limit]
 
@@ -50,8 +57,17 @@ def _hot_frame(df: DataFrame, hot: list[HotKey]) -> DataFrame:
         [(h.key_hash, h.splits) for h in hot], f"{_HASH} long, {_SPLITS} int")
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys where NULL equals NULL, as in a grouping; left's columns come first."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"__right_{k}"])
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-                spread: Sequence[str] | None = None, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                spread: Sequence[str] | None = None, min_rows: int | None = None) -> DataFrame:
     """Equi-join of many left rows with at most one right row per key.
 
     Left rows of a hot key are salted over several tasks by a hash of the
@@ -77,7 +93,7 @@ def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str,
-                  min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                  min_rows: int | None = None) -> DataFrame:
     """Zero-based position of a row in its group, in ``order_by`` order.
 
     ``order_by`` must be unique within a group. Groups of ordinary size take one
@@ -100,13 +116,8 @@ def with_position(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], n
                .groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("__rows"))
                .withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
                .drop("__rows"))
-    renamed = offsets.select(*[F.col(k).alias(f"__o_{k}") for k in keys],
-                             F.col(_SLICE).alias("__o_slice"), "__before")
-    numbered = sliced.withColumn("__local", local)
-    same = numbered[_SLICE] == renamed["__o_slice"]
-    for k in keys:
-        same = same & numbered[k].eqNullSafe(renamed[f"__o_{k}"])
-    return (numbered.join(F.broadcast(renamed), same, "left")
+    return (join_same(sliced.withColumn("__local", local), F.broadcast(offsets),
+                      [*keys, _SLICE], "left")
             .withColumn(name, (F.col("__local") - 1 + F.coalesce("__before", F.lit(0)))
                         .cast("long"))
             .select(*df.columns, name))
