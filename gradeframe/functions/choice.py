@@ -85,3 +85,13 @@ def last_bounded(upper_text: ColumnLike, reversed_text: ColumnLike, present: Col
 
     hits = F.filter(F.transform(F.reverse(as_column(present)), locate), bounded)
     return F.try_element_at(hits, F.lit(1))["label"]
+
+
+def choice_letter(text: ColumnLike, labels: Column) -> Column:
+    """All rules as one expression, for use on array elements."""
+    upper = F.upper(as_column(text))
+    present = labels_present(upper, labels)
+    return F.coalesce(
+        phrase_choice(text, labels), line_choice(text, labels), word_choice(text, labels),
+        F.when(F.size(present) == 1, F.get(present, F.lit(0))),
+        F.when(F.size(present) > 1, last_bounded(upper, F.reverse(upper), present)))

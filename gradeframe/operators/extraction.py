@@ -35,6 +35,21 @@ def extract_answers(df: DataFrame, text: str = "output", answer: str = "answer_t
             .drop(*[f"__{rule}" for rule in rules]))
 
 
+def extract_answer_arrays(df: DataFrame, outputs: str = "outputs",
+                          answers: str = "predicted_answers", balanced: bool = False) -> DataFrame:
+    """Extraction in array layout: rows stay whole, nothing is regrouped."""
+    return df.withColumn(answers, F.transform(
+        outputs, lambda text: extract.extract_answer(text, balanced)))
+
+
+def extract_choice_arrays(df: DataFrame, outputs: str = "outputs", labels: str | None = None,
+                          answers: str = "predicted_answers") -> DataFrame:
+    """Choice letters in array layout."""
+    valid = F.col(labels) if labels else choice.default_labels()
+    return df.withColumn(answers, F.transform(
+        outputs, lambda text: choice.choice_letter(text, valid)))
+
+
 def extract_choices(df: DataFrame, text: str = "output", labels: str | None = None,
                     answer: str = "choice") -> DataFrame:
     """Add the choice letter, NULL where none is recognised.

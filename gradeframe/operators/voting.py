@@ -98,7 +98,25 @@ def any_extracted(answers: Column) -> Column:
 
 
 def array_majority(answers: Column) -> Column:
-    """Struct (votes, order, winner) of the majority answer, NULL for no samples."""
-    return F.array_max(F.transform(answers, lambda a, i: F.struct(
+    """Struct (votes, order, winner) of the majority answer, NULL for no samples.
+
+    Distinct answers keep the order of their first appearance, which is the
+    order in which ties are resolved.
+    """
+    return F.array_max(F.transform(F.array_distinct(answers), lambda a, i: F.struct(
         F.size(F.filter(answers, lambda x: x.eqNullSafe(a))).alias("votes"),
         (-i).alias("order"), a.alias("winner"))))
+
+
+def array_accuracy(items: DataFrame, by: Sequence[str], key: str = "answer_key",
+                   answers: str = "predicted_answers") -> DataFrame:
+    """The nine statistics from array layout; only the final counts are shuffled."""
+    given, wanted = F.col(answers), F.col(key)
+    majority = (F.size(given) > 0) & array_majority(given)["winner"].eqNullSafe(wanted)
+    counts = items.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(first_right(given, wanted)).alias("pass_at_1"),
+        F.count_if(any_right(given, wanted)).alias("pass_at_k"),
+        F.count_if(majority).alias("majority_vote_correct"),
+        F.count_if(any_extracted(given)).alias("extraction_success"))
+    return rates(counts)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.functions import prompts
-from gradeframe.operators import extraction, layout, prompting, voting
+from gradeframe.operators import extraction, prompting, voting
 
 
 def choice_prompts(items: DataFrame, mode: str, k: int) -> DataFrame:
@@ -16,14 +16,14 @@ def choice_prompts(items: DataFrame, mode: str, k: int) -> DataFrame:
     return prompting.with_choice_sampling(moded.withColumn("messages", messages), k)
 
 
+def choice_results(raw: DataFrame) -> DataFrame:
+    """Array-layout generations with the letter of each sample."""
+    return extraction.extract_choice_arrays(raw, labels="choices.label")
+
+
 def score_choice_raw(raw: DataFrame, by: Sequence[str] = ("benchmark",)) -> DataFrame:
     """Array-layout choice generations to the statistics per benchmark."""
-    keys = [*by, "example_id"]
-    items = (raw.withColumn("labels", F.col("choices.label"))
-             .withColumnRenamed("answerKey", "answer_key"))
-    samples = layout.explode_samples(items.select(*keys, "labels", "answer_key", "outputs"))
-    return voting.choice_accuracy(extraction.extract_choices(samples, labels="labels"),
-                                  by, keys, items=items)
+    return voting.array_accuracy(choice_results(raw), by, key="answerKey")
 
 
 def checkpoint_curve(samples: DataFrame, keys: Sequence[str],

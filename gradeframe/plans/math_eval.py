@@ -17,6 +17,16 @@ def math_prompts(items: DataFrame, mode: str, k: int) -> DataFrame:
         moded.withColumn("messages", prompts.chat_messages("question", "mode")), k)
 
 
+def run_log(prompt_table: DataFrame, model_path: str, run_ts: str, k: int,
+            prompt: str = "prompt", order_by: str = "example_id") -> DataFrame:
+    """One row per benchmark of a run: parameters, counts and the first prompt."""
+    named = prompt_table.withColumns({
+        "model": prompts.model_name(F.lit(model_path)), "run_ts": F.lit(run_ts)})
+    by = ["model", "run_ts", "benchmark", "mode", "temperature", "top_p", "top_k",
+          "presence_penalty", "max_tokens"]
+    return prompting.run_config(named, by, k, prompt, order_by)
+
+
 def judged_samples(samples: DataFrame, balanced: bool = False, strict: bool = False) -> DataFrame:
     """Long samples with ``output`` and ``gold`` to verdicts."""
     extracted = extraction.extract_answers(samples, balanced=balanced)

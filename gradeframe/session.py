@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # The JVM only interprets methods above 8000 bytes of byte code. Long chains of
@@ -44,6 +42,4 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gradeframe-"))
     return spark

@@ -79,8 +79,14 @@ def read_choice_results(spark: SparkSession, path: str | Sequence[str]) -> DataF
     return _read(spark, path, CHOICE_RESULT_SCHEMA)
 
 
-def read_answers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Extracted answers, whatever shape their fields have."""
+def read_answers(spark: SparkSession, path: str | Sequence[str],
+                 arrays_only: bool = False) -> DataFrame:
+    """Extracted answers, whatever shape their fields have.
+
+    ``arrays_only`` is the quick way for files known to hold nothing but arrays.
+    """
+    if arrays_only:
+        return _read(spark, path, "answer string, predicted_answers array<string>")
     lines = spark.read.text(path).withColumn("example_id", F.monotonically_increasing_id())
     return parse_answers(lines)
 

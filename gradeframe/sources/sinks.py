@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,6 +12,11 @@ from gradeframe.operators.layout import collect_samples
 RUN_KEYS = ("model", "run_ts")
 
 
+def run_timestamp(moment: datetime) -> str:
+    """Twelve-digit run id; taken once on the driver and passed in as a literal."""
+    return moment.strftime("%y%m%d%H%M%S")
+
+
 def append_generations(samples: DataFrame, path: str, by: Sequence[str] = RUN_KEYS,
                        format: str = "parquet") -> None:
     """Append a batch of generations; earlier batches are never rewritten."""
@@ -26,7 +32,7 @@ def write_run(df: DataFrame, path: str, by: Sequence[str] = RUN_KEYS,
 
 def write_answers(samples: DataFrame, path: str, keys: Sequence[str] = ("question", "answer"),
                   answer: str = "answer_text", by: Sequence[str] = ("benchmark",)) -> None:
-    """Extracted answers as JSON lines, one example per line.
+    """Extracted answers of long samples as JSON lines, one example per line.
 
     An example beyond the chunk size of the array layout continues in lines of
     higher ``part``; the others have no such field.
@@ -36,6 +42,11 @@ def write_answers(samples: DataFrame, path: str, keys: Sequence[str] = ("questio
     _json(lines.drop("example_id"), path, by)
 
 
+def write_answer_arrays(answers: DataFrame, path: str, by: Sequence[str] = ("benchmark",)) -> None:
+    """Extracted answers already in array layout as JSON lines."""
+    _json(answers.select(*by, "question", "answer", "predicted_answers"), path, by)
+
+
 def write_choice_results(results: DataFrame, path: str, by: Sequence[str] = ("benchmark",)) -> None:
     """Choice results as JSON lines; NULL answers stay in their place."""
     _json(results, path, by)

@@ -87,6 +87,13 @@ def test_raw_to_answers_to_results(spark, tmp_path):
     assert "part" not in back.columns
     assert rows(back.select("question", "predicted_answers", "benchmark")) == [
         ("What is 2+2?", ["4", "4"], "test"), ("ünï", [r"\frac{14}{3}", "é"], "test")]
+    arrays = str(tmp_path / "arrays")
+    sinks.write_answer_arrays(extraction.extract_answer_arrays(generations), arrays)
+    assert rows(spark.read.json(arrays).select("question", "predicted_answers").where(
+        "size(predicted_answers) > 0")) == rows(back.select("question", "predicted_answers"))
+    quick = jsonl.read_answers(spark, arrays + "/benchmark=test", arrays_only=True)
+    assert math_eval.score_answers(quick.withColumn("benchmark", F.lit("test"))).first()[
+        "total_examples"] == 3
     summary = math_eval.score_raw(generations)
     row = summary.first()
     assert (row["total_examples"], row["correct_at_least_once"]) == (3, 2)
@@ -134,6 +141,18 @@ def test_run_config_log(spark, tmp_path):
     assert rows(logged.select("first_prompt", "examples", "generations")) == [("p1", 3, 12)] * 2
 
 
+def test_run_log(spark):
+    from datetime import datetime
+    items = spark.createDataFrame([(i, f"q{i}", b) for b in ("aime24", "math500") for i in (2, 1)],
+                                  "example_id long, question string, benchmark string")
+    table = math_eval.math_prompts(items, "think", k=32).withColumn("prompt", F.col("messages")[0]["content"])
+    stamp = sinks.run_timestamp(datetime(2025, 10, 25, 12, 14, 5))
+    log = math_eval.run_log(table, "/models/M-8B/", stamp, 32)
+    assert rows(log.select("model", "run_ts", "benchmark", "max_tokens", "first_prompt", "generations")) == [
+        ("M-8B", "251025121405", "aime24", 38912, "q1 /think", 64),
+        ("M-8B", "251025121405", "math500", 32768, "q1 /think", 64)]
+
+
 def test_benchmark_discovery(spark, tmp_path):
     out = str(tmp_path / "data")
     spark.createDataFrame([("aime24", 1), ("other", 2)], "benchmark string, v int").write.partitionBy(

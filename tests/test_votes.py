@@ -67,6 +67,24 @@ def test_statistics(spark, parts):
     assert list(arrays) == want
 
 
+def test_array_statistics_and_results(spark):
+    draw = random.Random(8)
+    answers = [[draw.choice(["A", "B", None]) for _ in range(draw.randrange(0, 6))] for _ in range(200)]
+    keys = [draw.choice("AB") for _ in answers]
+    df = items(spark, answers, keys)
+    row = voting.array_accuracy(df, ["benchmark"], answers="predicted").first()
+    assert [row[c] for c in voting.COUNTS] == plain(answers, keys)
+
+
+def test_letters_in_both_layouts(spark):
+    from gradeframe.operators.extraction import extract_choice_arrays, extract_choices
+    from test_choice import GOLDEN
+    df = spark.createDataFrame([(0, [c[0] for c in GOLDEN])], "i int, outputs array<string>")
+    arrays = extract_choice_arrays(df).first()["predicted_answers"]
+    long = extract_choices(layout.explode_samples(df)).orderBy("sample_idx").collect()
+    assert arrays == [r["choice"] for r in long] == [c[1] for c in GOLDEN]
+
+
 def test_null_key_matches_null_answer(spark):
     df = items(spark, [[None, "A"], ["A"], []], [None, None, None])
     row = voting.choice_accuracy(samples(df), ["benchmark"], ["example_id"], items=df).first()
