@@ -9,7 +9,7 @@ from gradeframe.catalog.registry import query
 from gradeframe.catalog.rollouts import MATH_SQL, SPELLING_SQL, answer_spellings, math_rollouts
 from gradeframe.functions import equivalence, extract, passk
 from gradeframe.operators import curves, extraction, layout, scoring
-from gradeframe.plans.math_eval import judged_samples, score_samples
+from gradeframe.plans.math_eval import example_curves, judged_samples, score_samples
 from gradeframe.sources.discovery import only_benchmarks
 from gradeframe.sources.tables import spread, table
 
@@ -137,8 +137,7 @@ def example_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""SELECT benchmark, example_id, n, c, k, round({oracle.pass_at_k('n', 'c', 'k')}, 6)
   AS pass_at_k FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM {_SCORES})""")
 def passk_per_example(spark: SparkSession, folder: str) -> DataFrame:
-    scores = score_samples(math_rollouts(spark, folder))
-    return scoring.example_pass_at_k(scores).withColumns(rounded("pass_at_k"))
+    return example_curves(math_rollouts(spark, folder)).withColumns(rounded("pass_at_k"))
 
 
 @query(f"""SELECT benchmark, k, round(avg({oracle.pass_at_k('n', 'c', 'k')}), 6) AS pass_at_k

@@ -37,13 +37,21 @@ def collect_samples(df: DataFrame, keys: Sequence[str], value: str, array: str,
             .select(*keys, "part", F.transform("__pairs", lambda p: p[value]).alias(array)))
 
 
-def explode_range(df: DataFrame, last: str, name: str, first: int = 1,
-                  block: int = CHUNK) -> DataFrame:
-    """Rows first..last for each input row, via blocks, so no long array is built."""
+def explode_range(df: DataFrame, last: str, name: str, first: int = 1, block: int = CHUNK,
+                  spread: bool = False) -> DataFrame:
+    """Rows first..last for each input row, via blocks, so no long array is built.
+
+    ``spread`` shuffles the blocks, so that a range of billions is produced by
+    many tasks; without it the task of the input row produces all of them.
+    """
     end = F.col(last).cast("long")
     blocks = F.sequence(F.lit(0).cast("long"), F.floor((end - first) / block))
     lower = F.col("__block") * block + first
-    return (df.where(F.col(last) >= first)
-            .withColumn("__block", F.explode(blocks))
+    blocked = df.where(F.col(last) >= first).withColumn("__block", F.explode(blocks))
+    if spread:
+        # A fixed number: AQE would merge the blocks, which are small until expanded.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocked = blocked.repartition(tasks, *df.columns, "__block")
+    return (blocked
             .withColumn(name, F.explode(F.sequence(lower, F.least(lower + (block - 1), end))))
             .drop("__block"))

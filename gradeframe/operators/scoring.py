@@ -76,10 +76,15 @@ def with_empty_examples(scores: DataFrame, questions: DataFrame,
             .withColumns({"n": F.coalesce("n", F.lit(0)), "c": F.coalesce("c", F.lit(0))}))
 
 
-def example_pass_at_k(scores: DataFrame, ks: Sequence[int] | None = None) -> DataFrame:
-    """Pass@k of each example for k = 1..n, or for the given ks clamped to n."""
+def example_pass_at_k(scores: DataFrame, ks: Sequence[int] | None = None,
+                      spread: bool = False) -> DataFrame:
+    """Pass@k of each example for k = 1..n, or for the given ks clamped to n.
+
+    ``spread`` is for examples with so many samples that their rows of k should
+    come from more than one task.
+    """
     if ks is None:
-        ranged = explode_range(scores, "n", "k")
+        ranged = explode_range(scores, "n", "k", spread=spread)
     else:
         ranged = scores.where("n > 0").withColumn("k", F.explode(_k_array(ks)))
     return ranged.withColumn("pass_at_k", passk.pass_at_k("n", "c", "k"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.functions import prompts
 from gradeframe.operators import extraction, layout, prompting, scoring
+from gradeframe.operators.skew import hot_keys
 
 
 def math_prompts(items: DataFrame, mode: str, k: int) -> DataFrame:
@@ -39,6 +40,13 @@ def score_samples(samples: DataFrame, keys: Sequence[str] = ("benchmark", "examp
     return scoring.example_scores(judged_samples(samples, **options), keys)
 
 
+def example_curves(samples: DataFrame, keys: Sequence[str] = ("benchmark", "example_id"),
+                   min_rows: int | None = None) -> DataFrame:
+    """Pass@1..n of each example, spread over tasks if an example is very large."""
+    hot = hot_keys(samples, keys, min_rows)
+    return scoring.example_pass_at_k(score_samples(samples, keys), spread=bool(hot))
+
+
 def score_raw(raw: DataFrame, by: Sequence[str] = ("benchmark",),
               ks: Sequence[int] | None = None, on_short: str = "error") -> DataFrame:
     """Array-layout generations to one summary row per benchmark."""

@@ -74,5 +74,9 @@ def test_ranges_without_long_arrays(spark):
     got = layout.explode_range(df, "last", "k", block=4).groupBy("id").agg(
         F.count("k"), F.min("k"), F.max("k"), F.count_distinct("k"))
     assert rows(got) == [(1, 10, 1, 10, 10), (3, 1, 1, 1, 1), (4, 9000, 1, 9000, 9000)]
+    wide = layout.explode_range(df, "last", "k", block=4, spread=True)
+    assert rows(wide.groupBy("id").agg(F.count("k"), F.min("k"), F.max("k"), F.count_distinct("k"))) == rows(got)
+    per_task = wide.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_task < 4500
     zero = layout.explode_range(df, "last", "k", first=0, block=4).groupBy("id").agg(F.count("k"))
     assert rows(zero) == [(1, 11), (2, 1), (3, 2), (4, 9001)]
