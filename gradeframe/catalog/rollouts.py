@@ -107,9 +107,11 @@ def _named(columns: dict[str, str]) -> list[str]:
 
 def lines(spark: SparkSession, folder: str, positions: bool = False) -> DataFrame:
     """Order lines, numbered within their order if positions are asked for."""
-    wanted = ["l_orderkey", *LINE_ORDER]
-    df = spread(table(spark, folder, "lineitem").select(*wanted), "l_orderkey")
-    return with_position(df, ["l_orderkey"], LINE_ORDER, "sample_idx") if positions else df
+    df = table(spark, folder, "lineitem").select("l_orderkey", *LINE_ORDER)
+    if positions:
+        # Numbering distributes the lines itself.
+        return with_position(df, ["l_orderkey"], LINE_ORDER, "sample_idx")
+    return spread(df, "l_orderkey")
 
 
 def _derive(df: DataFrame, columns: dict[str, str], parts: dict[str, str], output: str,
