@@ -10,7 +10,8 @@ from pyspark.sql import Column, functions as F
 from gradeframe.functions.text import DIGIT, WHITESPACE, ColumnLike, as_column, strip
 
 # Fixed values of the normal form.
-FRACTION_MARKUP = r"frac\{([^}]+)\}\{([^}]+)\}"
+# Behind the bar: an opening that is no fraction, stepped over up to its brace.
+FRACTION_MARKUP = r"frac\{([^}]++)\}\{([^}]++)\}|(frac\{[^}]++(?:\}|\z))"
 DIGIT_COMMA = rf"({DIGIT}),({DIGIT})"
 # Up to three wrapping pairs of parentheses, outermost count first.
 WRAPPING = r"^\(\(\((.*)\)\)\)$|^\(\((.*)\)\)$|^\((.*)\)$"
@@ -36,12 +37,26 @@ _FOREIGN_DIGITS = "".join(
 _FOREIGN_VALUES = "".join(str(unicodedata.decimal(c)) for c in _FOREIGN_DIGITS)
 
 
+# Code points that Unicode reserves for use inside a program.
+_OPEN, _BAR, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def _rewrite_fractions(text: Column) -> Column:
+    """``frac{a}{b}`` to ``a/b``, and drop dollar signs.
+
+    One replacement serves both alternatives of the pattern; a stepped-over
+    opening is recognised by its empty numerator and denominator.
+    """
+    marked = F.regexp_replace(text, FRACTION_MARKUP, f"{_OPEN}$1{_BAR}$2{_CLOSE}$3")
+    restored = F.replace(marked, F.lit(_OPEN + _BAR + _CLOSE), F.lit(""))
+    return F.translate(restored, _BAR + "$" + _OPEN + _CLOSE, "/")
+
+
 def normalize_answer(answer: ColumnLike) -> Column:
     """Comparison form of an answer; NULL becomes ''."""
     text = F.lower(strip(F.coalesce(as_column(answer).cast("string"), F.lit(""))))
     text = F.translate(text, WHITESPACE + "\\", "")
-    text = F.regexp_replace(text, FRACTION_MARKUP, "$1/$2")
-    text = F.replace(text, F.lit("$"), F.lit(""))
+    text = _rewrite_fractions(text)
     text = F.regexp_replace(text, DIGIT_COMMA, "$1$2")
     text = F.ltrim(text, F.lit("="))
     text = F.regexp_replace(text, WRAPPING, "$1$2$3")

@@ -11,12 +11,13 @@ from pyspark.sql import Column, functions as F
 
 from gradeframe.functions.text import (
     DIGIT, SOFT_BREAKS, SPACE, WHITESPACE, ColumnLike, as_column, blank_to_null, char_class,
-    last_match, strip,
+    last_found, last_match, strip,
 )
 
 # The patterns and the punctuation that define the answers.
-BOXED = r"\\boxed\{([^}]+)\}"
-LATEX_FRACTION = r"\\frac\{[^}]+\}\{[^}]+\}"
+# Behind the bar: openings that never close or go on, which are stepped over.
+BOXED = r"\\boxed\{([^}]++)\}|\\boxed\{[^}]++\z"
+LATEX_FRACTION = r"(\\frac\{[^}]++\}\{[^}]++\})|\\frac\{[^}]++(?:\}|\z)"
 # A marker takes the rest of its line; the answer ends at the first soft break.
 _REST_OF_LINE = rf"{SPACE}*({char_class(SOFT_BREAKS + chr(10), negate=True)}+).*"
 ANSWER_MARKERS = (
@@ -43,11 +44,11 @@ STRATEGIES = ("boxed", "fraction", "marker", "number", "last_line")
 
 def boxed_answer(text: ColumnLike, balanced: bool = False) -> Column:
     """Content of the last box. ``balanced`` keeps nested braces together."""
-    return strip(last_match(text, BALANCED_BOXED if balanced else BOXED))
+    return strip(last_found(text, BALANCED_BOXED if balanced else BOXED))
 
 
 def latex_fraction(text: ColumnLike) -> Column:
-    return last_match(text, LATEX_FRACTION, 0)
+    return last_found(text, LATEX_FRACTION)
 
 
 def strip_trailing_punctuation(text: ColumnLike) -> Column:

@@ -52,3 +52,13 @@ def last_match(text: ColumnLike, pattern: str, group: int = 1) -> Column:
     """Last of all non-overlapping matches, NULL if there is none."""
     matches = F.regexp_extract_all(as_column(text), F.lit(pattern), F.lit(group))
     return F.try_element_at(matches, F.lit(-1))
+
+
+def last_found(text: ColumnLike, pattern: str) -> Column:
+    """Last match in which group 1 took part, NULL if there is none.
+
+    For patterns whose further alternatives only step over text that cannot
+    match, so that no stretch of a degenerate text is scanned again and again.
+    """
+    groups = F.regexp_extract_all(as_column(text), F.lit(pattern), F.lit(1))
+    return F.try_element_at(F.array_remove(groups, F.lit("")), F.lit(-1))

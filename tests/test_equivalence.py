@@ -1,8 +1,11 @@
 """Normal form, number parsing, equivalence."""
 
 import math
+import re
+import time
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 
 from gradeframe.functions import equivalence
 from gradeframe.operators.scoring import judge, parse_numbers
@@ -23,6 +26,25 @@ def test_normal_form(spark):
     assert got == [c[1] for c in NORMAL]
 
 
+PIECES = st.lists(st.sampled_from(["frac{", "\\frac{", "{", "}", "}{", "}", "1", "$", "/"]),
+                  max_size=14).map("".join)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(PIECES, min_size=300, max_size=300))
+def test_fractions_agree_with_python(spark, texts):
+    want = [re.sub(r"frac\{([^}]+)\}\{([^}]+)\}", r"\1/\2", t.replace("\\", "")).replace("$", "")
+            for t in texts]
+    assert apply(spark, equivalence.normalize_answer("t"), texts) == want
+
+
+def test_repetition_loops_take_linear_time(spark):
+    start = time.monotonic()
+    verdicts(spark, [(p, "1") for p in ("frac{" * 200_000, "frac{" * 200_000 + "}", "frac{1}{" * 100_000,
+                                        "(" * 500_000, "1," * 300_000, "1_" * 300_000, "9" * 500_000)])
+    assert time.monotonic() - start < 30
+
+
 NUMBERS = [
     ("42", 42.0), ("-1.5e3", -1500.0), ("1.", 1.0), (".5", 0.5), ("2/3", 2 / 3), ("50%", 0.5),
     ("1/0", None), ("0/0", None), ("1/2/3", None), ("1_000", 1000.0), ("1__0", None), ("_1", None),

@@ -1,11 +1,12 @@
 """Answer extraction: golden rows, quirks and agreement with Python's regex engine."""
 
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from gradeframe.functions import extract
+from gradeframe.functions import extract, text
 from gradeframe.operators.extraction import extract_answers
 from helpers import apply
 
@@ -91,23 +92,27 @@ def test_golden(spark, rule):
 def test_marker_ignores_case_as_python_does(spark):
     texts = ["anſwer: 5", "ANSWER: 6", "Fınal answer is 7", "FİNAL ANSWER IS: 8"]
     want = []
-    for text in texts:
-        found = (re.findall(r"Answer:\s*(.+)", text, re.I)
-                 or re.findall(r"final answer is:?\s*(.+)", text, re.I))
+    for t in texts:
+        found = (re.findall(r"Answer:\s*(.+)", t, re.I)
+                 or re.findall(r"final answer is:?\s*(.+)", t, re.I))
         want.append(found[-1] if found else None)
     assert apply(spark, extract.marked_answer("t"), texts) == want
 
 
 # Our pattern, the plain spelling for Python, and the group that holds the match.
 PATTERNS = [
-    (extract.BOXED, r"\\boxed\{([^}]+)\}", 1),
     (extract.FRACTION_NUMBER, r"-?\d+/\d+", 0),
     (extract.DECIMAL_NUMBER, r"(?<![\d])(-?\d+\.\d+)(?![\d])", 0),
     (extract.INTEGER_NUMBER, r"(?<![\d])(-?\d+)(?![\d\.])", 0),
 ]
+FOUND = [
+    (extract.BOXED, r"\\boxed\{([^}]+)\}"),
+    (extract.LATEX_FRACTION, r"(\\frac\{[^}]+\}\{[^}]+\})"),
+]
 TEXT = st.lists(st.sampled_from(
-    ["1", "23", "-", ".", "/", ",", " ", "a", "\n", "\\boxed{", "}", "٣", "²", "\x85"]),
-    max_size=12).map("".join)
+    ["1", "23", "-", ".", "/", ",", " ", "a", "\n", "٣", "²", "\x85"]), max_size=12).map("".join)
+BRACES = st.lists(st.sampled_from(["\\boxed{", "\\frac{", "{", "}", "}", "1", "\n"]),
+                  max_size=14).map("".join)
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
@@ -119,6 +124,23 @@ def test_patterns_agree_with_python(spark, texts):
         assert got == want, plain
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(BRACES, min_size=300, max_size=300))
+def test_brace_patterns_agree_with_python(spark, texts):
+    for ours, plain in FOUND:
+        got = apply(spark, text.last_found("t", ours), texts)
+        want = [next(iter(re.findall(plain, t)[::-1]), None) for t in texts]
+        assert got == want, plain
+
+
+def test_repetition_loops_take_linear_time(spark):
+    loops = [r"\frac{" * 200_000, r"\boxed{" * 200_000, r"\frac{" * 200_000 + "}", r"\frac{1}{" * 100_000,
+             "Answer: " * 100_000, "-" * 500_000, "1." * 200_000, "答案" * 200_000]
+    start = time.monotonic()
+    apply(spark, extract.extract_answer("t"), loops)
+    assert time.monotonic() - start < 30
+
+
 def test_staged_strategies_equal_the_cascade(spark):
     texts = [c[0] for _, cases in GOLDEN.values() for c in cases]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, output string")
