@@ -102,7 +102,7 @@ def judged(source: str, pred: str, gold: str) -> str:
         FROM (SELECT *, {normal(pred)} AS p, {normal(gold)} AS g FROM {source})))"""
 
 
-def choice(t: str, labels: str) -> str:
+def choice(t: str, labels: str, order: str = "ABCDE") -> str:
     phrases = []
     for pattern in PHRASES:
         plain = pattern.replace("*+", "*")
@@ -114,7 +114,7 @@ def choice(t: str, labels: str) -> str:
         AND (length(l) = 1 OR NOT regexp_matches(l[2], '{letter}')))[1][1])"""
     # One constant pattern per letter; DuckDB compiles those once.
     word, last = [], []
-    for c in "ABCDE":
+    for c in order:
         alone = rf"(?:^|[^\p{{L}}\p{{N}}_]){c}(?:$|[^\p{{L}}\p{{N}}_])"
         word.append(f"WHEN list_contains({labels}, '{c}') AND regexp_matches({t}, '{alone}') THEN '{c}'")
         final = rf"(?s)^(?:.*[^\p{{L}}\p{{N}}])?{c}(?:[^\p{{L}}\p{{N}}{c}][^{c}]*)?$"

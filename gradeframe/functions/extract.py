@@ -19,7 +19,9 @@ from gradeframe.functions.text import (
 BOXED = r"\\boxed\{([^}]++)\}|\\boxed\{[^}]++\z"
 LATEX_FRACTION = r"(\\frac\{[^}]++\}\{[^}]++\})|\\frac\{[^}]++(?:\}|\z)"
 # A marker takes the rest of its line; the answer ends at the first soft break.
-_REST_OF_LINE = rf"{SPACE}*({char_class(SOFT_BREAKS + chr(10), negate=True)}+).*"
+# A lone soft break is a blank answer, which hands over to the next marker.
+_REST_OF_LINE = (rf"{SPACE}*({char_class(SOFT_BREAKS + chr(10), negate=True)}+"
+                 rf"|{char_class(SOFT_BREAKS)}).*")
 ANSWER_MARKERS = (
     rf"(?iud)Answer:{_REST_OF_LINE}",
     rf"(?iud)答案[:：]{_REST_OF_LINE}",

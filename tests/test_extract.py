@@ -46,6 +46,8 @@ GOLDEN = {
         ("Answer: a\rb\x85c", "a"),
         ("Answer: 42. .", "42."),
         ("Answer: 1\rAnswer: 2", "1"),
+        ("Answer: 5\nAnswer:\r", None),
+        ("Answer: 5\nAnswer: ", None),
     ]),
     "number": (lambda: extract.last_number("t"), [
         ("The answer is 42 and that's final", "42"),
