@@ -15,6 +15,8 @@ FRACTION_MARKUP = r"frac\{([^}]++)\}\{([^}]++)\}|(frac\{[^}]++(?:\}|\z))"
 DIGIT_COMMA = rf"({DIGIT}),({DIGIT})"
 # Up to three wrapping pairs of parentheses, outermost count first.
 WRAPPING = r"^\(\(\((.*)\)\)\)$|^\(\((.*)\)\)$|^\((.*)\)$"
+# Plain numbers, fractions and words, which none of the rules changes.
+NORMAL_ALREADY = r"^[-a-z0-9]++(?:[./][-a-z0-9]++)*+\z"
 CLOSING_PUNCTUATION = "。．.!！；;，,"
 
 TOLERANCE = 1e-6
@@ -53,8 +55,16 @@ def _rewrite_fractions(text: Column) -> Column:
 
 
 def normalize_answer(answer: ColumnLike) -> Column:
-    """Comparison form of an answer; NULL becomes ''."""
-    text = F.lower(strip(F.coalesce(as_column(answer).cast("string"), F.lit(""))))
+    """Comparison form of an answer; NULL becomes ''.
+
+    The answer is named twice; pass a column, not a long expression.
+    """
+    given = F.coalesce(as_column(answer).cast("string"), F.lit(""))
+    return F.when(F.rlike(given, F.lit(NORMAL_ALREADY)), given).otherwise(_normalize(given))
+
+
+def _normalize(text: Column) -> Column:
+    text = F.lower(strip(text))
     text = F.translate(text, WHITESPACE + "\\", "")
     text = _rewrite_fractions(text)
     text = F.regexp_replace(text, DIGIT_COMMA, "$1$2")
