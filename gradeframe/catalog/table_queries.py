@@ -81,19 +81,17 @@ def sample_fanout(spark: SparkSession, folder: str) -> DataFrame:
     return prompting.fan_out(_user_turns(spark, folder).select("conv_id", "turn"), k=4)
 
 
-def _counting_generator():
-    def answer(texts: list[str]) -> list[list[str]]:
-        return [[f"Answer: {len(t) + i}" for i in range(3)] for t in texts]
-    return answer
-
-
 @query(f"""SELECT conv_id, turn, sample_idx,
     'Answer: ' || (length(text || ' ' || {_SUFFIX}) + sample_idx) AS output
   FROM (SELECT *, unnest(range(0, 3))::INT AS sample_idx FROM {_USER_TURNS})""")
 def generate_stub(spark: SparkSession, folder: str) -> DataFrame:
     turns = _user_turns(spark, folder).select(
         "conv_id", "turn", prompts.user_content("question", "mode").alias("prompt"))
-    return prompting.generate(turns, _counting_generator, batch_size=64)
+
+    def make_generator():
+        return lambda texts: [[f"Answer: {len(t) + i}" for i in range(3)] for t in texts]
+
+    return prompting.generate(turns, make_generator, batch_size=64)
 
 
 @query("""SELECT lang, mode, first_prompt, examples, 4 AS samples_per_example,

@@ -69,34 +69,35 @@ def generate(prompts: DataFrame, make_generator: Callable[[], Generator], prompt
     ``make_generator`` runs once per Python worker task and returns a function
     from a list of prompts to a list of k texts per prompt. Output rows keep the
     other columns, so results are tied to their prompt by key. ``batch_size``
-    bounds a call; by default a call takes one Arrow batch.
+    bounds a call; by default a call takes one Arrow batch. A generator from a
+    module of its own has to be shipped to the workers like any Python code.
     """
     kept = [f for f in prompts.schema.fields if f.name != prompt]
     schema = T.StructType(kept + [T.StructField("sample_idx", T.IntegerType()),
                                   T.StructField("output", T.StringType())])
     names = [f.name for f in kept]
 
+    # Nested, so that it travels by value: workers need not have this package installed.
+    def call(model: Generator, part: pd.DataFrame) -> pd.DataFrame:
+        texts = model(part[prompt].tolist())
+        if len(texts) != len(part):
+            raise ValueError(f"generator returned {len(texts)} results for {len(part)} prompts")
+        repeats = [len(t) for t in texts]
+        out = part[names].loc[part.index.repeat(repeats)].reset_index(drop=True)
+        out["sample_idx"] = [i for t in texts for i in range(len(t))]
+        out["output"] = [s for t in texts for s in t]
+        return out.astype({"sample_idx": "int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_generator()
         for batch in batches:
             size = batch_size or max(len(batch), 1)
             for start in range(0, len(batch), size):
-                yield _call(model, batch.iloc[start:start + size], prompt, names)
+                yield call(model, batch.iloc[start:start + size])
 
     return prompts.mapInPandas(run, schema)
 
 
-def _call(model: Generator, part: pd.DataFrame, prompt: str, names: list[str]) -> pd.DataFrame:
-    texts = model(part[prompt].tolist())
-    if len(texts) != len(part):
-        raise ValueError(f"generator returned {len(texts)} results for {len(part)} prompts")
-    repeats = [len(t) for t in texts]
-    out = part[names].loc[part.index.repeat(repeats)].reset_index(drop=True)
-    out["sample_idx"] = [i for t in texts for i in range(len(t))]
-    out["output"] = [s for t in texts for s in t]
-    return out.astype({"sample_idx": "int32"})
-
-
 def run_config(prompts: DataFrame, by: Sequence[str], k: int, prompt: str = "prompt",
                order_by: str = "example_id") -> DataFrame:
     """Run log: prompt and generation counts and the first prompt of each run.

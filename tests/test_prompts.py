@@ -1,5 +1,9 @@
 """Prompts, sampling parameters, fan-out and batch generation."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +74,20 @@ def test_generation_checks_the_result(spark):
     df = spark.createDataFrame([(1, "p")], "example_id int, prompt string")
     with pytest.raises(Exception, match="0 results for 1 prompts"):
         prompting.generate(df, lambda: lambda texts: []).collect()
+
+
+SCRIPT = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from gradeframe.session import local_session
+from gradeframe.catalog import QUERIES
+print("rows", QUERIES["generate_stub"](local_session(1), "/root/testdata/sf0.001").count())
+"""
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", SCRIPT, root], cwd=tmp_path, env=env, timeout=120,
+                          capture_output=True, text=True)
+    assert "rows 144" in done.stdout, done.stderr[-500:]
