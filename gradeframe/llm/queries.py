@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import chat_format, mixing, secrets
-from gradeframe.llm.common import table
+from gradeframe.llm import chat_format, mixing, quality_gam, secrets
+from gradeframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,14 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(prefix) FILTER (role = 'assistant' OR i = turns)::BIGINT AS formatted_chars
 FROM p GROUP BY conv_id
 """
+
+
+@query
+def op4_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by an additive model with pairwise interactions."""
+    docs = table(spark, folder, "documents")
+    model = quality_gam.train(docs, table(spark, folder, "labels"))
+    return docs.select(
+        "doc_id", held_out(F.col("doc_id"), 0).alias("held_out"),
+        quality_gam.score(F.col("text"), model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int"))
