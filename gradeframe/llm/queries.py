@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import chat_format, mixing, quality_gam, secrets
+from gradeframe.llm import chat_format, language_crf, mixing, quality_gam, secrets
 from gradeframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,12 @@ def op4_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id"), 0).alias("held_out"),
         quality_gam.score(F.col("text"), model).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op5_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by a linear-chain conditional random field."""
+    docs = table(spark, folder, "documents")
+    found = language_crf.identify(F.col("text"), language_crf.train(docs))
+    return docs.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"),
+                       found.alias("found")).select("doc_id", "held_out", "found.*")
