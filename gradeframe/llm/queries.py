@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import chat_format, language_crf, mixing, quality_gam, secrets
+from gradeframe.llm import bpe, chat_format, language_crf, mixing, quality_gam, secrets
 from gradeframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,16 @@ def op5_language_crf(spark: SparkSession, folder: str) -> DataFrame:
     found = language_crf.identify(F.col("text"), language_crf.train(docs))
     return docs.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"),
                        found.alias("found")).select("doc_id", "held_out", "found.*")
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded by a public byte-level vocabulary and decoded again."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
