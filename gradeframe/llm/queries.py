@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import bpe, chat_format, language_crf, mixing, quality_gam, secrets
+from gradeframe.llm import bpe, chat_format, language_crf, mixing, near_dup, quality_gam, secrets
 from gradeframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,9 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
+@query
+def op9_minhash_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components over 2-word shingles at similarity 0.8."""
+    return near_dup.near_duplicates(table(spark, folder, "documents"), size=2, percent=80)
