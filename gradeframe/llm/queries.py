@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import bpe, chat_format, language_crf, mixing, near_dup, quality_gam, secrets
+from gradeframe.llm import (
+    bpe, chat_format, language_crf, mixing, near_dup, permutation_index, quality_gam, secrets, segment_search,
+)
 from gradeframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +156,29 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op9_minhash_bayes(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components over 2-word shingles at similarity 0.8."""
     return near_dup.near_duplicates(table(spark, folder, "documents"), size=2, percent=80)
+
+
+@query
+def op1_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    """20 nearest found for every 20th vector, by inner product."""
+    return permutation_index.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op7_segment_search(spark: SparkSession, folder: str) -> DataFrame:
+    """5 largest integer inner products for every 50th vector."""
+    return segment_search.search_integers(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op7_segment_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+WHERE rank <= 5
+"""
