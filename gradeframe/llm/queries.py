@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeframe.llm import (
-    bpe, chat_format, language_crf, mixing, near_dup, permutation_index, quality_gam, secrets, segment_search,
+    bpe, chat_format, language_crf, mixing, near_dup, permutation_index, pitman_yor, quality_gam,
+    secret_scan, segment_search,
 )
 from gradeframe.llm.common import held_out, table
 
@@ -77,14 +78,14 @@ FROM k JOIN u ON k.source IS NOT DISTINCT FROM u.source AND k.rank = u.rank
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: rules and character Markov models trained on the corpus."""
     docs = table(spark, folder, "documents")
-    found = secrets.scan(docs.select("doc_id", "text"), secrets.train(secrets.labelled_samples(docs)))
+    found = secret_scan.scan(docs.select("doc_id", "text"), secret_scan.train(secret_scan.labelled_samples(docs)))
 
     def number(kind: int):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
     return found.select(
         "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
-        F.sha2(secrets.as_text("base"), 256).alias("base_sha256"), secrets.as_text("spans").alias("spans"))
+        F.sha2(secret_scan.as_text("base"), 256).alias("base_sha256"), secret_scan.as_text("spans").alias("spans"))
 
 
 @query
@@ -182,3 +183,9 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 WHERE rank <= 5
 """
+
+
+@query
+def op6_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under a hierarchical Pitman-Yor model."""
+    return pitman_yor.score(table(spark, folder, "documents"), held_out(F.col("doc_id"), 1))
