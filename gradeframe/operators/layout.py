@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-CHUNK = 4096
+RANGE_BLOCK = 4096  # rows of a range per block; only the plan depends on it
 
 
 def explode_samples(df: DataFrame, array: str = "outputs", value: str = "output",
@@ -23,21 +23,19 @@ def explode_samples(df: DataFrame, array: str = "outputs", value: str = "output"
 
 
 def collect_samples(df: DataFrame, keys: Sequence[str], value: str, array: str,
-                    index: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
-    """One row per example and chunk of sample positions, elements in order.
+                    index: str = "sample_idx") -> DataFrame:
+    """One row per example, elements in order, whatever their number.
 
-    Up to ``chunk`` samples an example is a single row with ``part`` 0. Larger
-    examples continue in further parts, so no row or task has to hold a whole
-    group and nothing is cut off.
+    The array layout holds an example in one row. Examples too large for a row
+    belong in the long layout, which every operator takes as well.
     """
-    part = F.floor(F.col(index) / chunk).cast("long")
     # Pairs keep NULL elements, which a bare collect_list would drop.
     pairs = F.array_sort(F.collect_list(F.struct(F.col(index), F.col(value))))
-    return (df.withColumn("part", part).groupBy(*keys, "part").agg(pairs.alias("__pairs"))
-            .select(*keys, "part", F.transform("__pairs", lambda p: p[value]).alias(array)))
+    return (df.groupBy(*keys).agg(pairs.alias("__pairs"))
+            .select(*keys, F.transform("__pairs", lambda p: p[value]).alias(array)))
 
 
-def explode_range(df: DataFrame, last: str, name: str, first: int = 1, block: int = CHUNK,
+def explode_range(df: DataFrame, last: str, name: str, first: int = 1, block: int = RANGE_BLOCK,
                   spread: bool = False) -> DataFrame:
     """Rows first..last for each input row, via blocks, so no long array is built.
 

@@ -18,28 +18,37 @@ def run_timestamp(moment: datetime) -> str:
 
 
 def append_generations(samples: DataFrame, path: str, by: Sequence[str] = RUN_KEYS,
-                       format: str = "parquet") -> None:
-    """Append a batch of generations; earlier batches are never rewritten."""
-    samples.write.mode("append").partitionBy(*by).format(format).save(path)
+                       batch: str | None = None, format: str = "parquet") -> None:
+    """Append a batch of generations; earlier batches are never rewritten.
+
+    With ``batch``, a name for the batch, its rows go to a partition of their
+    own, and writing the batch again replaces them instead of doubling them.
+    Rows are dealt by run before they are written, so a run gets few files.
+    """
+    dealt = _dealt(samples, by)
+    if batch is None:
+        dealt.write.mode("append").partitionBy(*by).format(format).save(path)
+    else:
+        write_run(samples.withColumn("batch", F.lit(batch)), path, [*by, "batch"], format)
+
+
+def _dealt(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of a run close together; Spark splits a run that is large and merges small ones."""
+    return df.hint("rebalance", *[F.col(c) for c in by])
 
 
 def write_run(df: DataFrame, path: str, by: Sequence[str] = RUN_KEYS,
               format: str = "parquet") -> None:
     """Write one or more runs, replacing just the partitions that occur in ``df``."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_dealt(df, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*by).format(format).save(path))
 
 
 def write_answers(samples: DataFrame, path: str, keys: Sequence[str] = ("question", "answer"),
                   answer: str = "answer_text", by: Sequence[str] = ("benchmark",)) -> None:
-    """Extracted answers of long samples as JSON lines, one example per line.
-
-    An example beyond the chunk size of the array layout continues in lines of
-    higher ``part``; the others have no such field.
-    """
+    """Extracted answers of long samples as JSON lines, one example per line."""
     grouped = collect_samples(samples, [*by, "example_id", *keys], answer, "predicted_answers")
-    lines = grouped.withColumn("part", F.when(F.col("part") > 0, F.col("part")))
-    _json(lines.drop("example_id"), path, by)
+    _json(grouped.drop("example_id"), path, by)
 
 
 def write_answer_arrays(answers: DataFrame, path: str, by: Sequence[str] = ("benchmark",)) -> None:

@@ -48,7 +48,7 @@ def test_votes_do_not_depend_on_partitioning(spark):
 def test_array_layout_equals_long_layout(spark):
     samples = math_rollouts(spark, FOLDER, positions=True)
     arrays = layout.collect_samples(samples, ["benchmark", "example_id", "gold"], "output", "outputs")
-    raw = arrays.withColumnRenamed("gold", "answer").drop("part")
+    raw = arrays.withColumnRenamed("gold", "answer")
     from gradeframe.operators.scoring import benchmark_summary
     long = benchmark_summary(math_eval.score_samples(samples), ks=[1, 2], on_short="clamp")
     text = F.to_json(F.transform_values("pass_at_k", lambda _, v: F.round(v, 9)))
