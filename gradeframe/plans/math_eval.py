@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.functions import prompts
 from gradeframe.operators import extraction, layout, prompting, scoring
-from gradeframe.operators.skew import hot_keys
 
 
 def math_prompts(items: DataFrame, mode: str, k: int) -> DataFrame:
@@ -20,7 +19,10 @@ def math_prompts(items: DataFrame, mode: str, k: int) -> DataFrame:
 
 def run_log(prompt_table: DataFrame, model_path: str, run_ts: str, k: int,
             prompt: str = "prompt", order_by: str = "example_id") -> DataFrame:
-    """One row per benchmark of a run: parameters, counts and the first prompt."""
+    """One row per benchmark of a run: parameters, counts, and the first prompt and messages.
+
+    ``run_ts`` is the time of the run.
+    """
     named = prompt_table.withColumns({
         "model": prompts.model_name(F.lit(model_path)), "run_ts": F.lit(run_ts)})
     by = ["model", "run_ts", "benchmark", "mode", "temperature", "top_p", "top_k",
@@ -40,11 +42,9 @@ def score_samples(samples: DataFrame, keys: Sequence[str] = ("benchmark", "examp
     return scoring.example_scores(judged_samples(samples, **options), keys)
 
 
-def example_curves(samples: DataFrame, keys: Sequence[str] = ("benchmark", "example_id"),
-                   min_rows: int | None = None) -> DataFrame:
-    """Pass@1..n of each example, spread over tasks if an example is very large."""
-    hot = hot_keys(samples, keys, min_rows)
-    return scoring.example_pass_at_k(score_samples(samples, keys), spread=bool(hot))
+def example_curves(samples: DataFrame, keys: Sequence[str] = ("benchmark", "example_id")) -> DataFrame:
+    """Pass@1..n of each example."""
+    return scoring.example_pass_at_k(score_samples(samples, keys))
 
 
 def score_raw(raw: DataFrame, by: Sequence[str] = ("benchmark",),

@@ -23,11 +23,26 @@ def absent(df: DataFrame, expected: Sequence[str], column: str = "benchmark") ->
 
 
 def checkpoint_step(name: ColumnLike) -> Column:
-    """Step number in a checkpoint name; its order is the natural name order."""
+    """The last number in a checkpoint name, its step."""
     digits = F.regexp_extract(as_column(name), r"(\d+)(?!.*\d)", 1)
     return digits.try_cast("bigint")
 
 
+def natural_order(name: ColumnLike) -> Column:
+    """A sort key for names with numbers: texts compare as texts and numbers by value.
+
+    The name's pieces with the digits of each number behind their count, so that
+    9 comes before 10. Leading zeros only decide between equal numbers.
+    """
+    text = as_column(name)
+    pieces = F.regexp_extract_all(text, F.lit(r"\d+|\D+"), F.lit(0))
+    bare = lambda p: F.regexp_replace(p, "^0+(?=\\d)", "")
+    keyed = F.transform(pieces, lambda p: F.when(
+        F.rlike(p, F.lit("^\\d")), F.concat(F.lpad(F.length(bare(p)).cast("string"), 6, "0"), bare(p)))
+        .otherwise(p))
+    return F.struct(keyed.alias("pieces"), text.alias("name"))
+
+
 def expected_checkpoint(strategy: ColumnLike, step_name: ColumnLike) -> Column:
     return F.concat_ws("_", as_column(strategy), as_column(step_name))
 

@@ -1,15 +1,17 @@
 """JSON-lines readers with explicit schemas.
 
 An example is identified by its place in the input, never by its question:
-``example_id`` grows with the line position inside a file split and is the same
-in every re-run of a task.
+``example_id`` is the file's path and the number of its line, so it survives
+unions of reads and doesn't depend on how files are split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from gradeframe.functions.text import NON_SPACE
 
 # Known benchmarks and their files.
 MATH_BENCHMARKS = {
@@ -27,9 +29,38 @@ RAW_SCHEMA = "question string, answer string, outputs array<string>"
 CHOICE_RESULT_SCHEMA = CHOICE_SCHEMA + ", outputs array<string>, predicted_answers array<string>"
 
 
-def _read(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
-    return (spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-            .withColumn("example_id", F.monotonically_increasing_id()))
+_PATH, _BLOCK, _ROW = "__path", "__block", "__row"
+
+
+def numbered_lines(spark: SparkSession, path: str | Sequence[str],
+                   glob: str | None = None) -> DataFrame:
+    """Lines of text files as ``value`` with ``example_id`` and ``file_name``.
+
+    A line's number is its place in its split plus the lines of the file's
+    earlier splits, which one pass over the files counts. The counts have one
+    row per split. Numbers are padded, so ids of a file sort like its lines.
+    """
+    reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
+    lines = reader.text(path).select(
+        "value", F.col("_metadata.file_path").alias(_PATH), F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias(_BLOCK), F.monotonically_increasing_id().alias(_ROW))
+    earlier = Window.partitionBy(_PATH).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    splits = (lines.groupBy(_PATH, _BLOCK).agg(F.count(F.lit(1)).alias("__lines"), F.min(_ROW).alias("__first"))
+              .withColumn("__before", F.coalesce(F.sum("__lines").over(earlier), F.lit(0)))
+              .drop("__lines"))
+    number = F.col(_ROW) - F.col("__first") + F.col("__before")
+    return lines.join(splits, [_PATH, _BLOCK]).select(
+        "value", "file_name", F.format_string("%s:%012d", F.col(_PATH), number).alias("example_id"))
+
+
+def _read(spark: SparkSession, path: str | Sequence[str], schema: str,
+          glob: str | None = None) -> DataFrame:
+    """Records of JSON lines; blank lines are skipped and malformed ones fail."""
+    lines = numbered_lines(spark, path, glob)
+    filled = F.rlike("value", F.lit(NON_SPACE))
+    record = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return (lines.where(filled).withColumn("__record", F.when(filled, record))
+            .select("__record.*", "example_id", "file_name"))
 
 
 def missing_fields(required: Iterable[str]) -> Column:
@@ -59,7 +90,8 @@ def _known(name: str, paths: Mapping[str, str]) -> str:
 
 def read_math_benchmark(spark: SparkSession, name: str,
                         paths: Mapping[str, str] = MATH_BENCHMARKS) -> DataFrame:
-    df = _read(spark, _known(name, paths), MATH_SCHEMA).withColumn("benchmark", F.lit(name))
+    df = _read(spark, _known(name, paths), MATH_SCHEMA).drop("file_name").withColumn(
+        "benchmark", F.lit(name))
     return require(df, ["question", "answer"])
 
 
@@ -67,16 +99,40 @@ def read_choice_benchmark(spark: SparkSession, name: str,
                           paths: Mapping[str, str] = CHOICE_BENCHMARKS,
                           allow_null_key: bool = False) -> DataFrame:
     """Choice items; a NULL answer key is an error unless allowed."""
-    df = _read(spark, _known(name, paths), CHOICE_SCHEMA).withColumn("benchmark", F.lit(name))
+    df = _read(spark, _known(name, paths), CHOICE_SCHEMA).drop("file_name").withColumn(
+        "benchmark", F.lit(name))
     return require(df, ["question", "choices"] + ([] if allow_null_key else ["answerKey"]))
 
 
 def read_raw_generations(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return require(_read(spark, path, RAW_SCHEMA), ["question", "answer", "outputs"])
+    return require(_read(spark, path, RAW_SCHEMA), ["question", "answer", "outputs"]).drop("file_name")
+
+
+def _named(name: str, suffix: str) -> Column:
+    return F.regexp_extract(name, f"^(.*){suffix}$", 1)
+
+
+def read_raw_folder(spark: SparkSession, folder: str,
+                    names: Sequence[str] = tuple(MATH_BENCHMARKS)) -> DataFrame:
+    """Raw generations of a run folder, ``<benchmark>_raw.jsonl`` each, in one table.
+
+    ``benchmark`` comes from the file name; files of other names are left alone.
+    """
+    files = "{" + ",".join(f"{n}_raw.jsonl" for n in names) + "}"
+    df = require(_read(spark, folder, RAW_SCHEMA, files), ["question", "answer", "outputs"])
+    return df.withColumn("benchmark", _named("file_name", r"_raw\.jsonl")).drop("file_name")
+
+
+def read_answer_folder(spark: SparkSession, folder: str,
+                       names: Sequence[str] = tuple(MATH_BENCHMARKS)) -> DataFrame:
+    """Extracted answers of a run folder, ``<benchmark>.jsonl`` each, in one table."""
+    files = "{" + ",".join(f"{n}.jsonl" for n in names) + "}"
+    lines = parse_answers(numbered_lines(spark, folder, files))
+    return lines.withColumn("benchmark", _named("file_name", r"\.jsonl")).drop("file_name")
 
 
 def read_choice_results(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return _read(spark, path, CHOICE_RESULT_SCHEMA)
+    return _read(spark, path, CHOICE_RESULT_SCHEMA).drop("file_name")
 
 
 def read_answers(spark: SparkSession, path: str | Sequence[str],
@@ -86,9 +142,8 @@ def read_answers(spark: SparkSession, path: str | Sequence[str],
     ``arrays_only`` is the quick way for files known to hold nothing but arrays.
     """
     if arrays_only:
-        return _read(spark, path, "answer string, predicted_answers array<string>")
-    lines = spark.read.text(path).withColumn("example_id", F.monotonically_increasing_id())
-    return parse_answers(lines)
+        return _read(spark, path, "answer string, predicted_answers array<string>").drop("file_name")
+    return parse_answers(numbered_lines(spark, path).drop("file_name"))
 
 
 def parse_answers(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -98,8 +153,14 @@ def parse_answers(lines: DataFrame, value: str = "value") -> DataFrame:
     a scalar counts as a list of one, and so does a JSON null. Numbers keep the
     text they were written with.
     """
-    raw = F.from_json(F.col(value), "answer string, predicted_answers string")
-    listed = F.from_json(F.col(value), "predicted_answers array<string>")
+    filled = F.rlike(F.col(value), F.lit(NON_SPACE))
+    # One parse settles lines that hold a list. Only the others are looked at again.
+    listed = F.from_json(F.col(value), "answer string, predicted_answers array<string>, __bad string",
+                         {"columnNameOfCorruptRecord": "__bad"})
+    plain = F.coalesce(F.col("__listed.predicted_answers").isNotNull() & F.col("__listed.answer").isNotNull()
+                       & F.col("__listed.__bad").isNull(), F.lit(False))
+    raw = F.when(~plain, F.from_json(F.col(value), "answer string, predicted_answers string"))
+    variant = F.when(~plain, F.parse_json(value))
     field = F.variant_get("__variant", "$.predicted_answers", "variant")
     kind = (F.when(F.col("__field").isNull(), F.lit("missing"))
             .when(F.is_variant_null("__field"), F.lit("null"))
@@ -107,16 +168,18 @@ def parse_answers(lines: DataFrame, value: str = "value") -> DataFrame:
             .otherwise(F.lit("scalar")))
     no_answer = F.variant_get("__variant", "$.answer", "variant").isNull()
     one = F.array(F.col("__raw.predicted_answers"))
-    predicted = (F.when(F.col("__kind") == "array", listed["predicted_answers"])
+    predicted = (F.when(plain | (F.col("__kind") == "array"), F.col("__listed.predicted_answers"))
                  .when(F.col("__kind") == "missing", F.array().cast("array<string>"))
                  .when(F.col("__kind") == "null", F.array(F.lit(None).cast("string")))
                  .otherwise(one))
-    filled = F.rlike(F.col(value), F.lit(r"\S"))
+    answer = (F.when(plain, F.col("__listed.answer")).when(no_answer, F.lit(""))
+              .otherwise(F.col("__raw.answer")))
     # Guarded twice: a filter does not promise to be tested before the parser runs.
     return (lines.where(filled)
-            .withColumn("__variant", F.when(filled, F.parse_json(value)))
+            .withColumn("__listed", F.when(filled, listed))
+            .withColumn("__variant", F.when(filled, variant))
             .withColumn("__field", field)
             .withColumn("__kind", kind).withColumn("__raw", raw)
-            .withColumn("answer", F.when(no_answer, F.lit("")).otherwise(F.col("__raw.answer")))
+            .withColumn("answer", answer)
             .withColumn("predicted_answers", predicted)
-            .drop("__variant", "__field", "__kind", "__raw", value))
+            .drop("__listed", "__variant", "__field", "__kind", "__raw", value))

@@ -11,9 +11,10 @@ METRIC_LINE = "pass@1|accuracy_any|Pass@1"
 
 
 def read_log_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Log lines with their file and a number that grows down the file."""
+    """Log lines with their file, by path, its name, and a number that grows down the file."""
     return (spark.read.text(path)
-            .select(F.col("_metadata.file_name").alias("log"),
+            .select(F.col("_metadata.file_path").alias("log"),
+                    F.col("_metadata.file_name").alias("log_name"),
                     F.monotonically_increasing_id().alias("line_no"),
                     F.col("value").alias("line")))
 

@@ -180,6 +180,82 @@ def test_log_tail(spark, tmp_path):
     write(tmp_path / "m2.log", ["accuracy_any 3", "Pass@1 4", "pass@2 5"])
     lines = logs.read_log_lines(spark, str(tmp_path / "*.log"))
     tail = logs.log_tail(lines).orderBy("log", "line_no").collect()
-    assert [r["line"] for r in tail if r["log"] == "m1.log"] == [
+    assert [r["line"] for r in tail if r["log_name"] == "m1.log"] == [
         f"line {i} pass@1: {i}" for i in range(21, 40, 2)]
-    assert [r["line"] for r in tail if r["log"] == "m2.log"] == ["accuracy_any 3", "Pass@1 4"]
+    assert [r["line"] for r in tail if r["log_name"] == "m2.log"] == ["accuracy_any 3", "Pass@1 4"]
+
+
+def test_logs_of_the_same_name_stay_apart(spark, tmp_path):
+    for part in "ab":
+        (tmp_path / part).mkdir()
+        write(tmp_path / part / "eval.log", [f"pass@1 {part}{i}" for i in range(8)])
+    tail = logs.log_tail(logs.read_log_lines(spark, [str(tmp_path / "a"), str(tmp_path / "b")]))
+    assert rows(tail.groupBy("log").count().select("count")) == [(8,), (8,)]
+
+
+def test_names_in_natural_order(spark):
+    names = ["run10_step2", "run2_step5", "run2_step10", "ckpt-100-hf7", "ckpt-20-hf7", "run02_step5"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r["name"] for r in df.orderBy(discovery.natural_order("name")).collect()] == [
+        "ckpt-20-hf7", "ckpt-100-hf7", "run02_step5", "run2_step5", "run2_step10", "run10_step2"]
+
+
+def test_lines_of_unicode_blanks_are_skipped(spark, tmp_path):
+    path = write(tmp_path / "u.jsonl", [{"answer": "1", "predicted_answers": ["1"]}, "\u00a0\u3000"])
+    assert jsonl.read_answers(spark, path).count() == 1
+    raw = write(tmp_path / "v.jsonl", ["\u3000", {"question": "q", "answer": "1", "outputs": ["1"]}])
+    assert jsonl.read_raw_generations(spark, raw).count() == 1
+
+
+def test_five_thousand_samples_are_one_example(spark, tmp_path):
+    samples = spark.range(5000).select(
+        F.lit("b").alias("benchmark"), F.lit("x").alias("example_id"), F.lit("q").alias("question"),
+        F.lit("7").alias("answer"), F.col("id").alias("sample_idx"),
+        F.when(F.col("id") < 10, "7").otherwise("8").alias("answer_text"))
+    sinks.write_answers(samples, str(tmp_path / "big"))
+    back = jsonl.read_answers(spark, str(tmp_path / "big/benchmark=b")).withColumn("benchmark", F.lit("b"))
+    row = math_eval.score_answers(back, ks=[1]).first()
+    assert row["total_examples"] == 1 and row["pass_at_k"]["pass@1"] == pytest.approx(0.002)
+    assert set(back.columns) == {"answer", "predicted_answers", "example_id", "benchmark"}
+
+
+def test_a_run_folder_is_scored_in_one_job(spark, tmp_path):
+    def record(i, right):
+        return {"question": f"q{i}", "answer": "4", "outputs": [r"\boxed{4}" if right else r"\boxed{5}", "no 5"]}
+    write(tmp_path / "aime24_raw.jsonl", [record(i, i % 2) for i in range(40)])
+    write(tmp_path / "math500_raw.jsonl", [record(i, False) for i in range(3)] + ["  "])
+    write(tmp_path / "other_raw.jsonl", [record(1, True)])
+    write(tmp_path / "aime25.jsonl", [{"answer": "1", "predicted_answers": ["1"]}])
+    raw = jsonl.read_raw_folder(spark, str(tmp_path))
+    got = math_eval.score_raw(raw.withColumn("model", F.lit("m")), ["model", "benchmark"])
+    assert rows(got.select("benchmark", "total_examples", "correct_at_least_once")) == [
+        ("aime24", 40, 20), ("math500", 3, 0)]
+    whole = math_eval.score_raw(raw.withColumn("model", F.lit("m")), ["model"]).first()
+    assert (whole["total_examples"], whole["correct_at_least_once"]) == (43, 20)
+    assert rows(discovery.absent(raw, list(jsonl.MATH_BENCHMARKS))) == [("aime25",), ("olympiadbench",)]
+    answers = jsonl.read_answer_folder(spark, str(tmp_path))
+    assert rows(answers.select("benchmark")) == [("aime25",)]
+    assert math_eval.score_answers(answers).first()["total_examples"] == 1
+
+
+def test_example_ids_do_not_depend_on_splits(spark, tmp_path):
+    path = write(tmp_path / "s.jsonl", [{"question": f"q{i}", "answer": "1", "outputs": []} for i in range(500)])
+    ids = rows(jsonl.read_raw_generations(spark, path).select("example_id", "question"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        split = jsonl.read_raw_generations(spark, path)
+        assert split.rdd.getNumPartitions() > 1
+        assert rows(split.select("example_id", "question")) == ids
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [q for _, q in ids] == [f"q{i}" for i in range(500)]
+
+
+def test_a_batch_written_again_is_not_doubled(spark, tmp_path):
+    out = str(tmp_path / "batches")
+    first = spark.createDataFrame([("m1", "251201000000", 1)], "model string, run_ts string, v int")
+    for _ in range(2):
+        sinks.append_generations(first, out, batch="b1")
+    sinks.append_generations(first.withColumn("v", F.lit(2)), out, batch="b2")
+    assert rows(spark.read.parquet(out).select("v", "batch")) == [(1, "b1"), (2, "b2")]
