@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gradeframe.operators.sizes import broadcast_if_small
 from gradeframe.operators.skew import join_same
 
 # Sampling parameters per mode and token limits per benchmark.
@@ -78,24 +77,25 @@ def generate(prompts: DataFrame, make_generator: Callable[[], Generator], prompt
     names = [f.name for f in kept]
 
     # Nested, so that it travels by value: workers need not have this package installed.
-    def call(model: Generator, part: pd.DataFrame) -> pd.DataFrame:
-        texts = model(part[prompt].tolist())
-        if len(texts) != len(part):
-            raise ValueError(f"generator returned {len(texts)} results for {len(part)} prompts")
-        repeats = [len(t) for t in texts]
-        out = part[names].loc[part.index.repeat(repeats)].reset_index(drop=True)
-        out["sample_idx"] = [i for t in texts for i in range(len(t))]
-        out["output"] = [s for t in texts for s in t]
-        return out.astype({"sample_idx": "int32"})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def call(model: Generator, part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = model(part.column(prompt).to_pylist())
+        if len(texts) != part.num_rows:
+            raise ValueError(f"generator returned {len(texts)} results for {part.num_rows} prompts")
+        # The kept columns are picked by row and never become Python values.
+        rows = pa.array([i for i, t in enumerate(texts) for _ in t], pa.int64())
+        columns = [part.column(n).take(rows) for n in names]
+        columns += [pa.array([i for t in texts for i in range(len(t))], pa.int32()),
+                    pa.array([s for t in texts for s in t], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, [*names, "sample_idx", "output"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_generator()
         for batch in batches:
-            size = batch_size or max(len(batch), 1)
-            for start in range(0, len(batch), size):
-                yield call(model, batch.iloc[start:start + size])
+            size = batch_size or max(batch.num_rows, 1)
+            for start in range(0, batch.num_rows, size):
+                yield call(model, batch.slice(start, size))
 
-    return prompts.mapInPandas(run, schema)
+    return prompts.mapInArrow(run, schema)
 
 
 def run_config(prompts: DataFrame, by: Sequence[str], k: int, prompt: str = "prompt",
@@ -109,7 +109,7 @@ def run_config(prompts: DataFrame, by: Sequence[str], k: int, prompt: str = "pro
     runs = prompts.groupBy(*by).agg(F.min(order_by).alias(order_by),
                                     F.count(F.lit(1)).alias("examples"))
     first = prompts.select(*by, order_by, F.col(prompt).alias("first_prompt"))
-    return (join_same(first, broadcast_if_small(runs), [*by, order_by], "inner")
+    return (join_same(first, runs, [*by, order_by], "inner")
             .withColumn("samples_per_example", F.lit(int(k)))
             .withColumn("generations", F.col("examples") * k)
             .drop(order_by))

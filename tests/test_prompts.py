@@ -91,3 +91,14 @@ def test_workers_do_not_need_the_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", SCRIPT, root], cwd=tmp_path, env=env, timeout=120,
                           capture_output=True, text=True)
     assert "rows 144" in done.stdout, done.stderr[-500:]
+
+
+def test_generation_keeps_other_columns_as_they_are(spark):
+    from decimal import Decimal
+    rows_ = [(1152921504606846977, "a", Decimal("1.10"), ["x", None]), (None, "b", None, None)]
+    df = spark.createDataFrame(rows_, "id long, prompt string, price decimal(10,2), tags array<string>").withColumn(
+        "at", F.lit("2025-01-01 10:00:00").cast("timestamp"))
+    got = prompting.generate(df, lambda: lambda prompts: [[p, p * 2] for p in prompts])
+    kept = ["id", "price", "tags", "at"]
+    assert rows(got.select(*kept)) == rows(df.select(*kept).unionByName(df.select(*kept)))
+    assert rows(got.select("sample_idx", "output")) == [(0, "a"), (0, "b"), (1, "aa"), (1, "bb")]
