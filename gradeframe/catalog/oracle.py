@@ -5,7 +5,6 @@ RE2 has no lookaround, so numbers and letters are found in other ways here.
 
 from __future__ import annotations
 
-from gradeframe.functions.choice import PHRASES
 from gradeframe.functions.text import SOFT_BREAKS, SPACE, WHITESPACE, char_class
 
 WS = f"'{WHITESPACE}'"
@@ -18,6 +17,17 @@ MARKERS = (
 )
 
 
+# The phrases that introduce a letter, written out once more.
+_GAP = char_class(WHITESPACE + ":") + "*"
+CHOICE_PHRASES = (
+    rf"(?:answer|Answer|ANSWER){_GAP}(?:is|IS)?{_GAP}\(?([A-E])",
+    rf"(?:correct|Correct|CORRECT){_GAP}(?:answer|option|choice)?{_GAP}\(?([A-E])",
+    rf"(?:option|Option|OPTION|choice|Choice|CHOICE){_GAP}\(?([A-E])",
+    r"\(([A-E])\)",
+    r"\[([A-E])\]",
+)
+
+
 def boxed(t: str) -> str:
     return rf"trim(regexp_extract_all({t}, '\\boxed\{{([^}}]+)\}}', 1)[-1], {WS})"
 
@@ -104,9 +114,8 @@ def judged(source: str, pred: str, gold: str) -> str:
 
 def choice(t: str, labels: str, order: str = "ABCDE") -> str:
     phrases = []
-    for pattern in PHRASES:
-        plain = pattern.replace("*+", "*")
-        found = f"upper(regexp_extract({t}, '{plain}', 1))"
+    for pattern in CHOICE_PHRASES:
+        found = f"upper(regexp_extract({t}, '{pattern}', 1))"
         phrases.append(f"CASE WHEN list_contains({labels}, {found}) THEN {found} END")
     letter = r"[\p{L}\p{N}]"
     line = f"""upper(list_filter(list_transform(string_split({t}, chr(10)), lambda l: trim(l, {WS})),

@@ -1,5 +1,8 @@
 """Choice letters: golden rows and the order of the rules."""
 
+from pyspark.sql import functions as F
+
+from gradeframe.functions import choice
 from gradeframe.operators.extraction import extract_choices
 
 GOLDEN = [
@@ -50,3 +53,12 @@ def test_last_occurrence_needs_free_sides(spark):
 def test_long_text(spark):
     long = "😀 lorem ipsum " * 50_000
     assert letters(spark, [long + "[D]", long + " b"]) == ["D", "B"]
+
+
+def test_labels_of_several_words(spark):
+    df = spark.createDataFrame([
+        (0, "It is in New York today", ["New York", "Paris"]), (1, "NewYork", ["New York", "Paris"]),
+        (2, "we took C++ then", ["C", "C++"]), (3, "go to B now", ["New York", "B"]),
+        (4, "a.b and axb", ["axb", "a.b"])], "i int, t string, labels array<string>")
+    got = df.select("i", choice.word_choice("t", F.col("labels")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == ["New York", None, "C", "B", "axb"]
