@@ -89,14 +89,14 @@ def strategy_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.strategy_histogram(found, "benchmark")
 
 
-@query(f"""SELECT benchmark, example_id, 0::BIGINT AS part,
+@query(f"""SELECT benchmark, example_id,
   string_agg(coalesce(answer_text, '~'), '|' ORDER BY sample_idx) AS predicted
   FROM {_ANSWERED} GROUP BY benchmark, example_id""")
 def predicted_answer_lists(spark: SparkSession, folder: str) -> DataFrame:
     answered = extraction.extract_answers(math_rollouts(spark, folder, positions=True))
     lists = layout.collect_samples(answered, ["benchmark", "example_id"], "answer_text",
                                    "predicted_answers")
-    return lists.select("benchmark", "example_id", "part",
+    return lists.select("benchmark", "example_id",
                         F.array_join("predicted_answers", "|", "~").alias("predicted"))
 
 
@@ -141,11 +141,11 @@ def passk_per_example(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""SELECT benchmark, k, round(avg({oracle.pass_at_k('n', 'c', 'k')}), 6) AS pass_at_k
-  FROM (SELECT *, unnest([1, 2, 3, 4]::BIGINT[]) AS k FROM {_SCORES} WHERE n >= 4)
+  FROM (SELECT *, unnest([1, 2, 3, 4]::BIGINT[]) AS k FROM {_SCORES})
   GROUP BY benchmark, k""")
 def passk_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    scores = score_samples(math_rollouts(spark, folder)).where("n >= 4")
-    return scoring.pass_at_k_by(scores, ks=[1, 2, 3, 4]).withColumns(rounded("pass_at_k"))
+    scores = score_samples(math_rollouts(spark, folder))
+    return scoring.pass_at_k_by(scores, ks=[1, 2, 3, 4], on_short="clamp").withColumns(rounded("pass_at_k"))
 
 
 @query(f"""SELECT benchmark, k, round(avg({oracle.pass_at_k('n', 'c', 'k')}), 6) AS pass_at_k
@@ -169,7 +169,7 @@ def accuracy_any(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mean_sql(k: int, scores: str = _SCORES) -> str:
     return (f"(SELECT benchmark, round(avg({oracle.pass_at_k('n', 'c', str(k))}), 6) AS pass_{k} "
-            f"FROM {scores} WHERE n >= {k} GROUP BY benchmark)")
+            f"FROM {scores} GROUP BY benchmark)")
 
 
 _SUMMARY = f"""(SELECT benchmark, count(*) AS total_examples,
@@ -184,7 +184,7 @@ _SUMMARY = f"""(SELECT benchmark, count(*) AS total_examples,
     JOIN {_mean_sql(4)} USING (benchmark)""")
 def benchmark_summary(spark: SparkSession, folder: str) -> DataFrame:
     scores = score_samples(math_rollouts(spark, folder))
-    summary = scoring.benchmark_summary(scores, ks=[1, 2, 4], on_short="drop")
+    summary = scoring.benchmark_summary(scores, ks=[1, 2, 4], on_short="clamp")
     flat = {f"pass_{k}": F.round(F.try_element_at("pass_at_k", F.lit(f"pass@{k}")), 6)
             for k in (1, 2, 4)}
     return summary.withColumns({**rounded("accuracy_any"), **flat}).drop("pass_at_k")
@@ -227,7 +227,7 @@ def passk_empty_examples(spark: SparkSession, folder: str) -> DataFrame:
     questions = _questions(spark, folder)
     samples = math_rollouts(spark, folder).drop("gold")
     answered = extraction.extract_answers(samples)
-    with_gold = scoring.attach_gold(answered, questions, keys, spread=["line_no", "part_key"])
+    with_gold = scoring.attach_gold(answered, questions, keys)
     scores = scoring.with_empty_examples(
         scoring.example_scores(scoring.judge(with_gold, gold_normal="gold_normal"), keys),
         questions, keys)
@@ -256,13 +256,13 @@ def benchmark_selection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _MODEL_CURVE = f"""(SELECT model, benchmark, k, avg({oracle.pass_at_k('n', 'c', 'k')}) AS pass_at_k
-  FROM (SELECT *, unnest([1, 2, 3, 4]::BIGINT[]) AS k FROM {_MODEL_SCORES}) WHERE k <= n
+  FROM (SELECT *, unnest([1, 2, 3, 4]::BIGINT[]) AS k FROM {_MODEL_SCORES})
   GROUP BY model, benchmark, k)"""
 
 
 def _model_curve(spark: SparkSession, folder: str) -> DataFrame:
     scores = score_samples(math_rollouts(spark, folder), ["model", "benchmark", "example_id"])
-    return scoring.pass_at_k_by(scores, ["model", "benchmark"], [1, 2, 3, 4], on_short="drop")
+    return scoring.pass_at_k_by(scores, ["model", "benchmark"], [1, 2, 3, 4], on_short="clamp")
 
 
 @query(f"SELECT model, benchmark, k, round(pass_at_k, 6) AS pass_at_k FROM {_MODEL_CURVE}")

@@ -50,7 +50,8 @@ def mixed_group(rollouts: DataFrame, keys: Sequence[str], order_by: Sequence[str
     rank = F.row_number().over(Window.partitionBy(*keys, source).orderBy(*order))
     quota = F.when(F.col(source) == EXPLORER, explorer_quota(step, mix_steps, group_size)).otherwise(
         F.lit(group_size) - explorer_quota(step, mix_steps, group_size))
-    return (rollouts.where(F.col(source).isin(EXPLORER, LEARNER))
+    # Sources without a quota at a step are dropped before anything is sorted or moved.
+    return (rollouts.where(F.col(source).isin(EXPLORER, LEARNER)).where(quota > 0)
             .withColumn("__rank", rank)
             .where(F.col("__rank") <= group_size).where(F.col("__rank") <= quota)
             .drop("__rank"))
@@ -78,8 +79,8 @@ def group_advantage(rollouts: DataFrame, keys: Sequence[str], reward: str = "rew
     scored = cold.withColumns({n: m.over(window) for n, m in moments.items()})
     if hot:
         rows = rollouts.where(is_hot)
-        # At most MAX_HOT groups.
-        few = F.broadcast(rows.groupBy(*keys).agg(*[m.alias(n) for n, m in moments.items()]))
+        # One row per hot group; Spark broadcasts them if they are small.
+        few = rows.groupBy(*keys).agg(*[m.alias(n) for n, m in moments.items()])
         scored = scored.unionByName(join_same(rows, few, keys, "inner"))
     scaled = F.try_divide(F.col(reward) - F.col("__mean"), F.col("__std"))
     # A group of equal rewards can carry a rounding residue instead of a clean 0.

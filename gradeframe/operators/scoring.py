@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeframe.functions import equivalence, passk
 from gradeframe.operators.layout import explode_range
-from gradeframe.operators.skew import join_unique
 
 
 def judge(df: DataFrame, pred: str = "answer_text", gold: str = "gold", name: str = "is_correct",
@@ -45,15 +44,15 @@ def parse_numbers(df: DataFrame, text: str, name: str = "number") -> DataFrame:
 
 
 def attach_gold(samples: DataFrame, questions: DataFrame, keys: Sequence[str],
-                gold: str = "gold", spread: Sequence[str] | None = None,
-                min_rows: int | None = None) -> DataFrame:
+                gold: str = "gold") -> DataFrame:
     """Bring the gold answer and its normal form to each sample.
 
-    Gold answers are normalised once per question, before the join.
+    Gold answers are normalised once per question, before the join. An example
+    with very many samples is split by Spark's own handling of skewed joins.
     """
     side = questions.select(*keys, gold,
                             equivalence.normalize_answer(gold).alias("gold_normal"))
-    return join_unique(samples, side, keys, "inner", spread=spread, min_rows=min_rows)
+    return samples.join(side, list(keys))
 
 
 def example_scores(judged: DataFrame, keys: Sequence[str], verdict: str = "is_correct",
@@ -76,15 +75,20 @@ def with_empty_examples(scores: DataFrame, questions: DataFrame,
             .withColumns({"n": F.coalesce("n", F.lit(0)), "c": F.coalesce("c", F.lit(0))}))
 
 
+SPREAD_ABOVE = 1_000_000  # samples of an example from which its rows of k come from many tasks
+
+
 def example_pass_at_k(scores: DataFrame, ks: Sequence[int] | None = None,
-                      spread: bool = False) -> DataFrame:
+                      spread_above: int = SPREAD_ABOVE) -> DataFrame:
     """Pass@k of each example for k = 1..n, or for the given ks clamped to n.
 
-    ``spread`` is for examples with so many samples that their rows of k should
-    come from more than one task.
+    The rows of examples with more than ``spread_above`` samples are produced by
+    many tasks; their number is known from the counts.
     """
     if ks is None:
-        ranged = explode_range(scores, "n", "k", spread=spread)
+        few = explode_range(scores.where(F.col("n") <= spread_above), "n", "k")
+        many = explode_range(scores.where(F.col("n") > spread_above), "n", "k", spread=True)
+        ranged = few.unionByName(many)
     else:
         ranged = scores.where("n > 0").withColumn("k", F.explode(_k_array(ks)))
     return ranged.withColumn("pass_at_k", passk.pass_at_k("n", "c", "k"))
@@ -116,11 +120,10 @@ def _with_ks(scores: DataFrame, by: list[str], ks: Sequence[int] | None, order_b
     grouped = by or ["__all"]
     if not by:
         histogram = histogram.withColumn("__all", F.lit(0))
-    # The list is 1..n of the first example that has samples.
-    first = (histogram.where("n > 0").groupBy(*grouped)
-             .agg(F.min_by("n", "first_example").alias("__n")))
-    ranged = (histogram.drop("first_example").join(first, grouped, "left")
-              .withColumn("__last", F.coalesce("__n", F.lit(0))))
+    # The list is 1..n of the first example that has samples, found on the histogram itself.
+    first = F.min(F.when(F.col("n") > 0, F.struct("first_example", "n"))).over(Window.partitionBy(*grouped))
+    ranged = (histogram.withColumn("__last", F.coalesce(first["n"], F.lit(0)))
+              .drop("first_example"))
     return explode_range(ranged, "__last", "k", first=min([*start, 1]))
 
 

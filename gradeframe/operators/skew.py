@@ -1,12 +1,15 @@
 """Ways to keep one hot key from landing in one task.
 
-A key is hot when it holds more than ``1 / MAX_HOT`` of all rows. There can
-never be more than ``MAX_HOT`` of those, whatever the size of the data, so the
-list of hot keys is safe to bring to the driver and to broadcast. Detection is
-one pass over the key columns with a frequent-items sketch: keys are not
-shuffled, and sketches are merged in two levels, so that no task has to take the
-sketches of all input tasks. The sketch only decides how rows are spread; results
-are exact with any list of hot keys.
+A key is hot when it has more rows than one task should hold, a fixed number
+whatever the size of the data. Inputs with fewer rows than that have no hot key
+and are only counted. For others detection is one pass over the key columns with
+a frequent-items sketch sized for the number of keys that can be hot: keys are
+not shuffled, and sketches are merged in two levels, so that no task has to take
+the sketches of all input tasks. The sketch only decides how rows are spread;
+results are exact with any list of hot keys.
+
+Detection runs a job while a query is built. Only ``with_position`` and the
+callers of ``hot_keys`` need it; joins are left to Spark's own skew handling.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
-MAX_HOT = 1000
-MIN_HOT_ROWS = 2_000_000
-# Enough for an error well below the share of a hot key; about 100 kB per task.
-_SKETCH_ITEMS = 8192
+HOT_ROWS = 2_000_000  # rows of one key that a single task may hold
+# Sketches hold at least this many items, and at most what Spark's sketch allows.
+# With the largest, keys above HOT_ROWS are found in up to 5e11 rows.
+_LEAST_ITEMS, _MOST_ITEMS = 8192, 1_000_000
 _MERGE_GROUPS = 512
 
-_HASH, _SPLITS, _SALT, _SLICE = "__key_hash", "__splits", "__salt", "__slice"
+_HASH, _SLICE = "__key_hash", "__slice"
 
 
 @dataclass(frozen=True)
@@ -38,25 +41,26 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> list[HotKey]:
-    """Keys too large for one task, at most ``MAX_HOT`` of them."""
+    """Keys with more rows than ``min_rows``, by default what a task may hold.
+
+    The list has at most one item per ``min_rows`` rows of the data.
+    """
+    limit = HOT_ROWS if min_rows is None else min_rows
+    total = df.count()
+    if total <= limit:
+        return []
+    possible = total // limit + 1
+    items = min(_MOST_ITEMS, max(_LEAST_ITEMS, 4 * possible))
     merger = F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS))
     sketch = (df.select(key_hash(keys).alias("h"), merger.alias("merger"))
               .groupBy("merger")
-              .agg(F.expr(f"approx_top_k_accumulate(h, {_SKETCH_ITEMS})").alias("part"),
-                   F.count(F.lit(1)).alias("rows"))
-              .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(part), {MAX_HOT})").alias("top"),
-                   F.sum("rows").alias("total"))
+              .agg(F.expr(f"approx_top_k_accumulate(h, {items})").alias("part"))
+              .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(part), {min(possible, items)})").alias("top"))
               .first())
-    limit = max(MIN_HOT_ROWS if min_rows is None else min_rows, ceil((sketch["total"] or 0) / MAX_HOT))
     return [HotKey(r["item"], r["count"], ceil(r["count"] / limit))
             for r in (sketch["top"] or []) if r["count"] > limit]
 
 
-def _hot_frame(df: DataFrame, hot: list[HotKey]) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [(h.key_hash, h.splits) for h in hot], f"{_HASH} long, {_SPLITS} int")
-
-
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on keys where NULL equals NULL, as in a grouping; left's columns come first."""
     renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
@@ -66,32 +70,6 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-                spread: Sequence[str] | None = None, min_rows: int | None = None) -> DataFrame:
-    """Equi-join of many left rows with at most one right row per key.
-
-    Left rows of a hot key are salted over several tasks by a hash of the
-    ``spread`` columns, and its single right row is copied to each salt. Without
-    hot keys this is the plain join, for which Spark chooses the strategy from
-    measured sizes.
-    """
-    keys = list(keys)
-    hot = hot_keys(left, keys, min_rows)
-    if not hot:
-        return left.join(right, keys, how)
-    table = F.broadcast(_hot_frame(left, hot))
-    spread = [c for c in (spread or left.columns) if c not in keys] or keys
-    salted = (left.withColumn(_HASH, key_hash(keys)).join(table, _HASH, "left")
-              .withColumn(_SALT, F.coalesce(
-                  F.pmod(F.xxhash64(*spread), F.col(_SPLITS)).cast("int"), F.lit(0)))
-              .drop(_HASH, _SPLITS))
-    copies = (right.withColumn(_HASH, key_hash(keys)).join(table, _HASH, "left")
-              .withColumn(_SALT, F.explode(F.sequence(
-                  F.lit(0), F.coalesce(F.col(_SPLITS), F.lit(1)) - 1)))
-              .drop(_HASH, _SPLITS))
-    return salted.join(copies, keys + [_SALT], how).drop(_SALT)
-
-
 def with_position(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str,
                   min_rows: int | None = None) -> DataFrame:
     """Zero-based position of a row in its group, in ``order_by`` order.
@@ -111,12 +89,12 @@ def with_position(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], n
     local = F.row_number().over(Window.partitionBy(*keys, _SLICE).orderBy(*order_by))
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(
         Window.unboundedPreceding, -1)
-    # At most MAX_HOT keys and as many ranges again: a bounded table.
+    # One row per range, each of about HOT_ROWS rows; Spark broadcasts it if it is small.
     offsets = (sliced.where(F.col(_HASH).isin([h.key_hash for h in hot]))
                .groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("__rows"))
                .withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
                .drop("__rows"))
-    return (join_same(sliced.withColumn("__local", local), F.broadcast(offsets),
+    return (join_same(sliced.withColumn("__local", local), offsets,
                       [*keys, _SLICE], "left")
             .withColumn(name, (F.col("__local") - 1 + F.coalesce("__before", F.lit(0)))
                         .cast("long"))
@@ -157,7 +135,7 @@ def _range_bounds(df: DataFrame, keys: list[str], order_by: list[str],
     """Sampled range bounds per hot key.
 
     The sample holds about ``per_split`` rows per range and the ranges number at
-    most twice ``MAX_HOT``. Bounds only steer balance; any bounds give the same
+    most two per ``HOT_ROWS`` rows. Bounds only steer balance; any bounds give the same
     positions, and as literals they are the same in every re-run of a task.
     """
     fraction = min(1.0, per_split * sum(h.splits for h in hot) / sum(h.rows for h in hot))

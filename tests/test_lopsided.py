@@ -33,7 +33,7 @@ def tables(tmp_path_factory):
 
 @pytest.mark.parametrize("name", KEYED)
 def test_hot_key(spark, tables, monkeypatch, name):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 200)
+    monkeypatch.setattr(skew, "HOT_ROWS", 200)
     folder, connection = tables
     result = QUERIES[name](spark, folder)
     columns, rows = canonical(result.columns, [tuple(r) for r in result.collect()])

@@ -40,12 +40,14 @@ def test_positions_do_not_sort_a_hot_group_in_one_task(lopsided):
     assert len(sizes) >= 15 and max(sizes) < 400
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_join(spark, lopsided, how):
-    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 300, 2)] + [(7, "hot")],
-                                  "key long, v string")
-    salted = skew.join_unique(lopsided, right, ["key"], how, spread=["id"], min_rows=100)
-    assert rows(salted) == rows(lopsided.join(right, ["key"], how))
+def test_hot_limit_does_not_grow_with_the_data(lopsided):
+    """With four times the rows the same keys are above the same limit, and small ones never are."""
+    four = lopsided.unionByName(lopsided).unionByName(lopsided).unionByName(lopsided)
+    limit = 400
+    sizes = {r["key"]: r["count"] for r in four.groupBy("key").count().collect()}
+    hot = skew.hot_keys(four, ["key"], min_rows=limit)
+    assert len(hot) == sum(n > limit for n in sizes.values()) and all(h.rows > limit for h in hot)
+    assert all(h.rows / h.splits <= limit for h in hot)
 
 
 def test_advantage_paths_agree(lopsided):
@@ -60,12 +62,11 @@ def test_advantage_paths_agree(lopsided):
         assert other == pytest.approx(first)
 
 
-def test_large_examples_continue_in_parts(lopsided):
-    numbered = skew.with_position(lopsided.where("key < 20"), ["key"], ["id"], "sample_idx")
-    lists = layout.collect_samples(numbered, ["key"], "y", "ys", chunk=64)
-    assert lists.agg(F.max(F.size("ys"))).first()[0] == 64
-    back = (lists.select("key", "part", F.posexplode("ys").alias("i", "y"))
-            .select("key", (F.col("part") * 64 + F.col("i")).alias("sample_idx"), "y"))
+def test_an_example_is_one_row_whatever_its_size(lopsided):
+    numbered = skew.with_position(lopsided, ["key"], ["id"], "sample_idx")
+    lists = layout.collect_samples(numbered, ["key"], "y", "ys")
+    assert lists.count() == numbered.select("key").distinct().count()
+    back = lists.select("key", F.posexplode("ys").alias("i", "y"))
     assert rows(back) == rows(numbered.select("key", "sample_idx", "y"))
 
 
