@@ -13,13 +13,30 @@ TRAINED_ROLE = "assistant"
 _LEAD, _END = "### ", "</turn>\n"
 
 
+# A character that may begin a control string, and the letter that stands for it behind a backslash.
+_CODES = (("<", "l"), ("#", "h"), (":", "c"))
+
+
 def escape(text: Column, role: bool = False) -> Column:
-    """Put a backslash before characters that begin a control string or a backslash."""
-    return F.regexp_replace(text, r"([\\#<:])" if role else r"([\\#<])", r"\\$1")
+    """Write backslashes twice and control characters as a backslash and a letter.
+
+    No control string is left in the text: neither ``#`` nor ``<``, and in a
+    role no colon either.
+    """
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for character, letter in _CODES if role else _CODES[:2]:
+        out = F.replace(out, F.lit(character), F.lit("\\" + letter))
+    return out
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    """The text before ``escape``: what stands between doubled backslashes has single ones only."""
+    def plain(piece: Column) -> Column:
+        for character, letter in _CODES:
+            piece = F.replace(piece, F.lit("\\" + letter), F.lit(character))
+        return piece
+
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
 def format_prefixes(conversations: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
@@ -65,13 +82,12 @@ def format_prefixes(conversations: DataFrame, trained_role: str = TRAINED_ROLE)
 def parse_turns(formatted: Column) -> Column:
     """The turns of a formatted text: an array of role and text."""
     pieces = F.filter(F.split(formatted, _END, -1), lambda p: p != "")
-    head = r"(?s)^### ((?:[^\\:]++|\\.)*+): .*$"
     return F.transform(pieces, lambda p: F.struct(
-        unescape(F.regexp_extract(p, head, 1)).alias("role"),
-        unescape(F.regexp_replace(p, r"(?s)^### (?:[^\\:]++|\\.)*+: ", "")).alias("text")))
+        unescape(F.regexp_extract(p, r"^### ([^:]*): ", 1)).alias("role"),
+        unescape(F.regexp_replace(p, r"(?s)^### [^:]*: ", "")).alias("text")))
 
 
-def masked_text(example: DataFrame | None = None) -> Column:
+def masked_text() -> Column:
     """The text under the loss mask as it was before formatting."""
     return unescape(F.substring(F.col("formatted"), F.col("mask_start") + 1, F.col("mask_length")))
 

@@ -257,7 +257,7 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.arange(len(sums) + 2), pa.int32()), pa.array(np.concatenate([sums, [
                             (unpack_array(row["counts"], np.int64) == 1).sum(),
-                            (unpack_array(row["counts"], np.int64) == 2).sum()]]))], ["i", "v"])
+                            (unpack_array(row["counts"], np.int64) == 2).sum()]]).astype(float))], ["i", "v"])
 
         rows = merged.mapInArrow(totals, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         out = np.zeros(2 * (CONTEXTS + PARENTS) + 6)

@@ -139,7 +139,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, rate: f
     """The model of labelled rows; without rows of both labels it is a constant."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     model = Gam(float(np.log(share / (1 - share))))
-    if y.min(initial=1) == y.max(initial=0):
+    if not len(y) or y.min() == y.max():
         return model
     quantiles = np.linspace(0, 1, bins + 1)[1:-1]
     model.edges = [np.unique(np.quantile(x[:, f], quantiles)) for f in range(x.shape[1])]

@@ -1,5 +1,16 @@
 import os
 import sys
 
+import pytest
+
 sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)),
                 os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))]
+
+from gradeframe.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(cpus=8, memory="6g", name="gradeframe-tests")
+    yield session
+    session.stop()
