@@ -89,3 +89,22 @@ def checkpoint_curve(spark: SparkSession, folder: str) -> DataFrame:
     curve = choice_eval.checkpoint_curve(_chosen(spark, folder), ["example_id"],
                                          ["benchmark", "step"])
     return curve.withColumns(rounded(*voting.RATES))
+
+
+@query(f"""SELECT benchmark, total, pass_at_1, pass_at_k, majority_vote_correct, extraction_success, {_RATES}
+  FROM (SELECT i.benchmark, count(*) AS total, count(*) FILTER (WHERE first_right) AS pass_at_1,
+      count(*) FILTER (WHERE any_right) AS pass_at_k,
+      count(*) FILTER (WHERE majority_right) AS majority_vote_correct,
+      count(*) FILTER (WHERE extracted) AS extraction_success
+    FROM (SELECT CASE o_orderkey % 2 WHEN 0 THEN 'choice_a' ELSE 'choice_b' END AS benchmark,
+        o_orderkey AS example_id FROM orders
+      UNION ALL SELECT 'choice_none', c_custkey FROM customer) i
+    LEFT JOIN {_votes('benchmark', 'example_id')} v USING (benchmark, example_id) GROUP BY i.benchmark)""")
+def choice_accuracy_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items without any sample count in the total, also if they are a whole benchmark."""
+    items = table(spark, folder, "orders").selectExpr(
+        "CASE o_orderkey % 2 WHEN 0 THEN 'choice_a' ELSE 'choice_b' END AS benchmark",
+        "o_orderkey AS example_id").unionByName(table(spark, folder, "customer").selectExpr(
+            "'choice_none' AS benchmark", "c_custkey AS example_id"))
+    counted = voting.choice_accuracy(_chosen(spark, folder), ["benchmark"], ["example_id"], items=items)
+    return counted.withColumns(rounded(*voting.RATES))

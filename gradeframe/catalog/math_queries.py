@@ -316,3 +316,50 @@ def metric_by_step(spark: SparkSession, folder: str) -> DataFrame:
              .withColumnRenamed("pass_at_k", "pass_at_1"))
     return curves.step_delta(curve, "pass_at_1", ["benchmark"]).withColumns(
         rounded("pass_at_1", "change"))
+
+
+_NONE_SQL = f"""(SELECT benchmark, example_id, n, c FROM {_WITH_EMPTY}
+  UNION ALL SELECT 'bench_none', c_custkey, 0, 0 FROM customer)"""
+
+
+@query(f"""SELECT benchmark, count(*) AS total_examples,
+    count(*) FILTER (WHERE c > 0) AS correct_at_least_once,
+    round(count(*) FILTER (WHERE c > 0) / count(*), 6) AS accuracy_any,
+    round(avg({oracle.pass_at_k('n', 'c', '1')}) FILTER (WHERE n > 0), 6) AS pass_at_1
+  FROM {_NONE_SQL} GROUP BY benchmark""")
+def passk_no_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """A benchmark none of whose questions has a sample keeps its counts and has no Pass@k."""
+    extra = table(spark, folder, "customer").selectExpr(
+        "'bench_none' AS benchmark", "c_custkey AS example_id")
+    questions = _questions(spark, folder).select("benchmark", "example_id").unionByName(extra)
+    scores = scoring.with_empty_examples(
+        score_samples(math_rollouts(spark, folder)), questions, ["benchmark", "example_id"])
+    first = F.try_element_at("pass_at_k", F.lit("pass@1"))
+    return (scoring.benchmark_summary(scores, ks=[1]).withColumn("pass_at_1", first)
+            .drop("pass_at_k").withColumns(rounded("accuracy_any", "pass_at_1")))
+
+
+@query(f"""SELECT {_ROW}, answer_text, gold, coalesce(p = g OR abs(pn - gn) < 1e-6, false) AS is_correct
+  FROM {_JUDGED}""")
+def is_equiv_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts without the rule that a gold answer may be contained in the prediction."""
+    return judged_samples(math_rollouts(spark, folder), strict=True).select(
+        *ROW, "answer_text", "gold", "is_correct")
+
+
+_NESTED = """chr(92) || 'boxed{1} ' || chr(92) || 'boxed{' || chr(92) || 'sqrt{' || chr(92) || 'frac{' || v
+  || '}{{x}{' || chr(92) || 'text{y' || '{z}' || '}}}}' || CASE form % 3 WHEN 0 THEN '}'
+  WHEN 1 THEN ' open' ELSE '} and ' || chr(92) || 'boxed{ {{{{' || v || '}}}} }' END"""
+_NESTED_PARTS = ("CAST(l_orderkey AS BIGINT) AS example_id", "l_linenumber AS line_no",
+                 "CAST(CAST(l_quantity AS INT) % 4 AS STRING) AS v", "CAST(l_partkey % 14 AS INT) AS form")
+
+
+@query(f"""SELECT example_id, line_no, CASE form % 3 WHEN 1 THEN '1' WHEN 2 THEN '{{{{{{{{' || v || '}}}}}}}}'
+    ELSE chr(92) || 'sqrt{{' || chr(92) || 'frac{{' || v || '}}{{{{x}}{{' || chr(92) || 'text{{y{{z}}}}}}}}}}' END AS answer_text
+  FROM (SELECT {', '.join(_NESTED_PARTS)} FROM lineitem)""")
+def extract_boxed_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes with braces five deep, and boxes that never close."""
+    lines = spread(table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_partkey"), "l_orderkey").selectExpr(*_NESTED_PARTS)
+    return lines.select("example_id", "line_no", F.expr(_NESTED).alias("output")).select(
+        "example_id", "line_no", extract.boxed_answer("output", balanced=True).alias("answer_text"))

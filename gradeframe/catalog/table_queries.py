@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gradeframe.catalog import oracle
 from gradeframe.catalog.math_queries import rounded
@@ -149,6 +149,19 @@ def mixed_group(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder).select(*_GROUP_KEYS, "source", "l_orderkey", "l_partkey")
 
 
+@query(f"""SELECT question_id, step, source, least(count(*), CASE source WHEN 'explorer' THEN {_EXPLORERS}
+    ELSE {_SIZE} - {_EXPLORERS} END)::BIGINT AS kept
+  FROM (SELECT {_GROUP_SELECT}, l_linenumber AS step FROM lineitem) GROUP BY question_id, step, source
+  HAVING CASE source WHEN 'explorer' THEN {_EXPLORERS} ELSE {_SIZE} - {_EXPLORERS} END > 0""")
+def mixed_group_seeded(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rollouts a seeded draw keeps of each source and group."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", *LINE_ORDER)
+    grouped = lines.selectExpr(*[f"{e} AS {n}" for n, e in _GROUP_COLUMNS.items()],
+                               "l_orderkey", *LINE_ORDER)
+    drawn = rollouts.mixed_group(grouped, _GROUP_KEYS, _GROUP_ORDER, _MIX, _SIZE, seed=7)
+    return drawn.groupBy(*_GROUP_KEYS, "source").agg(F.count(F.lit(1)).alias("kept"))
+
+
 def _advantage_sql(source: str, keys: str, deviation: str) -> str:
     return f"""(SELECT *, CASE WHEN coalesce(sd, 0) < 1e-12 THEN 0.0
         ELSE round((reward - mean) / sd, 6) END AS advantage
@@ -219,7 +232,7 @@ _LINE = """CASE o_orderkey % 7
   WHEN 3 THEN '{"answer":"' || g || '"}'
   WHEN 4 THEN '{"predicted_answers":["","' || v || '"]}'
   WHEN 5 THEN '{"answer":' || g || ',"predicted_answers":[' || v || ',1.0,true,"' || g || '"]}'
-  ELSE '   ' END"""
+  ELSE ' \u3000\u00a0 ' END"""
 _LINE_PARTS = ("CAST(o_orderkey % 4 AS STRING) AS v", "CAST(o_custkey % 4 AS STRING) AS g")
 
 
@@ -248,12 +261,17 @@ def log_tail(spark: SparkSession, folder: str) -> DataFrame:
     return tail.select("user_id", "event_id", "event_type")
 
 
-@query("""SELECT 'run_v2_step_' || p_size AS checkpoint, p_size::BIGINT AS step, count(*) AS parts
-  FROM part GROUP BY p_size""")
+@query("""SELECT checkpoint, step, parts, row_number() OVER (ORDER BY run, step, checkpoint) AS place
+  FROM (SELECT 'run' || (p_partkey % 12) || '_v2_step_' || p_size AS checkpoint, p_size::BIGINT AS step,
+      p_partkey % 12 AS run, count(*) AS parts FROM part GROUP BY ALL)""")
 def checkpoint_order(spark: SparkSession, folder: str) -> DataFrame:
-    names = table(spark, folder, "part").selectExpr("concat('run_v2_step_', p_size) AS checkpoint")
+    """Checkpoints with two numbers in their names, in natural order; one row per checkpoint."""
+    names = table(spark, folder, "part").selectExpr(
+        "concat('run', p_partkey % 12, '_v2_step_', p_size) AS checkpoint")
+    order = Window.orderBy(discovery.natural_order("checkpoint"))
     return (names.groupBy("checkpoint").agg(F.count(F.lit(1)).alias("parts"))
-            .withColumn("step", discovery.checkpoint_step("checkpoint")).orderBy("step"))
+            .withColumn("step", discovery.checkpoint_step("checkpoint"))
+            .withColumn("place", F.row_number().over(order).cast("long")))
 
 
 @query("""SELECT DISTINCT p_brand AS strategy, p_size AS step_name, p_brand || '_' || p_size AS checkpoint

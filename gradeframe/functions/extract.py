@@ -31,10 +31,8 @@ ANSWER_MARKERS = (
 )
 TRAILING_PUNCTUATION = "。.!！；;，,"
 
-# A box holding up to two levels of nested braces.
-BALANCED_BOXED = (
-    r"\\boxed\{((?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})++)\}"
-)
+# Pieces of a text for counting braces: box openings, braces, and what lies between.
+BRACE_PIECES = r"\\boxed\{|[{}]|[^{}\\]++|\\"
 
 # Possessive digits: a run of digits is never entered in its middle, so the
 # scan is linear even on very long runs.
@@ -45,10 +43,40 @@ INTEGER_NUMBER = rf"(?<!{DIGIT})-?{DIGIT}++(?!\.)"
 STRATEGIES = ("boxed", "fraction", "marker", "number", "last_line")
 
 
+def _balanced_box(text: Column) -> Column:
+    """Content of the last box that closes and lies in no other closed box, of any depth.
+
+    One pass over the pieces keeps the places of open braces; places of plain
+    braces are negative. A box closes after all boxes in it, so the last one to
+    close is the one wanted.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("open"),
+                     F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end"))
+
+    def step(state: Column, piece: Column) -> Column:
+        after = state["at"] + F.length(piece)
+        depth = F.size(state["open"])
+        top = F.try_element_at(state["open"], F.lit(-1))
+        boxed = (piece == "}") & F.coalesce((top >= 0) & (state["at"] > top), F.lit(False))
+        opened = (F.when(piece == "{", F.array_append(state["open"], F.lit(-1)))
+                  .when(F.startswith(piece, F.lit("\\boxed{")), F.array_append(state["open"], after))
+                  .when((piece == "}") & (depth > 0), F.slice(state["open"], F.lit(1), depth - 1))
+                  .otherwise(state["open"]))
+        return F.struct(after.alias("at"), opened.alias("open"),
+                        F.when(boxed, top).otherwise(state["begin"]).alias("begin"),
+                        F.when(boxed, state["at"]).otherwise(state["end"]).alias("end"))
+
+    pieces = F.regexp_extract_all(text, F.lit(BRACE_PIECES), F.lit(0))
+    place = F.aggregate(pieces, start, step, lambda s: F.struct(s["begin"], s["end"]))
+    return F.transform(F.array(place), lambda s: F.substring(
+        text, s["begin"] + 1, s["end"] - s["begin"]))[0]
+
+
 def boxed_answer(text: ColumnLike, balanced: bool = False) -> Column:
-    """Content of the last box. ``balanced`` keeps nested braces together."""
-    found = last_found(text, BALANCED_BOXED if balanced else BOXED)
-    return strip(F.when(F.contains(as_column(text), F.lit("\\boxed{")), found))
+    """Content of the last box. ``balanced`` keeps nested braces together, however deep."""
+    text = as_column(text)
+    found = _balanced_box(text) if balanced else last_found(text, BOXED)
+    return strip(F.when(F.contains(text, F.lit("\\boxed{")), found))
 
 
 def latex_fraction(text: ColumnLike) -> Column:

@@ -8,9 +8,13 @@ any size shrinks to the number of labels before it moves.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# More than any sample position, so that a vote outweighs all of them.
+_VOTE = Decimal(10 ** 18)
+
 COUNTS = ("total", "pass_at_1", "pass_at_k", "majority_vote_correct", "extraction_success")
 RATES = {
     "pass_at_1_rate": "pass_at_1",
@@ -45,16 +49,20 @@ def majority_vote(samples: DataFrame, keys: Sequence[str], answer: str = "choice
 def example_votes(samples: DataFrame, keys: Sequence[str], key: str = "answer_key",
                   answer: str = "choice", position: str = "sample_idx") -> DataFrame:
     """Per example: first sample right, any right, majority right, any extracted."""
-    ranked = F.struct(F.col("votes"), (-F.col("first_position")).alias("order"), F.col("__right"))
-    earliest = F.struct(F.col("first_position"), F.col("__right"))
+    # Votes, then position, then the verdict as the last binary digit of one number,
+    # because numbers can be aggregated by hash and structs only by sorting.
+    right = F.col("__right").cast("int")
+    position_ = F.col("first_position").cast("decimal(18,0)")
+    ranked = (F.col("votes").cast("decimal(16,0)") * _VOTE - position_) * 2 + right
+    earliest = F.col("first_position").cast("decimal(18,0)") * 2 + right
     return (answer_counts(samples, [*keys, key], answer, position)
             .withColumn("__right", F.col(answer).eqNullSafe(F.col(key)))
             .groupBy(*keys)
             .agg(F.min(earliest).alias("__first"), F.max(ranked).alias("__top"),
                  F.bool_or("__right").alias("any_right"),
                  F.bool_or(F.col(answer).isNotNull()).alias("extracted"))
-            .select(*keys, F.col("__first.__right").alias("first_right"), "any_right",
-                    F.col("__top.__right").alias("majority_right"), "extracted"))
+            .select(*keys, (F.col("__first") % 2 != 0).alias("first_right"), "any_right",
+                    (F.col("__top") % 2 != 0).alias("majority_right"), "extracted"))
 
 
 def rates(counts: DataFrame) -> DataFrame:
