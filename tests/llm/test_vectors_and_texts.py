@@ -254,5 +254,20 @@ def test_pipeline_stage_by_stage(spark, vocabulary, tmp_path):
     assert len(rows) == mixed.count() and all(r["decoded_sha256"] == digest[r["doc_id"]] for r in rows)
 
 
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    cases.documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    docs = cases.documents(spark)
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(
+        map(repr, [1, 3, 4, None, None, 5, 6, 7, 8, 9, 10]))
+    again = corpus_pipeline.near_duplicates(spark, docs.where("doc_id = 2"), str(tmp_path))
+    assert [r["doc_id"] for r in again.collect()] == [2]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
