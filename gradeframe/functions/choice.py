@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gradeframe.functions.text import ALNUM, WORD, WHITESPACE, ColumnLike, as_column, char_class
+from gradeframe.functions.text import (
+    ALNUM, NON_SPACE, WHITESPACE, WORD, ColumnLike, as_column, char_class,
+)
 
 DEFAULT_LABELS = ("A", "B", "C", "D", "E")
 
@@ -22,7 +24,7 @@ PHRASES = (
 
 # First character of each line when a non-alphanumeric or the line end follows.
 _LINE_SPACE = char_class(WHITESPACE.replace("\n", ""))
-LINE_LEAD = rf"(?md)^{_LINE_SPACE}*+({char_class(WHITESPACE, negate=True)})(?!{ALNUM})"
+LINE_LEAD = rf"(?md)^{_LINE_SPACE}*+({NON_SPACE})(?!{ALNUM})"
 
 
 def default_labels() -> Column:

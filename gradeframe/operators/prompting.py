@@ -99,16 +99,18 @@ def generate(prompts: DataFrame, make_generator: Callable[[], Generator], prompt
 
 
 def run_config(prompts: DataFrame, by: Sequence[str], k: int, prompt: str = "prompt",
-               order_by: str = "example_id") -> DataFrame:
+               order_by: str = "example_id", messages: str | None = None) -> DataFrame:
     """Run log: prompt and generation counts and the first prompt of each run.
 
     The first id is found on numbers alone; only then one prompt per run is
     looked up, instead of sorting all prompt texts. ``order_by`` is unique in a run.
+    ``messages`` names a column with chat messages to be logged as well.
     """
     by = list(by)
     runs = prompts.groupBy(*by).agg(F.min(order_by).alias(order_by),
                                     F.count(F.lit(1)).alias("examples"))
-    first = prompts.select(*by, order_by, F.col(prompt).alias("first_prompt"))
+    said = [F.col(messages).alias("first_messages")] if messages else []
+    first = prompts.select(*by, order_by, F.col(prompt).alias("first_prompt"), *said)
     return (join_same(first, runs, [*by, order_by], "inner")
             .withColumn("samples_per_example", F.lit(int(k)))
             .withColumn("generations", F.col("examples") * k)

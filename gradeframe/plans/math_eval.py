@@ -27,7 +27,8 @@ def run_log(prompt_table: DataFrame, model_path: str, run_ts: str, k: int,
         "model": prompts.model_name(F.lit(model_path)), "run_ts": F.lit(run_ts)})
     by = ["model", "run_ts", "benchmark", "mode", "temperature", "top_p", "top_k",
           "presence_penalty", "max_tokens"]
-    return prompting.run_config(named, by, k, prompt, order_by)
+    messages = "messages" if "messages" in prompt_table.columns else None
+    return prompting.run_config(named, by, k, prompt, order_by, messages)
 
 
 def judged_samples(samples: DataFrame, balanced: bool = False, strict: bool = False) -> DataFrame:

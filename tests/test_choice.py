@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gradeframe.functions import choice
 from gradeframe.operators.extraction import extract_choices
 
+# Texts and the answers that they must give.
 GOLDEN = [
     ("The answer is (C).", "C"), ("Answer: Because of D", "B"), ("correct option B", "B"),
     ("Choice D", "D"), ("I pick (E) over (A)", "E"), ("[B]", "B"), ("  c  ", "C"),

@@ -11,6 +11,7 @@ from gradeframe.functions import equivalence
 from gradeframe.operators.scoring import judge, parse_numbers
 from helpers import apply
 
+# Texts and the answers that they must give.
 NORMAL = [
     ("42", "42"), ("3.14", "3.14"), ("  42  ", "42"), (r"\frac{2}{3}", "2/3"), ("$100$", "100"),
     ("1,000", "1000"), ("Answer: 42", "answer:42"), ("(  3.14 )", "3.14"), ("==42。", "42"),

@@ -10,6 +10,7 @@ from gradeframe.functions import extract, text
 from gradeframe.operators.extraction import extract_answers
 from helpers import apply
 
+# Texts and the answers that they must give.
 GOLDEN = {
     "boxed": (lambda: extract.boxed_answer("t"), [
         (r"The answer is \boxed{42}", "42"),
@@ -102,6 +103,7 @@ def test_marker_ignores_case_as_python_does(spark):
 
 
 # Our pattern, the plain spelling for Python, and the group that holds the match.
+# Texts and the answers that they must give.
 PATTERNS = [
     (extract.FRACTION_NUMBER, r"-?\d+/\d+", 0),
     (extract.DECIMAL_NUMBER, r"(?<![\d])(-?\d+\.\d+)(?![\d])", 0),

@@ -74,6 +74,7 @@ def test_malformed_answer_line_fails(spark, tmp_path):
 
 
 def test_raw_to_answers_to_results(spark, tmp_path):
+    # Records and the figures that they must give.
     raw = write(tmp_path / "raw.jsonl", [
         {"question": "What is 2+2?", "answer": "4", "outputs": [r"The answer is \boxed{4}", "Answer: 4"]},
         {"question": "ünï", "answer": r"\frac{14}{3}", "outputs": [r"The result is \frac{14}{3}", "é"]},
@@ -148,6 +149,7 @@ def test_run_log(spark):
     table = math_eval.math_prompts(items, "think", k=32).withColumn("prompt", F.col("messages")[0]["content"])
     stamp = sinks.run_timestamp(datetime(2025, 10, 25, 12, 14, 5))
     log = math_eval.run_log(table, "/models/M-8B/", stamp, 32)
+    assert {r["first_messages"][0]["content"] for r in log.collect()} == {"q1 /think"}
     assert rows(log.select("model", "run_ts", "benchmark", "max_tokens", "first_prompt", "generations")) == [
         ("M-8B", "251025121405", "aime24", 38912, "q1 /think", 64),
         ("M-8B", "251025121405", "math500", 32768, "q1 /think", 64)]
