@@ -33,12 +33,17 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, BLANKS))).cast("long")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="gradeframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = tempfile.mkdtemp(prefix="gradeframe-")
+        folder = _OWN[application]
     return folder.rstrip("/")
 
 
@@ -51,8 +56,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def without_blanks_ascii_lower(text: str) -> list[bytes]:
-    """The words of a text with A-Z in lower case, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split()

@@ -5,11 +5,13 @@ signatures are compared batch by batch, and a pair goes as soon as its
 posterior probability of being similar is below the miss probability;
 survivors are verified on full shingle sets. Pairs that are already in one
 component are not looked at again, so a group of n near copies costs about n
-comparisons instead of n squared.
+comparisons instead of n squared: a few rounds link documents with the central
+one of a bucket before whole buckets are compared.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -26,6 +28,8 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
 BLOCK = 1024
+ROUNDS = 2  # of links with central documents before all pairs; the result does not depend on it
+SMALL_IDS = 2_000_000  # so many ids, 16 MB, may be broadcast
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +65,8 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(value: np.ndarray, first: np.ndarray, filled: np.ndarray) -> np.ndarray:
-    """Minimum of each of ``HASHES`` functions over each text that has shingles."""
-    out = np.zeros((len(filled), HASHES), np.uint32)
+    """Low 16 bits of the minimum of each of ``HASHES`` functions over each text that has shingles."""
+    out = np.zeros((len(filled), HASHES), np.uint16)
     if not len(filled):
         return out
     high, low = (value >> np.uint64(32)).astype(np.uint32), value.astype(np.uint32)
@@ -72,7 +76,7 @@ def _signatures(value: np.ndarray, first: np.ndarray, filled: np.ndarray) -> np.
             mixed = high * factors[2 * j] + low * factors[2 * j + 1]
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(0x2C1B3C6D)
-            out[:, j] = np.minimum.reduceat(mixed, first[filled])
+            out[:, j] = np.minimum.reduceat(mixed, first[filled]) & np.uint32(0xFFFF)
     return out
 
 
@@ -125,7 +129,7 @@ def _bands(signature: Column) -> Column:
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
 def least_matches(threshold: float, miss: float) -> list[int]:
@@ -170,17 +174,30 @@ def _unpruned(pairs: DataFrame, reps: DataFrame, least: list[int]) -> DataFrame:
             .where(passed("sa", "sb")).select("a", "b"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids whose full sets have ``100 * intersection >= percent * union``."""
+def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Full shingle sets (doc_id, s) of the documents with these ids, ascending.
+
+    The ids are broadcast if they are few, so that texts stay where they are.
+    """
 
     @F.arrow_udf("array<long>")
     def sets(column: pa.Array) -> pa.Array:
         out = []
         for words in slices(column, lower=True):
             value, first = shingles(words, size)
-            out += [value[a:b].view(np.int64) for a, b in zip(first[:-1], first[1:])]
+            out += [np.sort(value[a:b].view(np.int64)) for a, b in zip(first[:-1], first[1:])]
         return pa.array(out, pa.list_(pa.int64()))
 
+    ids = stored(ids.distinct(), "ids")
+    if ids.count() <= SMALL_IDS:
+        ids = F.broadcast(ids)
+    return stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+                  .select("doc_id", sets(F.col("text")).alias("s")).dropDuplicates(["doc_id"]), "shingles")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids whose full sets have ``100 * intersection >= percent * union``."""
+
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
@@ -190,47 +207,122 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    full = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-                  .select("doc_id", sets(F.col("text")).alias("s")).dropDuplicates(["doc_id"]), "shingles")
+    full = _sets(pairs.select(F.col("a").alias("doc_id")).unionByName(
+        pairs.select(F.col("b").alias("doc_id"))), docs, size)
     return (pairs.join(full.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
             .join(full.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
             .where(similar("sa", "sb")).select("a", "b"))
 
 
-def _across(members: DataFrame, least: list[int]) -> DataFrame:
-    """Unpruned pairs of different components within buckets (bucket, rep, component, signature).
+def _central(members: DataFrame, round_: int) -> DataFrame:
+    """Each document with a central one of its buckets that is in another component.
 
-    A bucket is cut into blocks of about ``BLOCK`` members and every two blocks
-    meet in a group of their own, so a huge bucket is spread over many tasks and
-    all of its pairs are still looked at.
+    The first round takes the document that shares most buckets with others,
+    later ones take one by hash. Of several, a document is paired with the one
+    it shares most buckets with.
+    """
+    order = F.col("degree") if round_ == 0 else F.xxhash64("rep", F.lit(round_))
+    centre = (members.groupBy("bucket").agg(
+        F.max(F.struct(order.alias("order"), F.col("rep").alias("a"), F.col("component").alias("ca"))).alias("c"),
+        F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket", "c.*"))
+    return (members.join(centre, "bucket").where("component <> ca").groupBy("a", F.col("rep").alias("b"))
+            .agg(F.count(F.lit(1)).alias("n"), F.max("order").alias("order"))
+            .groupBy("b").agg(F.max(F.struct("n", "order", "a"))["a"].alias("a")).select("a", "b"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after each document takes that of the central one it is linked with, and of that label's own.
+
+    They may be finer than components, which costs comparisons but loses none.
+    A central document stands above those linked to it, so there are no circles.
+    """
+    taken = (labels.join(links.select(F.col("b").alias("rep"), "a"), "rep", "left")
+             .withColumn("component", F.coalesce("a", "component")).drop("a"))
+    above = taken.select(F.col("rep").alias("component"), F.col("component").alias("next"))
+    return taken.join(above, "component", "left").select(
+        "rep", "degree", F.coalesce("next", "component").alias("component"))
+
+
+def _united(links: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in links])
+
+
+def _facing(table: pa.Table, least: list[int]):
+    """For each member of one block, the members of the other that no batch prunes.
+
+    Members of one component don't face each other, and a pair does so in the
+    first band that it shares only.
+    """
+    sig = _matrix(table["signature"])
+    bands = sig.reshape(len(sig), BANDS, ROWS)
+    rep, comp, own = (table[c].to_numpy() for c in ("rep", "component", "own"))
+    i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
+    right = np.flatnonzero(own == j)
+    for x in np.flatnonzero(own == i):
+        y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i != j))]
+        for k, need in enumerate(least):
+            stop = (k + 1) * BATCH
+            y = y[(sig[y, :stop] == sig[x, :stop]).sum(1) >= need]
+        y = y[~(bands[y, :band] == bands[x, :band]).all(2).any(1)]
+        if len(y):
+            yield x, y
+
+
+def _across(members: DataFrame, docs: DataFrame, size: int, percent: int, least: list[int]) -> DataFrame:
+    """Verified links (a, b) between components within buckets.
+
+    ``members`` has bucket, band, n, rep, component and signature. A bucket is
+    cut into blocks of about ``BLOCK`` members and every two blocks meet in a
+    group of their own, so a huge bucket is spread over many tasks and all of
+    its pairs are still looked at. A first pass finds the members that face
+    another one; only these get their shingle sets for the second, which
+    verifies pairs on the spot and leaves out those that its own links have
+    joined. So what a group gives grows with its members, not with their pairs.
     """
-    sizes = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    dealt = (members.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+    dealt = (members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
              .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "own", "rep", "component", "signature"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        sig = _matrix(table["signature"])
-        rep, comp, own = (table[c].to_numpy() for c in ("rep", "component", "own"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        found_a, found_b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i != j))]
-            for k, need in enumerate(least):
-                stop = (k + 1) * BATCH
-                y = y[(sig[y, :stop] == sig[x, :stop]).sum(1) >= need]
-            found_a.append(np.minimum(rep[x], rep[y]))
-            found_b.append(np.maximum(rep[x], rep[y]))
-        return pa.table([np.concatenate(found_a) if found_a else np.zeros(0, np.int64),
-                         np.concatenate(found_b) if found_b else np.zeros(0, np.int64)], ["a", "b"])
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+                     "band", "own", "rep", "component", "signature"))
+
+    def screen(table: pa.Table) -> pa.Table:
+        kept = np.zeros(table.num_rows, bool)
+        for x, y in _facing(table, least):
+            kept[x] = kept[y] = True
+        return table.filter(pa.array(kept))
+
+    def link(table: pa.Table) -> pa.Table:
+        rep, comp = table["rep"].to_numpy(), table["component"].to_numpy()
+        sets = table["s"].combine_chunks()
+        values, bounds = sets.values.to_numpy(), sets.offsets.to_numpy().astype(np.int64)
+        parent: dict[int, int] = {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        found = []
+        for x, y in _facing(table, least):
+            y = y[[root(comp[v]) != root(comp[x]) for v in y]]
+            own, n = values[bounds[x]:bounds[x + 1]], bounds[y + 1] - bounds[y]
+            if not len(y) or not len(own):
+                continue
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[y], n)
+            theirs = values[at]
+            spot = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            both = np.add.reduceat((own[spot] == theirs).astype(np.int64), np.cumsum(n) - n)
+            for v in y[100 * both >= percent * (len(own) + n - both)]:
+                if root(comp[v]) != root(comp[x]):
+                    parent[root(comp[v])] = root(comp[x])
+                    found.append((min(rep[x], rep[v]), max(rep[x], rep[v])))
+        out = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table([out[:, 0], out[:, 1]], ["a", "b"])
+
+    facing = stored(dealt.groupBy("bucket", "i", "j").applyInArrow(screen, dealt.schema), "facing")
+    full = _sets(facing.select(F.col("rep").alias("doc_id")), docs, size)
+    return (facing.join(full.withColumnRenamed("doc_id", "rep"), "rep")
+            .groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -252,25 +344,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     known = rows.where("key is not null and doc_id is not null")
     reps = stored(known.groupBy("key").agg(F.min("doc_id").alias("rep"),
                                            F.min_by("signature", "doc_id").alias("signature")), "sets")
-    banded = reps.select("rep", F.explode(_bands(F.col("signature"))).alias("bucket"))
-    firsts = banded.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(banded.join(firsts, "bucket").select("bucket", "a", F.col("rep").alias("b")), "buckets")
-    # First each document with the smallest one that it shares most buckets with.
-    best = (shared.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("b").agg(F.max(F.struct("n", -F.col("a")))["col2"].alias("a")).select((-F.col("a")).alias("a"), "b"))
-    stars = stored(verified(stored(_unpruned(best, reps, least), "stars"), docs, size, percent), "links")
-    joined = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Then all pairs of buckets that are not in one component yet.
-    labelled = shared.select("bucket", F.col("b").alias("rep")).join(
-        joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
+    banded = reps.select("rep", F.posexplode(_bands(F.col("signature"))).alias("band", "bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(banded.join(sizes, "bucket").select("bucket", "band", "n", "rep"), "buckets")
+    degrees = stored(shared.groupBy("rep").agg(F.sum("n").alias("degree")), "degrees")
+    labels = degrees.withColumn("component", F.col("rep"))
+    links = []
+    for round_ in range(ROUNDS):
+        central = stored(_central(shared.join(labels, "rep"), round_), "central")
+        links.append(stored(verified(stored(_unpruned(central, reps, least), "pairs"), docs, size, percent), "links"))
+        if round_ + 1 < ROUNDS:
+            labels = stored(_relabelled(labels, links[-1]), "labels")
+    joined = components(_united(links))
+    known = degrees.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    open_ = labelled.join(mixed.select("bucket"), "bucket", "left_semi").join(reps.select("rep", "signature"), "rep")
-    rest = stored(_across(stored(open_, "open"), least), "pairs")
-    links = stars
-    if not rest.isEmpty():
-        links = stored(stars.unionByName(verified(rest, docs, size, percent)), "links")
-        joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    members = shared.join(known, "rep")
+    mixed = members.groupBy("bucket").agg(
+        F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
+    apart = stored(members.join(mixed, "bucket", "left_semi"), "apart")
+    if not apart.isEmpty():
+        more = _across(apart.join(reps.select("rep", "signature"), "rep"), docs, size, percent, least)
+        joined = components(_united([*links, more]))
     of_set = reps.select("key", "rep").join(
         joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "key", F.coalesce("component", "rep").alias("component_id"))
