@@ -41,9 +41,7 @@ def packed(docs: DataFrame, chunks: int, flag: Column | None = None) -> DataFram
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def pack(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _parts(whole)):
             table = pa.Table.from_batches([batch]).sort_by("chunk").combine_chunks()
             chunk = table["chunk"].to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
@@ -54,11 +52,20 @@ def packed(docs: DataFrame, chunks: int, flag: Column | None = None) -> DataFram
                 out.append({"chunk": int(chunk[a]), "doc_ids": ids.slice(a, b - a).to_pylist(),
                             "flags": flags.slice(a, b - a).to_pylist(), "sizes": [len(t) for t in part],
                             "texts": zstandard.compress(b"".join(part), 1)})
+            del table, ids, flags, texts, part
             yield pa.RecordBatch.from_pylist(out, schema=_PACKED_ARROW)
+            pa.default_memory_pool().release_unused()  # workers wait between tasks and would keep it
 
     return rows.mapInArrow(pack, PACKED)
 
 
+def _parts(batch: pa.RecordBatch):
+    """A batch in parts of about ``CHUNK_BYTES``, so that sorting copies no more than that at once."""
+    rows = max(1, batch.num_rows * CHUNK_BYTES // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def unpacked(table: pa.Table):
     """(doc_id, flag, text bytes) of each document of a group of ``PACKED`` rows."""
     for row in range(table.num_rows):
