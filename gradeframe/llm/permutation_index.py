@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. Each shard posts its
-vectors, with the pivot's position, in one inverted file per pivot. A query
+A vector is represented by its nearest pivots in order. So that near means a
+large inner product, vectors get a component more before: it fills a row up to
+the length of the longest and is 0 for a query. Each shard posts its vectors, with the pivot's position, in one inverted file per pivot. A query
 reads the files of its own nearest pivots only, ranks what it meets by the
 footrule distance of the two orders and reranks the first by inner product.
 """
@@ -9,6 +10,7 @@ footrule distance of the two orders and reranks the first by inner product.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +26,40 @@ def usable(embedding: Column) -> Column:
     return finite(embedding) & F.exists(embedding, lambda x: x != 0)
 
 
-def sample_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """At most ``pivots`` distinct directions from the vectors with the smallest hashes.
+def longest(vectors: DataFrame) -> float:
+    """Largest length of a vector, 1 without vectors."""
+    def lengths(batches):
+        for batch in batches:
+            sizes = np.diff(batch["embedding"].offsets.to_numpy())
+            x = matrix(batch["embedding"], max(sizes, default=0))
+            if x.size:
+                most = np.abs(x).max()
+                yield pa.RecordBatch.from_pydict({"length": [most * np.sqrt(((x / most) ** 2).sum(1).max())]})
+
+    found = vectors.select("embedding").mapInArrow(lengths, "length double").agg(F.max("length")).first()[0]
+    return min(found or 1.0, np.finfo(float).max)
+
+
+def filled(x: np.ndarray, most: float) -> np.ndarray:
+    """Rows in units of ``most``, after a component that fills each up to length 1."""
+    x = x / most
+    return np.column_stack([np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1))), x])
+
+
+def asking(q: np.ndarray) -> np.ndarray:
+    """Queries beside filled rows: their angles order rows by inner product."""
+    return np.column_stack([np.zeros(len(q)), q])
+
+
+def sample_pivots(vectors: DataFrame, most: float, pivots: int = PIVOTS) -> np.ndarray:
+    """At most ``pivots`` distinct filled vectors from those with the smallest hashes.
 
     At most four times as many rows come to the driver, to make up for copies.
     """
     rows = (vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id", "embedding")
             .limit(4 * pivots).toArrow())
     width = max((len(v) for v in rows["embedding"].to_pylist()), default=1)
-    x = matrix(rows["embedding"], width)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = filled(matrix(rows["embedding"], width), most)
     _, at = np.unique(x, axis=0, return_index=True)
     return x[np.sort(at)[:pivots]]
 
@@ -61,7 +87,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = PIVO
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    chosen = sample_pivots(rows, pivots)
+    most = longest(rows)
+    chosen = sample_pivots(rows, most, pivots)
     deep = min(depth, max(1, len(chosen)))
 
     def compare(query_ids, q, ids, x, k):
@@ -73,12 +100,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = PIVO
         begin = np.searchsorted(group[members], np.arange(len(first) + 1))
         posted = len(first) > candidates
         if posted:
-            near = orders(distinct, chosen, deep)
+            near = orders(filled(distinct, most), chosen, deep)
             pivot, place = near.ravel(), np.tile(np.arange(deep), len(near))
             order = np.argsort(pivot, kind="stable")
             posts, places = np.repeat(np.arange(len(near)), deep)[order], place[order]
             files = np.searchsorted(pivot[order], np.arange(len(chosen) + 1))
-        asked = orders(q, chosen, deep) if posted else None
+        asked = orders(asking(q), chosen, deep) if posted else None
         out = [], [], []
         for i, query_id in enumerate(query_ids):
             if posted:

@@ -6,6 +6,7 @@ import hashlib
 import cases
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,20 @@ def test_permutation_index_recall_on_the_tables(spark):
     assert np.mean([len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_permutation_index_recall_on_unequal_lengths(spark):
+    """Production parameters on a full shard; the longest vectors are the answers, at wider angles."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(permutation_index.SHARD_ROWS, 64))
+    x *= np.exp(0.5 * rng.normal(size=(len(x), 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = collected(permutation_index.nearest(df, F.col("vec_id") % 256 == 0))
+    score = x[list(got)] @ x.T
+    score[np.arange(len(got)), list(got)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert len(got) == 64
+    assert np.mean([len({i for _, i, _ in f} & set(w)) / 20 for f, w in zip(got.values(), want.tolist())]) >= 0.95
+
+
 def test_searches_of_empty_tables(spark):
     empty = table_of(spark, odd_vectors()).limit(0)
     assert permutation_index.nearest(empty, F.lit(True)).count() == 0
