@@ -1,21 +1,27 @@
 """Scoring texts by a hierarchical Pitman-Yor language model.
 
-A token's context is the end of the word before it. Each context is a
-restaurant; restaurants of contexts with the same last byte share a parent, and
-those share the root, whose base is uniform over the known words and one more.
-Tables are sampled by Gibbs sweeps, each restaurant and word given its parent,
-and the predictive probabilities of several sweeps are averaged.
+A token's context is the whole word before it. Each context is a restaurant;
+restaurants of words that end alike share a parent by their last two bytes,
+those with the same last byte share another, and these share the root, whose
+base is uniform over the known words and one more. Tables are sampled by Gibbs
+sweeps, each restaurant and word given its parent, and the predictive
+probabilities of several sweeps are averaged.
 
 Words are dealt to buckets by hash, with all that the restaurants know of them,
-so a sweep needs of other buckets only the totals of each restaurant: they are
-summed after every sweep, ``2 * (CONTEXTS + PARENTS + 1)`` numbers and two more,
-whatever the corpus. Counts are gathered from all training documents.
+so a sweep needs of other buckets only the totals of each restaurant. Those of
+whole words, which grow with the corpus, are summed after every sweep in parts
+dealt by the context's hash, and each bucket hears of the contexts that it meets.
+Those of word endings, ``2 * (CONTEXTS + PARENTS) + 9`` numbers, go through the
+driver. Counts are gathered from all training documents.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +36,14 @@ CONTEXTS = PARENTS * PER_PARENT
 END = b""  # no word is empty
 STRENGTH = 1.0
 EXACT = 64  # customers up to which tables are drawn from their exact conditional
-_SENT = "bucket int, chunk long, n int, words binary, pairs binary, counts binary"
-_MERGED = "bucket int, n int, words binary, pairs binary, counts binary"
+_SENT = "bucket int, chunk long, n int, words binary, sizes binary, contexts binary, places binary, counts binary"
+_MERGED = ("bucket int, chunk long, n int, sizes binary, contexts binary, ends binary, edges binary, places binary, "
+           "counts binary")
+_DEALT = "part int, bucket int, sums binary"
 
 
 def context(word: bytes) -> int:
-    """Context that a word sets for the next one: of its last two bytes, grouped by the last.
+    """Ending of a word, the parent of its own context: of its last two bytes, grouped by the last.
 
     ``END`` stands for the beginning of a text.
     """
@@ -44,6 +52,11 @@ def context(word: bytes) -> int:
     return (last * 37 % 251 % PARENTS) * PER_PARENT + before * 29 % 251 % PER_PARENT
 
 
+def context_key(word: bytes) -> int:
+    """The context that a whole word is: 53 bits of its hash, then its ending."""
+    return (int.from_bytes(hashlib.blake2b(word, digest_size=7).digest(), "big") >> 3) * CONTEXTS + context(word)
+
+
 def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
     """Logarithms of generalised Stirling numbers: row n, column t."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -118,6 +131,11 @@ class Seating:
         return ((self.n1 - all_.discount * self.t1) / (STRENGTH + all_.n1[self.mid])
                 + all_.open1[self.mid] * root[self.mid_word])
 
+    def leaves(self, all_: Totals) -> np.ndarray:
+        parent = self.parents(all_, self.root(all_))
+        return ((self.n2 - all_.discount * self.t2) / (STRENGTH + all_.n2[self.leaf])
+                + all_.open2[self.leaf] * parent[self.up])
+
     def sweep(self, all_: Totals, stirling: np.ndarray, rng) -> None:
         root = self.root(all_)
         parent = self.parents(all_, root)
@@ -145,6 +163,39 @@ class Seating:
                      (self.n2 - all_.discount * self.t2)) / (STRENGTH + all_.n2[leaf]) + all_.open2[leaf] * parent
 
 
+class WordSeating:
+    """The restaurants of whole words over those of endings, for one bucket's words.
+
+    Pairs are ascending by word and have ``at``, the place of the context; ``ends`` has the ending of each context.
+    """
+
+    def __init__(self, word: np.ndarray, at: np.ndarray, counts: np.ndarray, ends: np.ndarray, words: int):
+        self.word, self.at, self.n3, self.ends = word, at, counts, ends
+        pairs, self.up = np.unique(word * CONTEXTS + ends[at], return_inverse=True)
+        self.t3 = np.ones(len(word), np.int64)
+        self.base = Seating(pairs, np.bincount(self.up, minlength=len(pairs)), words)
+
+    def tables(self) -> np.ndarray:
+        """This bucket's tables of each context."""
+        return np.bincount(self.at, self.t3, len(self.ends)).astype(np.int64)
+
+    def sweep(self, all_: Totals, tables: np.ndarray, discount: float, stirling3, stirling, rng) -> None:
+        chance = (STRENGTH + discount * tables[self.at]) * self.base.leaves(all_)[self.up]
+        self.t3 = draw_tables(self.n3, chance, discount, stirling3, rng)
+        self.base.n2 = np.bincount(self.up, self.t3, len(self.base.word)).astype(np.int64)
+        self.base.sweep(all_, stirling, rng)
+
+    def predictive(self, all_: Totals, customers: np.ndarray, tables: np.ndarray, discount: float,
+                   word: np.ndarray, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Probability of words (-1: unknown) in contexts, given all customers and tables of each context.
+
+        ``pair`` is the place of word and context among the pairs, -1 where they were not trained.
+        """
+        own = np.append(self.n3 - discount * self.t3, 0.0)[pair]
+        return (own + (STRENGTH + discount * tables[at]) * self.base.predictive(all_, word, self.ends[at])) / (
+            STRENGTH + customers[at])
+
+
 class Totals:
     """Customers and tables of whole restaurants, and what follows from them."""
 
@@ -158,9 +209,22 @@ class Totals:
         self.open1 = (STRENGTH + discount * self.t1) / (STRENGTH + self.n1)
         self.base = (STRENGTH + discount * self.t0) / (STRENGTH + self.n0) * self.uniform
 
-    @property
-    def tokens(self) -> int:
-        return int(self.n2.sum())
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Steps between mostly ascending keys, byte by byte: high bytes are alike."""
+    return zstandard.compress(np.diff(keys, prepend=0).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view(np.int64).ravel())
+
+
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, after which the driver's garbage goes, and with it shuffle files that nothing needs any more."""
+    out = stored(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -168,19 +232,46 @@ def _tokens(text: bytes) -> list[bytes]:
 
 
 def _pair_counts(table: pa.Table):
-    """Distinct words of a chunk and its (word, context) pairs with training counts, 0 if held out only."""
+    """What a chunk has: its distinct words, the key of each, the (word, context) pairs and the documents.
+
+    Words ascend, and pairs ascend by word and context key, so that both sides of an answer number them
+    alike. Pairs come as word, place of the context's word, and training count, 0 if held out only;
+    documents as id, whether trained, tokens' words and pairs.
+    """
     place: dict[bytes, int] = {END: 0}
-    seen, weights = [], []
-    for _, trained, text in unpacked(table):
+    seen, weights, docs = [], [], []
+    for doc_id, trained, text in unpacked(table):
         ids = [0, *[place.setdefault(w, len(place)) for w in _tokens(text)], 0]
         seen.append(np.array(ids, np.int64))
         weights.append(np.full(len(ids) - 1, trained))
-    words = list(place)
-    contexts = np.fromiter(map(context, words), np.int64, len(words))
-    keys = [s[1:] * CONTEXTS + contexts[s[:-1]] for s in seen]
-    keys, weights = np.concatenate(keys), np.concatenate(weights)
-    pairs, back = np.unique(keys, return_inverse=True)
-    return words, pairs, np.bincount(back, weights, len(pairs)).astype(np.int64)
+        docs.append((doc_id, trained))
+    words = sorted(place)
+    rank = np.empty(len(words), np.int64)
+    rank[np.fromiter((place[w] for w in words), np.int64, len(words))] = np.arange(len(words))
+    keys = np.fromiter(map(context_key, words), np.int64, len(words))
+    by_key = np.argsort(keys, kind="stable")
+    key_rank = np.empty(len(words), np.int64)
+    key_rank[by_key] = np.arange(len(words))
+    own = np.concatenate([rank[s[1:]] for s in seen])
+    pairs, back = np.unique(own * len(words) + key_rank[np.concatenate([rank[s[:-1]] for s in seen])], return_inverse=True)
+    counts = np.bincount(back, np.concatenate(weights), len(pairs)).astype(np.int64)
+    edges = np.cumsum([0, *[len(s) - 1 for s in seen]])
+    return words, keys, pairs // len(words), by_key[pairs % len(words)], counts, [
+        (doc_id, trained, own[a:b], back[a:b]) for (doc_id, trained), a, b in zip(docs, edges[:-1], edges[1:])]
+
+
+def _dealt(words: list[bytes], word: np.ndarray, buckets: int):
+    """(bucket, its words, pairs per word, its pairs) of a chunk, the last as indices."""
+    first = np.searchsorted(word, np.arange(len(words) + 1))
+    for bucket, at in by_bucket(words, buckets).items():
+        at = np.array(at)
+        n = first[at + 1] - first[at]
+        yield bucket, at, n, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
 
 
 def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1, seed: int = 11,
@@ -199,140 +290,212 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
     source = packed(docs, chunks, ~held_out)
 
     def count(table: pa.Table) -> pa.Table:
-        words, pairs, counts = _pair_counts(table)
-        word, chunk = pairs // CONTEXTS, table["chunk"][0].as_py()
-        first = np.searchsorted(word, np.arange(len(words) + 1))
+        words, keys, word, before, counts, _ = _pair_counts(table)
         rows = []
-        for bucket, at in by_bucket(words, chunks).items():
-            at = np.array(at)
-            n = first[at + 1] - first[at]
-            where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
-            local = np.repeat(np.arange(len(at)), n) * CONTEXTS + pairs[where] % CONTEXTS
-            rows.append({"bucket": bucket, "chunk": chunk, "n": len(at), "words": pack_words([words[i] for i in at]),
-                         "pairs": pack_array(local), "counts": pack_array(counts[where])})
-        return pa.Table.from_pylist(rows, schema=pa.schema(
-            [("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("words", pa.binary()),
-             ("pairs", pa.binary()), ("counts", pa.binary())]))
+        for bucket, at, n, where in _dealt(words, word, chunks):
+            contexts, places = np.unique(keys[before[where]], return_inverse=True)
+            rows.append({"bucket": bucket, "chunk": table["chunk"][0].as_py(), "n": len(at),
+                         "words": pack_words([words[i] for i in at]), "sizes": pack_array(n.astype(np.int32)),
+                         "contexts": _pack_keys(contexts), "places": pack_array(places.astype(np.int32)),
+                         "counts": pack_array(counts[where].astype(np.int32))})
+        return pa.Table.from_pylist(rows, schema=_schema(_SENT))
 
     def merge(table: pa.Table) -> pa.Table:
+        """All that a bucket is asked, with its training counts; then of each chunk the pairs that it asks for.
+
+        Words and contexts are numbered in the chunks' order, so a chunk's pairs ascend.
+        """
         place: dict[bytes, int] = {}
-        keys, counts = [], []
-        for n, words, pairs, count_ in zip(*(table[c].to_pylist() for c in ("n", "words", "pairs", "counts"))):
-            ids = np.array([place.setdefault(w, len(place)) for w in unpack_words(words, n)], np.int64)
-            pairs, count_ = unpack_array(pairs, np.int64), unpack_array(count_, np.int64)
-            kept = count_ > 0
-            keys.append(ids[pairs[kept] // CONTEXTS] * CONTEXTS + pairs[kept] % CONTEXTS)
-            counts.append(count_[kept])
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
-        known, word = np.unique(key // CONTEXTS, return_inverse=True)
-        names = list(place)
+        words, keys, counts = [], [], []
+        sent = table.to_pylist()
+        for row in sent:
+            ids = np.array([place.setdefault(w, len(place)) for w in unpack_words(row["words"], row["n"])], np.int64)
+            words.append(np.repeat(ids, unpack_array(row["sizes"], np.int32)))
+            keys.append(_unpack_keys(row["contexts"])[unpack_array(row["places"], np.int32)])
+            counts.append(unpack_array(row["counts"], np.int32))
+        rank = np.empty(len(place), np.int64)
+        rank[np.fromiter((place[w] for w in sorted(place)), np.int64, len(place))] = np.arange(len(place))
+        contexts, at = np.unique(np.concatenate(keys), return_inverse=True)
+        edges = np.cumsum([0, *map(len, counts)])
+        pair, back = np.unique(rank[np.concatenate(words)] * len(contexts) + at, return_inverse=True)
+        total = np.bincount(back, np.concatenate(counts), len(pair)).astype(np.int64)
+        # Contexts are kept by part.
+        part = (contexts >> 10) % chunks
+        order = np.argsort(part, kind="stable")
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        contexts, bucket = contexts[order], table["bucket"][0].as_py()
         return pa.Table.from_pylist([{
-            "bucket": table["bucket"][0].as_py(), "n": len(known), "words": pack_words([names[i] for i in known]),
-            "pairs": pack_array(word * CONTEXTS + key % CONTEXTS), "counts": pack_array(total)}], schema=pa.schema(
-                [("bucket", pa.int32()), ("n", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()),
-                 ("counts", pa.binary())]))
-
-    sent = stored(source.groupBy("chunk").applyInArrow(count, _SENT), "word-counts")
-    merged = stored(sent.groupBy("bucket").applyInArrow(merge, _MERGED), "words")
+            "bucket": bucket, "n": len(place),
+            "sizes": pack_array(np.bincount(pair // len(contexts), minlength=len(place)).astype(np.int32)),
+            "contexts": _pack_keys(contexts), "ends": pack_array((contexts % CONTEXTS).astype(np.int16)),
+            "edges": pack_array(np.searchsorted(part[order], np.arange(chunks + 1)).astype(np.int32)),
+            "places": pack_array(moved[pair % len(contexts)].astype(np.int32)), "counts": pack_array(total)}, *(
+            {"bucket": bucket, "chunk": row["chunk"], "places": pack_array(np.diff(back[a:b], prepend=0).astype(np.int32))}
+            for row, a, b in zip(sent, edges[:-1], edges[1:]))], schema=_schema(_MERGED))
+
+    sent = source.groupBy("chunk").applyInArrow(count, _SENT)
+    both = _settled(sent.groupBy("bucket").applyInArrow(merge, _MERGED), "words")
+    merged, asks = both.where("chunk IS NULL").drop("chunk"), both.where("chunk IS NOT NULL")
+
+    def asked_pairs(row):
+        """Word, context and training count of each pair of a bucket, asked only ones too."""
+        return (np.repeat(np.arange(row["n"]), unpack_array(row["sizes"], np.int32)),
+                unpack_array(row["places"], np.int32).astype(np.int64), unpack_array(row["counts"], np.int64))
+
+    def begin(row) -> WordSeating:
+        word, at, counts = asked_pairs(row)
+        kept = counts > 0
+        known, word = np.unique(word[kept], return_inverse=True)
+        return WordSeating(word, at[kept], counts[kept], unpack_array(row["ends"], np.int16).astype(np.int64), len(known))
+
+    def deal(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                contexts, edges = _unpack_keys(row["contexts"]), unpack_array(row["edges"], np.int32)
+                for part in np.flatnonzero(np.diff(edges)):
+                    yield pa.RecordBatch.from_pylist([{
+                        "part": part, "bucket": row["bucket"],
+                        "sums": _pack_keys(contexts[edges[part]:edges[part + 1]])}], schema=_schema(_DEALT))
+
+    def number(table: pa.Table) -> pa.Table:
+        """Contexts of a part become numbers, which ascend: steps between them are kept."""
+        asked = [_unpack_keys(s) for s in table["sums"].to_pylist()]
+        _, ids = np.unique(np.concatenate(asked), return_inverse=True)
+        edges = np.cumsum([0, *map(len, asked)])
+        steps = [pack_array(np.diff(ids[a:b], prepend=0).astype(np.int32)) for a, b in zip(edges[:-1], edges[1:])]
+        return pa.table([table["part"], table["bucket"], pa.array(steps, pa.binary())], schema=_schema(_DEALT))
+
+    numbered = _settled(merged.select("bucket", "contexts", "edges").mapInArrow(deal, _DEALT)
+                      .groupBy("part").applyInArrow(number, _DEALT), "contexts")
+
+    def hear(rows, edges) -> list[np.ndarray]:
+        """All customers of each context, then its tables before each sweep."""
+        out: dict[int, np.ndarray] = {}
+        for row in rows:
+            k, part = -1 - row["chunk"], row["part"]
+            values = unpack_array(row["values"], np.int32).reshape(-1, edges[part + 1] - edges[part])
+            out.setdefault(k, np.zeros((len(values), edges[-1]), np.int64))[:, edges[part]:edges[part + 1]] = values
+        return [line for k in sorted(out) for line in out[k]]
 
-    def seatings(bucket, n, pairs, counts, history: list[Totals], stirling):
+    def seatings(row, history: list[Totals], tables: list[np.ndarray], stirling):
         """The seating after each sweep that the history allows; the same in every run."""
-        seating = Seating(unpack_array(pairs, np.int64), unpack_array(counts, np.int64), n)
-        for k, all_ in enumerate(history):
-            seating.sweep(all_, stirling, np.random.default_rng([seed, bucket, k]))
+        seating = begin(row)
+        for k, (all_, known) in enumerate(zip(history, tables)):
+            seating.sweep(all_, known, discount, *stirling, np.random.default_rng([seed, row["bucket"], k]))
             yield k, seating
 
-    def summed(history: list[Totals], stirling) -> np.ndarray:
-        def totals(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    if history:
-                        for _, seating in seatings(row["bucket"], row["n"], row["pairs"], row["counts"], history, stirling):
-                            pass
-                        sums = seating.totals()
-                    else:
-                        counts = unpack_array(row["counts"], np.int64)
-                        sums = Seating(unpack_array(row["pairs"], np.int64), counts, row["n"]).totals()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(len(sums) + 2), pa.int32()), pa.array(np.concatenate([sums, [
-                            (unpack_array(row["counts"], np.int64) == 1).sum(),
-                            (unpack_array(row["counts"], np.int64) == 2).sum()]]).astype(float))], ["i", "v"])
-
-        rows = merged.mapInArrow(totals, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(2 * (CONTEXTS + PARENTS) + 6)
-        for row in rows:
-            out[row["i"]] = row["v"]
-        return out
-
-    sums = summed([], None)
-    once, twice = sums[-2:]
-    discount = float(np.clip(once / max(once + 2 * twice, 1.0), 0.1, 0.95))
-    stirling = log_stirling(discount)
-    history = [Totals(sums[:-2], discount)]
-    for _ in range(sweeps):
-        history.append(Totals(summed(history, stirling)[:-2], discount))
-    final = history[0]
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        place, samples, totals = {}, [], np.zeros(1)
-        if known.num_rows:
-            row = known.to_pylist()[0]
-            place = {w: i for i, w in enumerate(unpack_words(row["words"], row["n"]))}
-            totals = np.bincount(unpack_array(row["pairs"], np.int64) // CONTEXTS,
-                                 unpack_array(row["counts"], np.int64), row["n"] + 1)
-        requests = []
-        for r in asked.to_pylist():
-            ids = np.array([place.get(w, -1) for w in unpack_words(r["words"], r["n"])], np.int64)
-            pairs = unpack_array(r["pairs"], np.int64)
-            requests.append((r, ids, ids[pairs // CONTEXTS], pairs % CONTEXTS, np.zeros(len(pairs))))
-        if known.num_rows:
-            kept = seatings(row["bucket"], row["n"], row["pairs"], row["counts"], history[:-1], stirling)
+    def tell(row, seating: WordSeating, first: bool) -> list[dict]:
+        edges = unpack_array(row["edges"], np.int32)
+        sums = seating.tables()[None]
+        if first:
+            sums = np.concatenate([np.bincount(seating.at, seating.n3, edges[-1]).astype(np.int64)[None], sums])
+        n3, n2 = seating.n3, seating.base.n2
+        whole = np.concatenate([seating.base.totals(), [(n3 == 1).sum(), (n3 == 2).sum(), (n2 == 1).sum(),
+                                                        (n2 == 2).sum(), n3.sum()]]).astype(float)
+        return [{"part": -1, "bucket": row["bucket"], "sums": pack_array(whole)}, *(
+            {"part": part, "bucket": row["bucket"],
+             "sums": pack_array(sums[:, edges[part]:edges[part + 1]].astype(np.int32))}
+            for part in np.flatnonzero(np.diff(edges)))]
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        sums = {r["bucket"]: unpack_array(r["sums"], np.int32) for r in right.to_pylist()}
+        ids = {r["bucket"]: np.cumsum(unpack_array(r["sums"], np.int32)) for r in left.to_pylist()}
+        lines = len(next(iter(sums.values()))) // len(ids[next(iter(sums))])
+        total = np.zeros((lines, max(i[-1] for i in ids.values()) + 1), np.int64)
+        for bucket, own in sums.items():
+            total[:, ids[bucket]] += own.reshape(lines, -1)
+        part = left["part"][0].as_py()
+        return pa.Table.from_pylist([
+            {"bucket": b, "part": part, "values": pack_array(total[:, i].astype(np.int32))} for b, i in ids.items()],
+            schema=_schema("bucket int, part int, values binary"))
+
+    def spread(batches):
+        for batch in batches:
+            for sums in batch["sums"].to_pylist():
+                values = unpack_array(sums, float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)],
+                                                 ["i", "v"])
+
+    bare = merged.drop("contexts")
+    heard, history = None, []
+    for k in range(sweeps + 1):
+        if heard is None:
+            def told(batches):
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        yield pa.RecordBatch.from_pylist(tell(row, begin(row), True), schema=_schema(_DEALT))
+
+            up = bare.mapInArrow(told, _DEALT)
         else:
-            empty = np.zeros(0, np.int64)
-            kept = ((k, Seating(empty, empty, 0)) for k in range(sweeps))
-        for k, seating in kept:
+            def after(left: pa.Table, right: pa.Table) -> pa.Table:
+                row = left.to_pylist()[0]
+                _, *tables = hear(right.to_pylist(), unpack_array(row["edges"], np.int32))
+                for _, seating in seatings(row, history, tables, stirling):
+                    pass
+                return pa.Table.from_pylist(tell(row, seating, False), schema=_schema(_DEALT))
+
+            up = bare.groupBy("bucket").cogroup(heard.groupBy("bucket")).applyInArrow(after, _DEALT)
+        up = _settled(up, "tables")
+        sums = np.zeros(2 * (CONTEXTS + PARENTS) + 9)
+        for row in up.where("part < 0").mapInArrow(spread, "i int, v double").groupBy("i").agg(
+                F.sum("v").alias("v")).collect():
+            sums[row["i"]] = row["v"]
+        if not history:
+            once, twice, once2, twice2, tokens = sums[-5:]
+            discount = float(np.clip(once / max(once + 2 * twice, 1.0), 0.1, 0.95))
+            below = float(np.clip(once2 / max(once2 + 2 * twice2, 1.0), 0.1, 0.95))
+            stirling = log_stirling(discount), log_stirling(below)
+        history = [*history, Totals(sums[:-5], below)]
+        down = _settled(numbered.groupBy("part").cogroup(up.where("part >= 0").groupBy("part")).applyInArrow(
+            add, "bucket int, part int, values binary"), "all-tables")
+        down = down.select("bucket", F.lit(-1 - k).cast("long").alias("chunk"), "part", "values")
+        heard = down if heard is None else heard.unionByName(down)
+    tokens, vocabulary = int(tokens), int(history[0].words)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = right.to_pylist()[0]
+        asked = left.to_pylist()
+        customers, *tables = hear([r for r in asked if r["chunk"] < 0], unpack_array(row["edges"], np.int32))
+        word, at, counts = asked_pairs(row)
+        seen = np.bincount(word, counts, row["n"]).astype(np.int64)
+        known = np.where(seen > 0, np.cumsum(seen > 0) - 1, -1)[word]
+        pair = np.where(counts > 0, np.cumsum(counts > 0) - 1, -1)
+        p, samples = np.zeros(len(word)), 0
+        for k, seating in seatings(row, history[:-1], tables, stirling):
             if k >= burn_in:
-                samples.append(k)
-                for _, _, word, leaf, out in requests:
-                    out += seating.predictive(history[k + 1], word, leaf)
-        rows = [{"chunk": r["chunk"], "n": r["n"], "words": r["words"], "pairs": r["pairs"],
-                 "seen": pack_array(np.where(ids >= 0, totals[ids], 0).astype(np.int64)),
-                 "p": pack_array((out / len(samples)).astype(np.float32))} for r, ids, _, _, out in requests]
-        return pa.Table.from_pylist(rows, schema=pa.schema(
-            [("chunk", pa.int64()), ("n", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()),
-             ("seen", pa.binary()), ("p", pa.binary())]))
-
-    tokens, vocabulary = final.tokens, int(final.words)
+                samples += 1
+                p += seating.predictive(history[k + 1], customers, tables[k + 1], discount, known, at, pair)
+        p, rows = (p / samples).astype(np.float32), []
+        for r in asked:
+            if r["chunk"] >= 0:
+                own = np.cumsum(unpack_array(r["values"], np.int32))
+                rows.append({"chunk": r["chunk"], "bucket": row["bucket"], "seen": pack_array(seen[np.unique(word[own])]),
+                             "p": pack_array(p[own])})
+        return pa.Table.from_pylist(rows, schema=_schema("chunk long, bucket int, seen binary, p binary"))
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        place: dict[bytes, int] = {}
-        keys, probabilities, seen = [], [], []
-        for row in right.to_pylist():
-            shift = len(place)
-            for w in unpack_words(row["words"], row["n"]):
-                place[w] = len(place)
-            keys.append(unpack_array(row["pairs"], np.int64) + shift * CONTEXTS)
-            probabilities.append(unpack_array(row["p"], np.float32))
-            seen.append(unpack_array(row["seen"], np.int64))
-        keys, seen = np.concatenate(keys), np.concatenate(seen)
-        logs = np.log10(np.concatenate(probabilities).astype(float))
-        contexts = np.fromiter(map(context, place), np.int64, len(place))
+        words, _, word, _, _, docs = _pair_counts(left)
+        seen, logs = np.zeros(len(words), np.int64), np.zeros(len(word))
+        answers = {r["bucket"]: r for r in right.to_pylist()}
+        for bucket, at, _, where in _dealt(words, word, chunks):
+            seen[at] = unpack_array(answers[bucket]["seen"], np.int64)
+            logs[where] = np.log10(unpack_array(answers[bucket]["p"], np.float32).astype(float))
         base = np.log10((seen + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
         rows = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        for doc_id, trained, text in unpacked(left):
-            ids = np.array([place[END], *[place[w] for w in _tokens(text)], place[END]], np.int64)
-            at = np.searchsorted(keys, ids[1:] * CONTEXTS + contexts[ids[:-1]])
-            for name, value in zip(rows, (doc_id, not trained, len(ids) - 1, int((seen[ids[1:]] > 0).sum()),
-                                          float(base[ids[1:]].sum()), float(logs[at].sum()))):
+        for doc_id, trained, ids, at in docs:
+            for name, value in zip(rows, (doc_id, not trained, len(ids), int((seen[ids] > 0).sum()),
+                                          float(base[ids].sum()), float(logs[at].sum()))):
                 rows[name].append(value)
         return pa.Table.from_pydict(rows, schema=pa.schema(
             [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
              ("base_score", pa.float64()), ("score", pa.float64())]))
 
-    answered = sent.select("bucket", "chunk", "n", "words", "pairs").groupBy("bucket").cogroup(
-        merged.groupBy("bucket")).applyInArrow(
-        answer, "chunk long, n int, words binary, pairs binary, seen binary, p binary")
+    # Names of their own: Spark mixes up columns that both sides take from one table.
+    asked_for = asks.select(F.col("bucket").alias("asked"), "chunk", F.lit(None).cast("int").alias("part"),
+                            F.col("places").alias("values")).unionByName(heard.withColumnRenamed("bucket", "asked"))
+    answered = asked_for.groupBy("asked").cogroup(bare.groupBy("bucket")).applyInArrow(
+        answer, "chunk long, bucket int, seen binary, p binary")
     done = source.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(
         total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),

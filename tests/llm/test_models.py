@@ -141,6 +141,37 @@ def test_language_model_is_a_distribution():
             assert seating.predictive(totals, ids, np.full(len(ids), leaf)).sum() == pytest.approx(1.0)
 
 
+def test_language_model_over_whole_words_is_a_distribution():
+    rng = np.random.default_rng(6)
+    words, contexts, discount = 20, 40, 0.7
+    pairs = np.unique(rng.integers(0, words * contexts, 300))
+    known, word = np.unique(pairs // contexts, return_inverse=True)
+    seating = pitman_yor.WordSeating(word, pairs % contexts, rng.integers(1, 200, len(pairs)),
+                                     rng.choice([0, 1, 17, 1023], contexts), len(known))
+    customers = np.bincount(seating.at, seating.n3, contexts)
+    stirling = pitman_yor.log_stirling(discount), pitman_yor.log_stirling(0.4)
+    for _ in range(2):
+        seating.sweep(pitman_yor.Totals(seating.base.totals(), 0.4), seating.tables(), discount, *stirling, rng)
+        totals = pitman_yor.Totals(seating.base.totals(), 0.4)
+        assert (seating.t3 >= 1).all() and (seating.t3 <= seating.n3).all()
+        assert seating.base.n2.sum() == seating.t3.sum()
+        for at in range(contexts):
+            ids = np.array([*range(len(known)), -1])
+            place = [next(iter(np.flatnonzero((seating.word == w) & (seating.at == at))), -1) for w in ids]
+            assert seating.predictive(totals, customers, seating.tables(), discount, ids, np.full(len(ids), at),
+                                      np.array(place)).sum() == pytest.approx(1.0)
+
+
+def test_contexts_are_whole_words(spark):
+    """Words that end alike, and whose endings share a hash, predict what follows each of them."""
+    rows = [(i, f"xx{i % 40:02d}ab yy{i % 40}q") for i in range(800)]
+    rows += [(1000 + i, f"xx{i:02d}ab yy{i}q") for i in range(40)] + [(2000 + i, f"xx{i:02d}ab yy{(i + 1) % 40}q") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for chunk_bytes in (1 << 24, 1 << 10):
+        got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id") >= 1000, chunk_bytes=chunk_bytes).collect()}
+        assert all(got[1000 + i] > got[2000 + i] + 1 for i in range(40))
+
+
 def test_tables_are_drawn_from_their_conditional():
     discount, n, a = 0.5, 6, 1.7
     stirling = pitman_yor.log_stirling(discount)
