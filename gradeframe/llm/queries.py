@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeframe.llm import (
-    bpe, chat_format, language_crf, mixing, near_dup, permutation_index, pitman_yor, quality_gam,
-    secret_scan, segment_search,
+    bpe, chat_format, importance, language_crf, mixing, near_dup, packing, permutation_index, pitman_yor, quality_gam,
+    secret_scan, segment_search, vantage,
 )
 from gradeframe.llm.common import held_out, table
 
@@ -189,3 +189,106 @@ WHERE rank <= 5
 def op6_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document under a hierarchical Pitman-Yor model."""
     return pitman_yor.score(table(spark, folder, "documents"), held_out(F.col("doc_id"), 1))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark's words."""
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# DuckDB has no crc32: a table of the 256 bytes' remainders, folded over a word's bytes, once per distinct word.
+ORACLES["op11_importance_resampling"] = r"""
+WITH RECURSIVE step AS (
+  SELECT range AS byte, range::BIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL
+  SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+remainders AS (SELECT list(c ORDER BY byte) AS t FROM step WHERE k = 8),
+d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+e AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+dw AS (SELECT row, unnest(words) AS word FROM d),
+ew AS (SELECT unnest(words) AS word FROM e),
+b AS (
+  SELECT word, xor(list_reduce(list_transform(range(0, strlen(word)::BIGINT), lambda i:
+             ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT),
+           lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT word FROM dw UNION SELECT word FROM ew), remainders),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN b USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM ew JOIN b USING (word) GROUP BY bucket),
+g AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+           / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT row, sum(gain)::BIGINT AS weight FROM dw JOIN b USING (word) JOIN g USING (bucket) GROUP BY row),
+v AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT::DOUBLE AS h
+  FROM d LEFT JOIN w USING (row)),
+z AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM v),
+r AS (
+  SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id NULLS LAST) AS place,
+         count(*) FILTER (n_features >= 20) OVER () AS able FROM z)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END::BIGINT AS rank
+FROM r
+"""
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, dominating sets first, the rest best-fit."""
+    import public_tokenizers
+
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    placed = packing.pack(table(spark, folder, "documents"), encode, end=2, capacity=1024)
+    return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"),
+                         packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op13_vantage_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """8 centroids of the 64-component vectors after 10 rounds, in integers."""
+    assigned, points = vantage.cluster(table(spark, folder, "embeddings"), k=8, width=64, scale=1024, rounds=10, seed=3)
+    return vantage.described(assigned, points).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _rounds(rounds: int) -> str:
+    """SQL of the rounds, each from the centroids before: nearest ones, then floors of means."""
+    nearest = """
+a{k} AS MATERIALIZED (
+  SELECT row, vec_id, v.e, min(struct_pack(d := list_sum(list_transform(list_zip(v.e, c.e),
+           lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c := c.c)) AS best
+  FROM v, c{k} c GROUP BY row, vec_id, v.e)"""
+    moved = """,
+m{k} AS (
+  SELECT c, i, ((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS x
+  FROM (SELECT best.c AS c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{k}) GROUP BY c, i),
+c{n} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.e, c.e) AS e FROM c{k} c
+  LEFT JOIN (SELECT c, list(x ORDER BY i) AS e FROM m{k} GROUP BY c) m USING (c)),"""
+    return "".join(nearest.format(k=k) + (moved.format(k=k, n=k + 1) if k < rounds else "") for k in range(rounds + 1))
+
+
+ORACLES["op13_vantage_clusters"] = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e
+  FROM (SELECT *, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v) ORDER BY h, e LIMIT 8),""" + _rounds(10) + """
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance,
+       sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c10.e, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON c10.c = best.c
+"""

@@ -76,11 +76,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def slices(column, lower: bool):
-    """``Words`` for consecutive slices of an Arrow string column; NULL reads as empty."""
+def slices(column, lower: bool, blank: np.ndarray = _BLANK):
+    """``Words`` for consecutive slices of an Arrow string column; NULL reads as empty.
+
+    ``blank`` says of each byte, after it is lower-cased, whether it separates words.
+    """
     if isinstance(column, pa.ChunkedArray):
         for chunk in column.chunks:
-            yield from slices(chunk, lower)
+            yield from slices(chunk, lower, blank)
         return
     if not len(column):
         return
@@ -95,11 +98,11 @@ def slices(column, lower: bool):
     while at < len(sizes):
         total = np.cumsum(sizes[at:])
         stop = at + max(1, int(np.searchsorted(total, SLICE_BYTES, side="right")))
-        yield _words(data, offsets[at:stop], sizes[at:stop], lower)
+        yield _words(data, offsets[at:stop], sizes[at:stop], lower, blank)
         at = stop
 
 
-def _words(data, offsets, sizes, lower) -> Words:
+def _words(data, offsets, sizes, lower, separates) -> Words:
     bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
     out = np.full(bounds[-1], 0x20, np.uint8)
     if len(sizes) and (sizes.sum() == offsets[-1] + sizes[-1] - offsets[0]):
@@ -111,7 +114,7 @@ def _words(data, offsets, sizes, lower) -> Words:
             out[b:b + n] = data[o:o + n]
     if lower:
         out = _LOWER[out]
-    blank = _BLANK[out]
+    blank = separates[out]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
     starts, stops = edge[0::2], edge[1::2]
     first = np.searchsorted(starts, bounds)
