@@ -17,7 +17,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 16 << 20
+from gradeframe.llm.common import give_back
+
+CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 64 << 20  # text whose distinct words a bucket holds
 PACKED = "chunk long, doc_ids array<long>, flags array<boolean>, sizes array<int>, texts binary"
 _PACKED_ARROW = pa.schema([
     ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())),
@@ -26,8 +29,17 @@ _PACKED_ARROW = pa.schema([
 
 def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
     """Number of chunks for all texts, from their total size."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // chunk_bytes))
+    return max(1, -(-_text_bytes(docs) // chunk_bytes))
+
+
+def chunk_and_bucket_counts(docs: DataFrame, chunk_bytes: int, bucket_bytes: int) -> tuple[int, int]:
+    """Numbers of chunks and of buckets of words, each from the total size of all texts alone."""
+    total = _text_bytes(docs)
+    return max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
+
+
+def _text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def packed(docs: DataFrame, chunks: int, flag: Column | None = None) -> DataFrame:
@@ -54,14 +66,14 @@ def packed(docs: DataFrame, chunks: int, flag: Column | None = None) -> DataFram
                             "texts": zstandard.compress(b"".join(part), 1)})
             del table, ids, flags, texts, part
             yield pa.RecordBatch.from_pylist(out, schema=_PACKED_ARROW)
-            pa.default_memory_pool().release_unused()  # workers wait between tasks and would keep it
+            give_back()
 
     return rows.mapInArrow(pack, PACKED)
 
 
 def _parts(batch: pa.RecordBatch):
-    """A batch in parts of about ``CHUNK_BYTES``, so that sorting copies no more than that at once."""
-    rows = max(1, batch.num_rows * CHUNK_BYTES // max(batch.nbytes, 1))
+    """A batch in parts of about 16 MB, so that sorting copies no more than that at once."""
+    rows = max(1, batch.num_rows * (16 << 20) // max(batch.nbytes, 1))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import stored
+from gradeframe.llm.common import stored, thrifty
 from gradeframe.llm.textarrays import Words, slices
 
 BUCKETS = 10000
@@ -194,6 +194,7 @@ def weigh(text: Column, gains: np.ndarray, longest: int = 1) -> Column:
     buckets = len(gains)
 
     @F.arrow_udf("struct<n_words: bigint, n_features: bigint, weight: bigint>")
+    @thrifty
     def weighed(column: pa.Array) -> pa.Array:
         parts = []
         for words in slices(column, True, _BREAK):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import fold
+from gradeframe.llm.common import fold, thrifty
 from gradeframe.llm.textarrays import Words, mix64, slices
 
 BUCKETS = 1 << 17
@@ -247,6 +247,7 @@ def identify(text: Column, model: Chain) -> Column:
     """(lang_pred, score) of each text: ``und`` and 0 for NULL and for texts without a letter."""
 
     @F.arrow_udf("lang_pred string, score double")
+    @thrifty
     def identified(column: pa.Array) -> pa.Array:
         names, scores = [], []
         for words in slices(column, lower=True):
@@ -274,6 +275,7 @@ def label_words(text: Column, model: Chain) -> Column:
     """Language and posterior of each word with a letter, in order; empty for NULL."""
 
     @F.arrow_udf("array<struct<word:string,lang:string,score:double>>")
+    @thrifty
     def labelled(column: pa.Array) -> pa.Array:
         out = []
         for words in slices(column, lower=False):

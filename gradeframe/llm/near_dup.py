@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import stored
+from gradeframe.llm.common import stored, thrifty
 from gradeframe.llm.graph import components
 from gradeframe.llm.textarrays import Words, mix64, slices
 
@@ -87,6 +87,7 @@ def sketch(text: Column, size: int) -> Column:
     """
 
     @F.arrow_udf("n_shingles long, key binary, signature binary")
+    @thrifty
     def sketched(column: pa.Array) -> pa.Array:
         counts, keys, signatures = [], [], []
         for words in slices(column, lower=True):
@@ -114,6 +115,7 @@ def sketch(text: Column, size: int) -> Column:
 
 def _bands(signature: Column) -> Column:
     @F.arrow_udf("array<long>")
+    @thrifty
     def banded(column: pa.Array) -> pa.Array:
         sig = _matrix(column)
         with np.errstate(over="ignore"):
@@ -164,6 +166,7 @@ def _unpruned(pairs: DataFrame, reps: DataFrame, least: list[int]) -> DataFrame:
     """Pairs (a, b) whose signatures pass all batches."""
 
     @F.arrow_udf("boolean")
+    @thrifty
     def passed(left: pa.Array, right: pa.Array) -> pa.Array:
         out = np.zeros(len(left), bool)
         out[_stay(_matrix(left), _matrix(right), least)] = True
@@ -181,6 +184,7 @@ def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """
 
     @F.arrow_udf("array<long>")
+    @thrifty
     def sets(column: pa.Array) -> pa.Array:
         out = []
         for words in slices(column, lower=True):
@@ -199,6 +203,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     """Pairs (a, b) of ids whose full sets have ``100 * intersection >= percent * union``."""
 
     @F.arrow_udf("boolean")
+    @thrifty
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for i in range(len(left)):
@@ -268,29 +273,53 @@ def _facing(table: pa.Table, least: list[int]):
             yield x, y
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets dealt into the groups (bucket, i, j) in which their blocks i and j meet.
+
+    Members of a bucket's largest component need not face each other, only the
+    strays do face all. Both kinds are cut into blocks of about ``BLOCK``;
+    strays' blocks come first, and each of them meets every block, in a group of
+    its own. So a huge bucket is spread over many tasks, all of its pairs between
+    components meet, and members of the largest component are copied only once
+    per block of strays.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("bucket").agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("m"),
+                                        F.sum("n").alias("all")).select(
+        "bucket", "m.main", F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("strays"),
+        F.ceil(F.col("m.n") / BLOCK).cast("int").alias("rest"))
+    hashed = F.xxhash64("rep")
+    stray = F.col("component") != F.col("main")
+    return (members.join(mains, "bucket")
+            .withColumn("own", F.when(stray, F.pmod(hashed, F.col("strays")))
+                        .otherwise(F.col("strays") + F.pmod(hashed, F.col("rest"))).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(
+                stray, F.col("strays") + F.col("rest")).otherwise(F.col("strays")) - 1)))
+            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                    "band", "own", "rep", "component", "signature"))
+
+
 def _across(members: DataFrame, docs: DataFrame, size: int, percent: int, least: list[int]) -> DataFrame:
     """Verified links (a, b) between components within buckets.
 
-    ``members`` has bucket, band, n, rep, component and signature. A bucket is
-    cut into blocks of about ``BLOCK`` members and every two blocks meet in a
-    group of their own, so a huge bucket is spread over many tasks and all of
-    its pairs are still looked at. A first pass finds the members that face
-    another one; only these get their shingle sets for the second, which
-    verifies pairs on the spot and leaves out those that its own links have
-    joined. So what a group gives grows with its members, not with their pairs.
+    ``members`` has bucket, band, rep, component and signature. A first pass
+    over the groups of blocks finds the members that face another one; only
+    these get their shingle sets for the second, which verifies pairs on the
+    spot and leaves out those that its own links have joined. So what a group
+    gives grows with its members, not with their pairs.
     """
-    dealt = (members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-             .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "band", "own", "rep", "component", "signature"))
+    # Groups are heavy for their bytes, so they are not to be merged into few tasks.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _blocks(members).repartition(tasks, "bucket", "i", "j")
 
+    @thrifty
     def screen(table: pa.Table) -> pa.Table:
         kept = np.zeros(table.num_rows, bool)
         for x, y in _facing(table, least):
             kept[x] = kept[y] = True
         return table.filter(pa.array(kept))
 
+    @thrifty
     def link(table: pa.Table) -> pa.Table:
         rep, comp = table["rep"].to_numpy(), table["component"].to_numpy()
         sets = table["s"].combine_chunks()
@@ -321,7 +350,7 @@ def _across(members: DataFrame, docs: DataFrame, size: int, percent: int, least:
 
     facing = stored(dealt.groupBy("bucket", "i", "j").applyInArrow(screen, dealt.schema), "facing")
     full = _sets(facing.select(F.col("rep").alias("doc_id")), docs, size)
-    return (facing.join(full.withColumnRenamed("doc_id", "rep"), "rep")
+    return (facing.join(full.withColumnRenamed("doc_id", "rep"), "rep").repartition(tasks, "bucket", "i", "j")
             .groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long").distinct())
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import fold
+from gradeframe.llm.common import fold, thrifty
 from gradeframe.llm.textarrays import Words, mix64, slices
 
 FEATURES = (
@@ -196,6 +196,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, rate: f
 def feature_column(text: Column) -> Column:
     """``FEATURES`` of a text, as an array."""
     @F.arrow_udf("array<double>")
+    @thrifty
     def measured(column: pa.Array) -> pa.Array:
         rows = [features(w) for w in slices(column, lower=False)]
         x = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
@@ -226,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20000, **options)
 def score(text: Column, model: Gam) -> Column:
     """Probability that the text has quality 1; NULL and empty texts get that of zeros."""
     @F.arrow_udf("double")
+    @thrifty
     def scored(column: pa.Array) -> pa.Array:
         parts = [model.probability(features(w)) for w in slices(column, lower=False)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())

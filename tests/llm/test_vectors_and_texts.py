@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gradeframe.llm import bpe, near_dup, permutation_index, segment_search, vectors
+from gradeframe.llm import bpe, chunks, near_dup, permutation_index, segment_search, vectors
 from gradeframe.llm.graph import components
 from gradeframe.llm.queries import QUERIES
 
@@ -182,6 +182,23 @@ def test_components_match_brute_force(spark, size, monkeypatch):
     assert got == jaccard_components(texts, size, 80)
 
 
+def test_only_strays_of_a_large_bucket_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 100)
+    rows = [(1, 0, i, 7 if i < 5000 else i, b"") for i in range(5003)] + [(2, 0, i, i % 2, b"") for i in range(10)]
+    dealt = near_dup._blocks(spark.createDataFrame(rows, "bucket long, band int, rep long, component long, signature binary"))
+    assert dealt.where("bucket = 1").count() == 5000 + 3 * 51
+    groups = collections.defaultdict(lambda: collections.defaultdict(set))
+    for r in dealt.collect():
+        groups[r["bucket"], r["i"], r["j"]][r["own"]].add((r["rep"], r["component"]))
+    met = collections.Counter()
+    for (bucket, i, j), blocks in groups.items():
+        for a, x in blocks[i]:
+            for b, y in blocks[j]:
+                if x != y and (i != j or a < b):
+                    met[bucket, min(a, b), max(a, b)] += 1
+    assert set(met.values()) == {1} and len(met) == 3 * 5000 + 3 + 25
+
+
 def test_near_duplicates_take_odd_rows(spark):
     docs = cases.documents(spark)
     got = near_dup.near_duplicates(docs, 2)
@@ -232,6 +249,21 @@ def test_ids_are_those_of_the_library(spark, vocabulary, chunk_bytes):
                   for r in docs.select("doc_id", "text").collect())
     assert sorted((repr(r["doc_id"]), list(r["ids"]), bytes(r["b"])) for r in done) == want
     assert bpe.encode(docs.limit(0), ranks, pattern).count() == 0
+    both = bpe.encode(docs, ranks, pattern, chunk_bytes, bucket_bytes=8192, decoded=True).collect()
+    assert sorted((repr(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in both) == want
+
+
+def test_words_are_sent_in_proportion(spark, vocabulary):
+    """Half as large chunks send about twice as many rows, since buckets depend on the texts alone."""
+    ranks, pattern = vocabulary
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def rows(chunk_bytes):
+        n, buckets = chunks.chunk_and_bucket_counts(docs, chunk_bytes, 1 << 19)
+        return bpe._sent(chunks.packed(docs, n), pattern, buckets).count()
+
+    few, many = rows(1 << 17), rows(1 << 16)
+    assert many <= 2.2 * few
 
 
 # The pipeline
@@ -284,5 +316,5 @@ def test_pipeline_takes_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
