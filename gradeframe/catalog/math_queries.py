@@ -223,14 +223,8 @@ _WITH_EMPTY = f"""(SELECT q.benchmark, q.example_id, coalesce(n, 0) AS n, coales
     round(avg({oracle.pass_at_k('n', 'c', '1')}) FILTER (WHERE n > 0), 6) AS pass_at_1
   FROM {_WITH_EMPTY} GROUP BY benchmark""")
 def passk_empty_examples(spark: SparkSession, folder: str) -> DataFrame:
-    keys = ["benchmark", "example_id"]
-    questions = _questions(spark, folder)
-    samples = math_rollouts(spark, folder).drop("gold")
-    answered = extraction.extract_answers(samples)
-    with_gold = scoring.attach_gold(answered, questions, keys)
-    scores = scoring.with_empty_examples(
-        scoring.example_scores(scoring.judge(with_gold, gold_normal="gold_normal"), keys),
-        questions, keys)
+    answered = extraction.extract_answers(math_rollouts(spark, folder).drop("gold"))
+    scores = scoring.score_answers(answered, _questions(spark, folder), ["benchmark", "example_id"])
     first = F.try_element_at("pass_at_k", F.lit("pass@1"))
     return (scoring.benchmark_summary(scores, ks=[1]).withColumn("pass_at_1", first)
             .drop("pass_at_k").withColumns(rounded("accuracy_any", "pass_at_1")))

@@ -25,6 +25,26 @@ def binomial(n: ColumnLike | int, k: ColumnLike | int) -> Column:
             .when(short == 0, F.lit(1.0)).otherwise(product))
 
 
+def exact_binomial(n: ColumnLike | int, k: ColumnLike | int) -> Column:
+    """C(n, k) as DECIMAL(38, 0), every digit; 0 outside 0 <= k <= n, NULL where a step needs over 32 digits.
+
+    Each step multiplies and divides, and every quotient is a binomial, so no
+    remainder is lost.
+    """
+    n, k = ((F.lit(x) if isinstance(x, int) else as_column(x)).cast("long") for x in (n, k))
+    whole = lambda x: x.cast("decimal(38,0)")
+    short = F.greatest(F.least(k, n - k), F.lit(0))
+    room = F.lit("1" + "0" * 32).cast("decimal(38,0)")  # a quotient keeps 32 digits before its point
+
+    def step(acc: Column, i: Column) -> Column:
+        product = F.try_multiply(acc, (n - short + i).cast("decimal(20,0)")).try_cast("decimal(38,0)")
+        return whole(F.try_divide(F.when(product < room, product), i.cast("decimal(10,0)")))
+
+    product = F.aggregate(F.sequence(F.lit(1), short.cast("int")), whole(F.lit(1)), step)
+    return (F.when((k < 0) | (n < 0) | (k > n), whole(F.lit(0)))
+            .when(short == 0, whole(F.lit(1))).otherwise(product))
+
+
 def _stirling_tail(x: Column) -> Column:
     return 1 / (12 * x) - 1 / (360 * x * x * x)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gradeframe.operators.skew import join_same
@@ -65,8 +67,9 @@ def generate(prompts: DataFrame, make_generator: Callable[[], Generator], prompt
              batch_size: int | None = None) -> DataFrame:
     """Call a user's batch generator on every prompt; one row per sample.
 
-    ``make_generator`` runs once per Python worker task and returns a function
-    from a list of prompts to a list of k texts per prompt. Output rows keep the
+    ``make_generator`` runs once per Python worker, which keeps what it returns, a
+    function from a list of prompts to a list of k texts per prompt, for its later
+    tasks. A worker keeps the generators of the last three calls. Output rows keep the
     other columns, so results are tied to their prompt by key. ``batch_size``
     bounds a call; by default a call takes one Arrow batch. A generator from a
     module of its own has to be shipped to the workers like any Python code.
@@ -75,6 +78,8 @@ def generate(prompts: DataFrame, make_generator: Callable[[], Generator], prompt
     schema = T.StructType(kept + [T.StructField("sample_idx", T.IntegerType()),
                                   T.StructField("output", T.StringType())])
     names = [f.name for f in kept]
+    # Stands for this call; tasks that a worker runs later find the generator under it.
+    key = uuid.uuid4()
 
     # Nested, so that it travels by value: workers need not have this package installed.
     def call(model: Generator, part: pa.RecordBatch) -> pa.RecordBatch:
@@ -89,7 +94,10 @@ def generate(prompts: DataFrame, make_generator: Callable[[], Generator], prompt
         return pa.RecordBatch.from_arrays(columns, [*names, "sample_idx", "output"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = make_generator()
+        model = ModelCache.get(key)
+        if model is None:
+            model = make_generator()
+            ModelCache.add(key, model)
         for batch in batches:
             size = batch_size or max(batch.num_rows, 1)
             for start in range(0, batch.num_rows, size):

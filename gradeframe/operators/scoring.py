@@ -75,6 +75,22 @@ def with_empty_examples(scores: DataFrame, questions: DataFrame,
             .withColumns({"n": F.coalesce("n", F.lit(0)), "c": F.coalesce("c", F.lit(0))}))
 
 
+def score_answers(answered: DataFrame, questions: DataFrame, keys: Sequence[str], answer: str = "answer_text",
+                  gold: str = "gold", strict: bool = False) -> DataFrame:
+    """n and c of every question, from samples and gold answers in two tables, in one join.
+
+    Equal answers of an example are counted before they move and judged once,
+    with their number as weight. A question without samples has n = 0 and c = 0;
+    samples without a question are left out.
+    """
+    counts = answered.groupBy(*keys, answer).agg(F.count(F.lit(1)).alias("__votes"))
+    asked = questions.select(*keys, gold, equivalence.normalize_answer(gold).alias("__gold"))
+    judged = judge(asked.join(counts, list(keys), "left"), answer, gold, "__right", strict, gold_normal="__gold")
+    right = F.when(F.col("__right"), F.col("__votes"))
+    return judged.groupBy(*keys).agg(F.coalesce(F.sum("__votes"), F.lit(0)).alias("n"),
+                                     F.coalesce(F.sum(right), F.lit(0)).alias("c"))
+
+
 SPREAD_ABOVE = 1_000_000  # samples of an example from which its rows of k come from many tasks
 
 
@@ -198,6 +214,33 @@ def benchmark_summary(scores: DataFrame, by: Sequence[str] = ("benchmark",),
                  _k_map(pairs).alias("pass_at_k")))
 
 
+def report_levels(scores: DataFrame, levels: Sequence[Sequence[str]] = (("model", "benchmark"), ("model",), ()),
+                  ks: Sequence[int] = (1,)) -> DataFrame:
+    """Counts, accuracy and mean Pass@k of several levels at once: (level, the levels' columns, k, ...).
+
+    The histogram of (n, c) at the finest level serves them all; it is expanded
+    once, and texts and examples are not touched again. ``level`` names the
+    columns of a row's level, 'all' for none; columns above a level are NULL.
+    Examples with fewer than k samples count with their own n.
+    """
+    columns = list(dict.fromkeys(c for level in levels for c in level))
+    ranged = score_histogram(scores, columns).withColumn("k", F.explode(_k_array(ks)))
+    weight = F.when(F.col("n") > 0, F.col("examples"))
+    valued = ranged.withColumn("__value", passk.pass_at_k("n", "c", "k"))
+    total, hits = F.sum("examples"), F.sum(F.when(F.col("c") > 0, F.col("examples")).otherwise(0))
+    # The grouping id has a bit for each column that a level leaves out, the last one lowest; k is in all.
+    width = len(columns)
+    bits = {sum(1 << (width - i) for i, c in enumerate(columns) if c not in level): ",".join(level) or "all"
+            for level in levels}
+    name = F.coalesce(*[F.when(F.col("__id") == i, F.lit(n)) for i, n in bits.items()])
+    grouped = valued.groupingSets([[*level, "k"] for level in levels], *columns, "k").agg(
+        F.grouping_id().alias("__id"), total.alias("total_examples"), hits.alias("correct_at_least_once"),
+        F.coalesce(F.try_divide(hits, total), F.lit(0.0)).alias("accuracy_any"),
+        F.try_divide(F.sum(F.col("__value") * weight), F.sum(weight)).alias("pass_at_k"))
+    return grouped.select(name.alias("level"), *columns, "k", "total_examples", "correct_at_least_once",
+                          "accuracy_any", "pass_at_k")
+
+
 def quick_results(summary: DataFrame, by: Sequence[str] = ("benchmark",)) -> DataFrame:
     """Pass@1 and accuracy per benchmark, 0 where missing."""
     first = F.coalesce(F.try_element_at("pass_at_k", F.lit("pass@1")), F.lit(0.0))

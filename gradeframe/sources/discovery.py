@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeframe.functions.text import ColumnLike, as_column
 from gradeframe.sources.jsonl import MATH_BENCHMARKS
@@ -22,6 +22,36 @@ def absent(df: DataFrame, expected: Sequence[str], column: str = "benchmark") ->
     return wanted.join(df.select(column).distinct(), column, "left_anti")
 
 
+def read_partitions(spark: SparkSession, path: str, benchmarks: Sequence[str] | None = None,
+                    checkpoints: Sequence[str] | None = None, schema: str | None = None,
+                    format: str = "parquet") -> DataFrame:
+    """A dataset in folders ``benchmark=…/`` and, if asked for, ``checkpoint=…/``.
+
+    Names become partition filters, so folders of other names are not opened.
+    ``schema`` has the data's columns; without it Spark looks at the files.
+    """
+    # Names are texts even where all of them look like numbers.
+    reader = spark.read.format(format)
+    names = ["benchmark"] + ([] if checkpoints is None else ["checkpoint"])
+    if schema is not None:
+        reader = reader.schema(", ".join([schema, *[f"{n} string" for n in names]]))
+    df = reader.load(path)
+    if benchmarks is not None:
+        df = only_benchmarks(df, benchmarks)
+    return df if checkpoints is None else df.where(F.col("checkpoint").isin(list(checkpoints)))
+
+
+def partition_report(df: DataFrame, expected: Sequence[str], column: str = "benchmark") -> DataFrame:
+    """Which of the expected names the dataset has: name, found.
+
+    Reads partition values alone. The expected names are a list of the caller's, so they are broadcast.
+    """
+    there = df.where(F.col(column).isin(list(expected))).select(F.col(column).cast("string").alias(column)).distinct()
+    wanted = df.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(expected)], f"{column} string")
+    return F.broadcast(wanted).join(there.withColumn("__there", F.lit(True)), column, "left").select(
+        column, F.coalesce("__there", F.lit(False)).alias("found"))
+
+
 def checkpoint_step(name: ColumnLike) -> Column:
     """The last number in a checkpoint name, its step."""
     digits = F.regexp_extract(as_column(name), r"(\d+)(?!.*\d)", 1)

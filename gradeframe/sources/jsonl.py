@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from gradeframe.functions.text import NON_SPACE
+from gradeframe.functions.text import NON_SPACE, SPACE, strip
 
 # Known benchmarks and their files.
 MATH_BENCHMARKS = {
@@ -29,7 +29,27 @@ RAW_SCHEMA = "question string, answer string, outputs array<string>"
 CHOICE_RESULT_SCHEMA = CHOICE_SCHEMA + ", outputs array<string>, predicted_answers array<string>"
 
 
-_PATH, _BLOCK, _ROW = "__path", "__block", "__row"
+_PATH, _FILE, _BLOCK, _ROW = "__path", "__file", "__block", "__row"
+SPLITS_SENT = 4_000_000  # rows of the split table, 24 bytes each, up to which every task gets it
+
+
+def _split_table(lines: DataFrame) -> DataFrame:
+    """First row number of each split of the scan, and the lines of the file before it.
+
+    Counted while this is called, once, whatever is done with the lines later.
+    It comes to the driver as file hash, block and two numbers; the number of
+    splits follows from the size of the input and is checked.
+    """
+    earlier = Window.partitionBy(_PATH).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    splits = (lines.groupBy(_PATH, _BLOCK).agg(F.count(F.lit(1)).alias("__lines"), F.min(_ROW).alias("__first"))
+              .select(F.xxhash64(_PATH).alias(_FILE), _BLOCK,
+                      (F.coalesce(F.sum("__lines").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift")))
+    found = splits.limit(SPLITS_SENT + 1).toArrow()
+    if found.num_rows > SPLITS_SENT:
+        return splits
+    if found.group_by([_FILE, _BLOCK]).aggregate([]).num_rows < found.num_rows:
+        raise RuntimeError("two files have one hash; read them apart")
+    return F.broadcast(lines.sparkSession.createDataFrame(found, splits.schema))
 
 
 def numbered_lines(spark: SparkSession, path: str | Sequence[str],
@@ -37,19 +57,20 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str],
     """Lines of text files as ``value`` with ``example_id`` and ``file_name``.
 
     A line's number is its place in its split plus the lines of the file's
-    earlier splits, which one pass over the files counts. The counts have one
-    row per split. Numbers are padded, so ids of a file sort like its lines.
+    earlier splits, which one pass over the files counts when this is called.
+    The counts, one row per split, go to where the lines are, so texts don't
+    move. Numbers are padded, so ids of a file sort like its lines. Files that
+    changed since they were counted fail.
     """
     reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
     lines = reader.text(path).select(
         "value", F.col("_metadata.file_path").alias(_PATH), F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias(_BLOCK), F.monotonically_increasing_id().alias(_ROW))
-    earlier = Window.partitionBy(_PATH).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    splits = (lines.groupBy(_PATH, _BLOCK).agg(F.count(F.lit(1)).alias("__lines"), F.min(_ROW).alias("__first"))
-              .withColumn("__before", F.coalesce(F.sum("__lines").over(earlier), F.lit(0)))
-              .drop("__lines"))
-    number = F.col(_ROW) - F.col("__first") + F.col("__before")
-    return lines.join(splits, [_PATH, _BLOCK]).select(
+    # A row's number counts from its task's first row, in this scan as in the one that counted.
+    known = lines.withColumn(_FILE, F.xxhash64(_PATH)).join(_split_table(lines), [_FILE, _BLOCK], "left")
+    changed = F.raise_error(F.concat(F.lit("split not counted: "), F.col(_PATH))).cast("long")
+    number = F.col(_ROW) + F.coalesce("__shift", changed)
+    return known.select(
         "value", "file_name", F.format_string("%s:%012d", F.col(_PATH), number).alias("example_id"))
 
 
@@ -82,6 +103,50 @@ def rejects(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df.withColumn("missing", missing_fields(required)).where(F.size("missing") > 0)
 
 
+def checked(lines: DataFrame, schema: str, required: Sequence[str], value: str = "value") -> DataFrame:
+    """Records of JSON lines, good and bad, from one pass; no line fails the job.
+
+    Adds the fields of ``schema`` and ``rejected``: NULL for a good record,
+    otherwise the reason and the line as it stands. A line that isn't one JSON
+    object of these types is malformed and has no fields; one that lacks a
+    required field names all that it lacks. Blank lines are skipped.
+    """
+    text = F.col(value)
+    filled = F.rlike(text, F.lit(NON_SPACE))
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    record = F.from_json(strip(text), f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    sound = F.coalesce(F.rlike(text, F.lit(rf"^{SPACE}*+\{{")) & F.col("__record").isNotNull()
+                       & F.col("__record.__bad").isNull(), F.lit(False))
+    fields = {n: F.when(F.col("__sound"), F.col(f"__record.{n}")) for n in names}
+    lacking = F.array_join(missing_fields(required), ", ")
+    reason = F.when(~F.col("__sound"), F.lit("malformed")).when(lacking != "", F.concat(F.lit("missing field: "), lacking))
+    return (lines.where(filled).withColumn("__record", F.when(filled, record)).withColumn("__sound", sound)
+            .withColumns(fields).withColumn("__reason", reason)
+            .withColumn("rejected", F.when(F.col("__reason").isNotNull(),
+                                           F.struct(F.col("__reason").alias("reason"), text.alias("line"))))
+            .drop("__record", "__sound", "__reason", value))
+
+
+def read_checked(spark: SparkSession, path: str | Sequence[str], schema: str, required: Sequence[str],
+                 glob: str | None = None) -> DataFrame:
+    """``checked`` records of files, with ``example_id`` and ``file_name`` for good and bad ones alike.
+
+    ``sinks.write_checked`` parts them while they are written.
+    """
+    return checked(numbered_lines(spark, path, glob), schema, required)
+
+
+def accepted(records: DataFrame) -> DataFrame:
+    """The good records of ``checked``."""
+    return records.where("rejected IS NULL").drop("rejected")
+
+
+def rejected(records: DataFrame, *keys: str) -> DataFrame:
+    """The reject table of ``checked``: where each bad line stands, why it is bad, and the line."""
+    return records.where("rejected IS NOT NULL").select(
+        *(keys or ("example_id", "file_name")), "rejected.reason", "rejected.line")
+
+
 def _known(name: str, paths: Mapping[str, str]) -> str:
     if name not in paths:
         raise ValueError(f"unknown benchmark: {name}, expected one of {list(paths)}")

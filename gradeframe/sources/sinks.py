@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.operators.layout import collect_samples
+from gradeframe.sources import jsonl
 
 RUN_KEYS = ("model", "run_ts")
 
@@ -78,3 +79,16 @@ def append_run_config(configs: DataFrame, path: str) -> None:
 def _json(df: DataFrame, path: str, by: Sequence[str]) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*by).json(path))
+
+
+def write_checked(records: DataFrame, path: str) -> None:
+    """Records of ``jsonl.checked``, good ones and rejects apart, from one pass over the input."""
+    status = F.when(F.col("rejected").isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
+    records.withColumn("status", status).write.mode("overwrite").partitionBy("status").parquet(path)
+
+
+def read_written(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``write_checked`` wrote: good records and the reject table, each read from its own folder only."""
+    records = spark.read.parquet(path)
+    return (jsonl.accepted(records.where("status = 'accepted'").drop("status")),
+            jsonl.rejected(records.where("status = 'rejected'")))
