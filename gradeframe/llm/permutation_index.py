@@ -9,6 +9,8 @@ footrule distance of the two orders and reranks the first by inner product.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +20,8 @@ from gradeframe.llm.vectors import BLOCK_ROWS, SHARD_ROWS, finite, matrix, searc
 
 PIVOTS = 512
 DEPTH = 64
-CANDIDATES = 2500
+CANDIDATES = 0.16  # share of a shard's distinct vectors that is reranked,
+LEAST = 400  # and how many at least
 
 
 def usable(embedding: Column) -> Column:
@@ -74,16 +77,18 @@ def orders(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = PIVOTS, depth: int = DEPTH,
-            candidates: int = CANDIDATES, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            candidates: float = CANDIDATES, least: int = LEAST, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k rows with the largest inner product found for each row that ``queries`` selects.
 
     Gives query_id, rank, vec_id and score, the inner product in double
     precision, summed component by component; ties go to the smaller id. Rows
     with the query's id are no candidates. Rows without id and vectors that are
     NULL, zero or hold NULL or non-finite components take no part. The index is
-    fitted on a sample of ``pivots`` rows; all rows are in it. A shard of at
-    most ``candidates`` distinct vectors is searched exactly. Equal vectors
-    stand in the index once, so that copies do not crowd out others.
+    fitted on a sample of ``pivots`` rows; all rows are in it. Of a shard's
+    distinct vectors the share ``candidates``, and ``least`` at least, is
+    reranked, more at ties of the footrule distance; shards of any size go
+    through the inverted files. Equal vectors stand in the index once, so that
+    copies do not crowd out others.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -98,35 +103,31 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = PIVO
         columns = np.ascontiguousarray(distinct.T)
         members = np.lexsort((ids, group))  # of each distinct vector, ids ascending
         begin = np.searchsorted(group[members], np.arange(len(first) + 1))
-        posted = len(first) > candidates
-        if posted:
-            near = orders(filled(distinct, most), chosen, deep)
-            pivot, place = near.ravel(), np.tile(np.arange(deep), len(near))
-            order = np.argsort(pivot, kind="stable")
-            posts, places = np.repeat(np.arange(len(near)), deep)[order], place[order]
-            files = np.searchsorted(pivot[order], np.arange(len(chosen) + 1))
-        asked = orders(asking(q), chosen, deep) if posted else None
+        reranked = min(len(first), max(least, math.ceil(candidates * len(first))))
+        near = orders(filled(distinct, most), chosen, deep)
+        pivot, place = near.ravel(), np.tile(np.arange(deep), len(near))
+        order = np.argsort(pivot, kind="stable")
+        posts, places = np.repeat(np.arange(len(near)), deep)[order], place[order]
+        files = np.searchsorted(pivot[order], np.arange(len(chosen) + 1))
+        asked = orders(asking(q), chosen, deep)
         out = [], [], []
         for i, query_id in enumerate(query_ids):
-            if posted:
-                spans = [slice(files[p], files[p + 1]) for p in asked[i]]
-                met = np.concatenate([posts[s] for s in spans])
-                # Footrule distance is a constant less twice these shares of common pivots.
-                share = deep - np.maximum(np.concatenate([places[s] for s in spans]), np.repeat(
-                    np.arange(deep), [s.stop - s.start for s in spans]))
-                shared = np.bincount(met, share, len(first))
-                cut = np.argpartition(-shared, candidates - 1)[:candidates]
-                # At the cut all with the same distance stay.
-                pool = np.flatnonzero(shared >= shared[cut].min()) if shared[cut].min() > 0 else cut
-            else:
-                pool = np.arange(len(first))
+            spans = [slice(files[p], files[p + 1]) for p in asked[i]]
+            met = np.concatenate([posts[s] for s in spans])
+            # Footrule distance is a constant less twice these shares of common pivots.
+            share = deep - np.maximum(np.concatenate([places[s] for s in spans]), np.repeat(
+                np.arange(deep), [s.stop - s.start for s in spans]))
+            shared = np.bincount(met, share, len(first))
+            cut = np.argpartition(-shared, reranked - 1)[:reranked]
+            # At the cut all with the same distance stay.
+            pool = np.flatnonzero(shared >= shared[cut].min()) if shared[cut].min() > 0 else cut
             score = np.zeros(len(pool))
             for j in range(len(columns)):
                 score += q[i, j] * columns[j, pool]
             keep = k + 1
             if len(pool) > keep:
-                least = -np.partition(-score, keep - 1)[keep - 1]
-                pool, score = pool[score >= least], score[score >= least]
+                edge = -np.partition(-score, keep - 1)[keep - 1]
+                pool, score = pool[score >= edge], score[score >= edge]
             rows_ = [members[begin[v]:min(begin[v + 1], begin[v] + keep)] for v in pool]
             score = np.repeat(score, [len(r) for r in rows_])
             found = ids[np.concatenate(rows_)]
