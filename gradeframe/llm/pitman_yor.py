@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm.chunks import (
-    CHUNK_BYTES, by_bucket, chunk_count, pack_array, pack_words, packed, unpack_array, unpack_words, unpacked,
+    by_bucket, chunk_count, pack_array, pack_words, packed, unpack_array, unpack_words, unpacked,
 )
 from gradeframe.llm.common import stored
 
@@ -36,6 +36,7 @@ CONTEXTS = PARENTS * PER_PARENT
 END = b""  # no word is empty
 STRENGTH = 1.0
 EXACT = 64  # customers up to which tables are drawn from their exact conditional
+CHUNK_BYTES = 16 << 20  # as many chunks as buckets, so smaller ones would cost rows
 _SENT = "bucket int, chunk long, n int, words binary, sizes binary, contexts binary, places binary, counts binary"
 _MERGED = ("bucket int, chunk long, n int, sizes binary, contexts binary, ends binary, edges binary, places binary, "
            "counts binary")
@@ -227,6 +228,16 @@ def _settled(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in 32 bits where all of them fit, else in 64, which the first byte says."""
+    narrow = not len(counts.ravel()) or counts.max() < 1 << 31
+    return (b"4" if narrow else b"8") + pack_array(counts.astype(np.int32 if narrow else np.int64))
+
+
+def _unpack_counts(blob: bytes) -> np.ndarray:
+    return unpack_array(blob[1:], np.int32 if blob[:1] == b"4" else np.int64)
+
+
 def _tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -374,7 +385,7 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
         out: dict[int, np.ndarray] = {}
         for row in rows:
             k, part = -1 - row["chunk"], row["part"]
-            values = unpack_array(row["values"], np.int32).reshape(-1, edges[part + 1] - edges[part])
+            values = _unpack_counts(row["values"]).reshape(-1, edges[part + 1] - edges[part])
             out.setdefault(k, np.zeros((len(values), edges[-1]), np.int64))[:, edges[part]:edges[part + 1]] = values
         return [line for k in sorted(out) for line in out[k]]
 
@@ -395,11 +406,11 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
                                                         (n2 == 2).sum(), n3.sum()]]).astype(float)
         return [{"part": -1, "bucket": row["bucket"], "sums": pack_array(whole)}, *(
             {"part": part, "bucket": row["bucket"],
-             "sums": pack_array(sums[:, edges[part]:edges[part + 1]].astype(np.int32))}
+             "sums": _pack_counts(sums[:, edges[part]:edges[part + 1]])}
             for part in np.flatnonzero(np.diff(edges)))]
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        sums = {r["bucket"]: unpack_array(r["sums"], np.int32) for r in right.to_pylist()}
+        sums = {r["bucket"]: _unpack_counts(r["sums"]) for r in right.to_pylist()}
         ids = {r["bucket"]: np.cumsum(unpack_array(r["sums"], np.int32)) for r in left.to_pylist()}
         lines = len(next(iter(sums.values()))) // len(ids[next(iter(sums))])
         total = np.zeros((lines, max(i[-1] for i in ids.values()) + 1), np.int64)
@@ -407,7 +418,7 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
             total[:, ids[bucket]] += own.reshape(lines, -1)
         part = left["part"][0].as_py()
         return pa.Table.from_pylist([
-            {"bucket": b, "part": part, "values": pack_array(total[:, i].astype(np.int32))} for b, i in ids.items()],
+            {"bucket": b, "part": part, "values": _pack_counts(total[:, i])} for b, i in ids.items()],
             schema=_schema("bucket int, part int, values binary"))
 
     def spread(batches):

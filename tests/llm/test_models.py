@@ -188,3 +188,9 @@ def test_language_model_without_training_or_documents(spark):
     got = pitman_yor.score(docs, F.lit(True)).collect()
     assert len(got) == docs.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
     assert pitman_yor.score(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_totals_beyond_32_bits():
+    for counts in ([[1, 2], [3, 4]], [[1, 5_000_000_000]], [[]]):
+        counts = np.array(counts, np.int64)
+        assert pitman_yor._unpack_counts(pitman_yor._pack_counts(counts)).tolist() == counts.ravel().tolist()
