@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from gradeframe.functions.text import (
@@ -22,6 +25,9 @@ PHRASES = (
     r"\[([A-E])\]",
 )
 
+# Words of which a text has one if the phrase can match; byte scans for them spare most texts the patterns.
+_SIGNS = (("nswer", "ANSWER"), ("orrect", "CORRECT"), ("ption", "OPTION", "hoice", "CHOICE"), ("(",), ("[",))
+
 # First character of each line when a non-alphanumeric or the line end follows.
 _LINE_SPACE = char_class(WHITESPACE.replace("\n", ""))
 LINE_LEAD = rf"(?md)^{_LINE_SPACE}*+({NON_SPACE})(?!{ALNUM})"
@@ -43,7 +49,12 @@ def _if_label(letter: Column, labels: Column) -> Column:
 def phrase_choice(text: ColumnLike, labels: Column) -> Column:
     """Letter of the first phrase whose first match names a valid label."""
     text = as_column(text)
-    return F.coalesce(*[_if_label(F.regexp_extract(text, p, 1), labels) for p in PHRASES])
+
+    def guarded(pattern: str, signs: tuple[str, ...]) -> Column:
+        there = reduce(or_, [F.contains(text, F.lit(sign)) for sign in signs])
+        return F.when(there, _if_label(F.regexp_extract(text, pattern, 1), labels))
+
+    return F.coalesce(*[guarded(p, s) for p, s in zip(PHRASES, _SIGNS)])
 
 
 def line_choice(text: ColumnLike, labels: Column) -> Column:
