@@ -4,6 +4,8 @@ import glob
 import json
 import math
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +183,13 @@ def test_exact_binomials(spark):
     assert spark.range(1).select(passk.exact_binomial(300, 150)).first()[0] is None
 
 
+def test_the_entry_survives_a_missing_library():
+    code = ("import sys; sys.modules['zstandard'] = None\nimport __spark_entry__ as e\n"
+            "from gradeframe.catalog import QUERIES\nassert QUERIES.keys() == e.queries().keys() == e.oracle_sql().keys()")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
 def sample_files(spark, path, output="Answer: 5"):
     spark.range(40).selectExpr("'m' AS model", "'260101000000' AS run_ts", "id AS example_id", f"'{output}' AS output",
                                "CAST(id % 7 AS STRING) AS gold").repartition(4).write.json(path)
