@@ -91,20 +91,16 @@ def score_answers(answered: DataFrame, questions: DataFrame, keys: Sequence[str]
                                      F.coalesce(F.sum(right), F.lit(0)).alias("c"))
 
 
-SPREAD_ABOVE = 1_000_000  # samples of an example from which its rows of k come from many tasks
-
-
-def example_pass_at_k(scores: DataFrame, ks: Sequence[int] | None = None,
-                      spread_above: int = SPREAD_ABOVE) -> DataFrame:
+def example_pass_at_k(scores: DataFrame, ks: Sequence[int] | None = None) -> DataFrame:
     """Pass@k of each example for k = 1..n, or for the given ks clamped to n.
 
-    The rows of examples with more than ``spread_above`` samples are produced by
-    many tasks; their number is known from the counts.
+    Without ``ks`` the counts, one row per example or per block of a large one,
+    are dealt anew before they are expanded, so that the rows of an example
+    with very many samples are produced by many tasks. Treating such examples
+    apart would judge all samples twice.
     """
     if ks is None:
-        few = explode_range(scores.where(F.col("n") <= spread_above), "n", "k")
-        many = explode_range(scores.where(F.col("n") > spread_above), "n", "k", spread=True)
-        ranged = few.unionByName(many)
+        ranged = explode_range(scores, "n", "k", spread=True)
     else:
         ranged = scores.where("n > 0").withColumn("k", F.explode(_k_array(ks)))
     return ranged.withColumn("pass_at_k", passk.pass_at_k("n", "c", "k"))
