@@ -8,6 +8,7 @@ from gradeframe.catalog import oracle
 from gradeframe.catalog.math_queries import ROW, rounded
 from gradeframe.catalog.registry import query
 from gradeframe.catalog.rollouts import CHOICE_SQL, choice_rollouts
+from gradeframe.functions.choice import DEFAULT_LABELS
 from gradeframe.operators import extraction, voting
 from gradeframe.plans import choice_eval
 from gradeframe.sources.tables import spread, table
@@ -71,7 +72,8 @@ def choice_extract_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""SELECT *, {_RATES} FROM (SELECT benchmark, {_COUNTS}
   FROM {_votes('benchmark', 'example_id')} GROUP BY benchmark)""")
 def choice_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    table_ = voting.choice_accuracy(_chosen(spark, folder), ["benchmark"], ["example_id"])
+    table_ = voting.choice_accuracy(_chosen(spark, folder), ["benchmark"], ["example_id"],
+                                    labels=DEFAULT_LABELS)
     return table_.withColumns(rounded(*voting.RATES))
 
 
@@ -79,7 +81,7 @@ def choice_accuracy(spark: SparkSession, folder: str) -> DataFrame:
   JOIN (SELECT example_id, count(*) AS samples FROM {_CHOSEN} GROUP BY example_id) s
   USING (example_id)""")
 def majority_vote(spark: SparkSession, folder: str) -> DataFrame:
-    votes = voting.majority_vote(_chosen(spark, folder), ["example_id"])
+    votes = voting.majority_vote(_chosen(spark, folder), ["example_id"], labels=DEFAULT_LABELS)
     return votes.withColumn("samples", F.col("samples").cast("long"))
 
 
@@ -87,7 +89,7 @@ def majority_vote(spark: SparkSession, folder: str) -> DataFrame:
   FROM {_votes('benchmark', 'step', 'example_id')} GROUP BY benchmark, step)""")
 def checkpoint_curve(spark: SparkSession, folder: str) -> DataFrame:
     curve = choice_eval.checkpoint_curve(_chosen(spark, folder), ["example_id"],
-                                         ["benchmark", "step"])
+                                         ["benchmark", "step"], labels=DEFAULT_LABELS)
     return curve.withColumns(rounded(*voting.RATES))
 
 

@@ -8,6 +8,8 @@ from gradeframe.functions.text import ColumnLike, as_column
 
 # Below this many factors the product is evaluated term by term.
 _DIRECT_FACTORS = 64
+# So many factors are written out, which is compiled; a fold over a sequence is interpreted.
+_PLAIN_FACTORS = 8
 
 
 def _as_double(value: ColumnLike | int) -> Column:
@@ -58,6 +60,9 @@ def _all_fail(n: Column, c: Column, k: Column) -> Column:
     an example has.
     """
     few, many = F.least(c, k), F.greatest(c, k)
+    plain = F.lit(1.0)
+    for j in range(_PLAIN_FACTORS):
+        plain = plain * F.when(few > j, 1 - many / (n - j)).otherwise(1.0)
     direct = F.aggregate(
         F.sequence(F.lit(0), F.least(few, F.lit(float(_DIRECT_FACTORS))).cast("int") - 1),
         F.lit(1.0), lambda acc, j: acc * (1 - many / (n - j)))
@@ -67,7 +72,7 @@ def _all_fail(n: Column, c: Column, k: Column) -> Column:
                  + _stirling_tail(n - c) - _stirling_tail(n)
                  - _stirling_tail(rest) + _stirling_tail(n - k))
     # With both c and k large and nothing left over, the ratio is below 1e-30.
-    return (F.when(few <= _DIRECT_FACTORS, direct)
+    return (F.when(few <= _PLAIN_FACTORS, plain).when(few <= _DIRECT_FACTORS, direct)
             .when(n - c - k < 1, F.lit(0.0)).otherwise(F.exp(log_ratio)))
 
 

@@ -2,7 +2,9 @@
 
 The samples of an example are first reduced to one row per distinct answer with
 its count and first position. That step combines on the map side, so a group of
-any size shrinks to the number of labels before it moves.
+any size shrinks to the number of labels before it moves. Where the possible
+answers are known and few (``labels``), an example is one row of counts and
+first positions from the start: one hash aggregate, one exchange, no sort.
 """
 
 from __future__ import annotations
@@ -31,12 +33,51 @@ def answer_counts(samples: DataFrame, keys: Sequence[str], answer: str = "choice
                                               F.min(position).alias("first_position"))
 
 
+def _place(answer: Column, labels: Sequence[str]) -> Column:
+    """0 for NULL, 1.. for the labels in their order, -1 for anything else."""
+    place = F.array_position(F.array(*[F.lit(label) for label in labels]), answer)
+    return F.when(answer.isNull(), 0).when(place > 0, place).otherwise(-1).cast("int")
+
+
+def label_votes(samples: DataFrame, keys: Sequence[str], labels: Sequence[str],
+                answer: str = "choice", position: str = "sample_idx") -> DataFrame:
+    """Per example an array ``votes`` of (votes, order, place), one item per label that was given.
+
+    ``order`` is the negated first position and ``place`` that of ``_place``.
+    All buffers are numbers of a fixed width, so partial counts merge by hash
+    whatever the number of samples. An answer that is not among the labels is an
+    error.
+    """
+    places = range(len(labels) + 1)
+    counts = [F.count_if(F.col("__place") == i).alias(f"__n{i}") for i in places]
+    firsts = [F.min(F.when(F.col("__place") == i, F.col(position))).alias(f"__f{i}") for i in places]
+    given = [F.when(F.col(f"__n{i}") > 0, F.struct(F.col(f"__n{i}").alias("votes"), (-F.col(f"__f{i}")).alias("order"),
+                                                  F.lit(i).alias("place"))) for i in places]
+    unknown = F.when(F.col("__other") > 0, F.raise_error(F.lit(
+        f"an answer is none of the labels {', '.join(labels)}")).cast("boolean")).otherwise(F.lit(True))
+    return (samples.withColumn("__place", _place(F.col(answer), labels)).groupBy(*keys)
+            .agg(*counts, *firsts, F.count_if(F.col("__place") < 0).alias("__other"))
+            .where(unknown).select(*keys, F.filter(F.array(*given), lambda v: v.isNotNull()).alias("votes")))
+
+
+def _label_majority(samples, keys, labels, answer, position):
+    top = F.array_max("votes")
+    total = F.aggregate("votes", F.lit(0).cast("long"), lambda n, v: n + v["votes"])
+    return (label_votes(samples, keys, labels, answer, position)
+            .select(*keys, top.alias("__top"), total.alias("samples"))
+            .select(*keys, F.get(F.array(*[F.lit(label) for label in labels]), F.col("__top.place") - 1).alias("winner"),
+                    F.col("__top.votes").alias("votes"), "samples"))
+
+
 def majority_vote(samples: DataFrame, keys: Sequence[str], answer: str = "choice",
-                  position: str = "sample_idx") -> DataFrame:
+                  position: str = "sample_idx", labels: Sequence[str] | None = None) -> DataFrame:
     """Most frequent answer of each example; ties go to the answer seen first.
 
-    NULL is a candidate like any other.
+    NULL is a candidate like any other. ``labels`` names all possible answers,
+    if they are few; any other answer is an error then.
     """
+    if labels is not None:
+        return _label_majority(samples, keys, labels, answer, position)
     ranked = F.struct(F.col("votes"), (-F.col("first_position")).alias("order"),
                       F.col(answer).alias("winner"))
     return (answer_counts(samples, keys, answer, position)
@@ -46,9 +87,27 @@ def majority_vote(samples: DataFrame, keys: Sequence[str], answer: str = "choice
                     F.col("__top.votes").alias("votes"), "samples"))
 
 
+def _label_example_votes(samples, keys, key, labels, answer, position):
+    right = _place(F.col(key), labels)
+    earliest = F.array_max(F.transform("votes", lambda v: F.struct(v["order"], v["place"])))
+    return (label_votes(samples, [*keys, key], labels, answer, position)
+            .select(*keys, "votes", right.alias("__right"), earliest["place"].alias("__first"),
+                    F.array_max("votes")["place"].alias("__top"))
+            .select(*keys, (F.col("__first") == F.col("__right")).alias("first_right"),
+                    F.exists("votes", lambda v: v["place"] == F.col("__right")).alias("any_right"),
+                    (F.col("__top") == F.col("__right")).alias("majority_right"),
+                    F.exists("votes", lambda v: v["place"] > 0).alias("extracted")))
+
+
 def example_votes(samples: DataFrame, keys: Sequence[str], key: str = "answer_key",
-                  answer: str = "choice", position: str = "sample_idx") -> DataFrame:
-    """Per example: first sample right, any right, majority right, any extracted."""
+                  answer: str = "choice", position: str = "sample_idx",
+                  labels: Sequence[str] | None = None) -> DataFrame:
+    """Per example: first sample right, any right, majority right, any extracted.
+
+    ``labels`` as in ``majority_vote``.
+    """
+    if labels is not None:
+        return _label_example_votes(samples, keys, key, labels, answer, position)
     # Votes, then position, then the verdict as the last binary digit of one number,
     # because numbers can be aggregated by hash and structs only by sorting.
     right = F.col("__right").cast("int")
@@ -73,13 +132,15 @@ def rates(counts: DataFrame) -> DataFrame:
 
 def choice_accuracy(samples: DataFrame, by: Sequence[str], keys: Sequence[str],
                     key: str = "answer_key", answer: str = "choice",
-                    position: str = "sample_idx", items: DataFrame | None = None) -> DataFrame:
+                    position: str = "sample_idx", items: DataFrame | None = None,
+                    labels: Sequence[str] | None = None) -> DataFrame:
     """The nine statistics per ``by`` group.
 
     ``items`` lists all questions; those without samples count in the total.
+    ``labels`` as in ``majority_vote``.
     """
     all_keys = list(dict.fromkeys([*by, *keys]))
-    votes = example_votes(samples, all_keys, key, answer, position)
+    votes = example_votes(samples, all_keys, key, answer, position, labels)
     if items is not None:
         votes = items.select(*all_keys).join(votes, all_keys, "left")
     counts = votes.groupBy(*by).agg(

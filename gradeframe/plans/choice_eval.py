@@ -27,6 +27,7 @@ def score_choice_raw(raw: DataFrame, by: Sequence[str] = ("benchmark",)) -> Data
 
 
 def checkpoint_curve(samples: DataFrame, keys: Sequence[str],
-                     by: Sequence[str] = ("strategy", "step"), **columns: str) -> DataFrame:
+                     by: Sequence[str] = ("strategy", "step"), labels: Sequence[str] | None = None,
+                     **columns: str) -> DataFrame:
     """Statistics per checkpoint in one grouped job instead of a run per step."""
-    return voting.choice_accuracy(samples, by, keys, **columns)
+    return voting.choice_accuracy(samples, by, keys, labels=labels, **columns)

@@ -115,3 +115,38 @@ def test_checkpoints_in_one_job(spark):
     curve = choice_eval.checkpoint_curve(steps, ["example_id"]).orderBy("step")
     assert rows(curve.select("step", "total", "pass_at_1")) == [(10, 2, 1), (2, 2, 1)]
     assert [r["step"] for r in curve.collect()] == [2, 10]
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_known_labels_give_the_same_votes(spark, parts):
+    draw = random.Random(5)
+    answers = [[draw.choice(["A", "B", "C", None]) for _ in range(draw.randrange(0, 9))] for _ in range(300)]
+    keys = [draw.choice(["A", "B", "C", "Z", None]) for _ in answers]
+    df = samples(items(spark, answers, keys)).orderBy(F.rand(2)).repartition(parts)
+    for make in (voting.majority_vote, voting.example_votes):
+        got = make(df, ["example_id"], labels="CAB")
+        assert rows(got) == rows(make(df, ["example_id"]).select(*got.columns))
+    assert rows(voting.choice_accuracy(df, ["benchmark"], ["example_id"], labels="ABC")) == rows(
+        voting.choice_accuracy(df, ["benchmark"], ["example_id"]))
+
+
+def test_known_labels_need_one_exchange_and_no_sort(spark):
+    df = samples(items(spark, [["A", "B"]] * 40)).repartition(4)
+    votes = voting.majority_vote(df, ["example_id"], labels="AB")
+    votes.collect()
+    plan = votes._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortAggregate" not in plan and "Sort [" not in plan
+    assert plan.count("Exchange hashpartitioning(example_id") == 1
+
+
+def test_other_answers_than_the_labels_are_errors(spark):
+    with pytest.raises(Exception, match="none of the labels A, B"):
+        voting.majority_vote(samples(items(spark, [["A", "C"]])), ["example_id"], labels="AB").collect()
+
+
+def test_votes_of_a_hot_example(spark):
+    df = spark.range(200_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS example_id", "id AS sample_idx",
+        "CASE id % 5 WHEN 0 THEN 'A' WHEN 4 THEN NULL ELSE 'B' END AS choice")
+    got = voting.majority_vote(df, ["example_id"], labels="AB")
+    assert rows(got) == rows(voting.majority_vote(df, ["example_id"]))
