@@ -23,8 +23,13 @@ KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SYMBOLS = len(ALPHABET) + 1  # index 0: any other character
-MIN_LENGTH = 20
-CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH
+MIN_LENGTH = 16
+FULL_LENGTH = 20  # shorter strings must bring as much evidence as one of this length
+_RUN = "[A-Za-z0-9+/_-]"
+CANDIDATE = _RUN + "{%d,}" % MIN_LENGTH
+# Runs too short for the pattern above, or not random enough alone, joined by separators. A match
+# starts where a run starts, so that a long run without separators is passed once.
+BROKEN = f"(?<!{_RUN}){_RUN}{{6,}}+(?:[.=~]++{_RUN}{{6,}}+)++"
 _BLOCK = 256
 
 
@@ -49,6 +54,23 @@ class Markov:
                 / F.greatest(F.length(text) - 1, F.lit(1)))
 
 
+    def suspects(self, threshold: float):
+        """Whether a candidate is a secret.
+
+        The mean ratio must be above ``threshold``. A string below 20
+        characters needs a letter and, with fewer transitions, as much evidence
+        in total as one of 20. Separators inside a candidate are left out.
+        """
+        def secret(match: Column) -> Column:
+            text = F.regexp_replace(match, "[.=~]", "")
+            length = F.length(text)
+            least = F.greatest(F.lit(1.0), (FULL_LENGTH - 1) / F.greatest(length - 1, F.lit(1)))
+            wide = (length >= FULL_LENGTH) | ((length >= MIN_LENGTH) & text.rlike("[A-Za-z]"))
+            return wide & (self.ratio(text) > threshold * least)
+
+        return secret
+
+
 def train(samples: DataFrame, smoothing: float = 0.5) -> Markov:
     """Both models from labelled samples (``text``, ``random`` boolean).
 
@@ -130,19 +152,27 @@ def base_spans(text: Column) -> list[Column]:
 def scan(docs: DataFrame, model: Markov, threshold: float = 1.0) -> DataFrame:
     """Add ``base`` and ``spans``, arrays of (start, kind, stop), to the documents.
 
-    ``kind`` is an index of ``KINDS``. A string of 20 or more letters, digits
+    ``kind`` is an index of ``KINDS``. A string of 16 or more letters, digits
     and ``+/_-`` that touches no base span is added if its mean log-likelihood
-    ratio per transition is above ``threshold``. A NULL or empty text has no
-    spans. Columns of these two names are replaced.
+    ratio per transition is above ``threshold``, higher below 20 characters (see
+    ``Markov.suspects``). So are runs of 6 or more such characters joined by
+    ``.``, ``=`` or ``~``, judged as one string, where no part was found before.
+    A NULL or empty text has no spans. Columns of these two names are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     assign, access, hexes = base_spans(text)
     based = docs.withColumn("base", F.sort_array(F.concat(assign, access, hexes)))
-    free = spans(text, CANDIDATE, lambda m: model.ratio(m) > threshold, 3)
-    apart = F.filter(free, lambda s: ~F.exists(
-        "base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return based.withColumn("spans", F.when(F.size("base") == 0, free).otherwise(
-        F.sort_array(F.concat(F.col("base"), apart))))
+    for pattern, so_far in ((CANDIDATE, "base"), (BROKEN, "spans")):
+        free = spans(text, pattern, model.suspects(threshold), 3)
+        based = based.withColumn("spans", _with_apart(so_far, free))
+    return based
+
+
+def _with_apart(found: str, more: Column) -> Column:
+    """Spans so far and those of ``more`` that touch none of them, in order."""
+    apart = F.filter(more, lambda s: ~F.exists(
+        found, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    return F.when(F.size(found) == 0, more).otherwise(F.sort_array(F.concat(F.col(found), apart)))
 
 
 def as_text(column: str) -> Column:
@@ -189,7 +219,8 @@ def redact(text: Column, model: Markov, threshold: float = 1.0, mark: str = "[se
     ruled = _replaced(text, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6, mark)
     ruled = _replaced(ruled, ACCESS, lambda m: F.length(m) >= 20, mark)
     ruled = F.regexp_replace(ruled, HEX, mark)
-    return _replaced(ruled, CANDIDATE, lambda m: model.ratio(m) > threshold, mark)
+    ruled = _replaced(ruled, CANDIDATE, model.suspects(threshold), mark)
+    return _replaced(ruled, BROKEN, model.suspects(threshold), mark)
 
 
 def _replaced(text: Column, pattern: str, secret, mark: str) -> Column:

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import random
 import re
+import string
 
 import cases
 import compare
@@ -109,6 +111,40 @@ def test_model_adds_what_no_rule_knows(spark, markov):
     assert got[2] == ("", rows[1][1])
 
 
+def test_model_judges_short_and_broken_strings(spark, markov):
+    draw = random.Random(7)
+    signs = string.ascii_letters + string.digits
+
+    def made(*lengths):
+        return [".=~"[i % 3].join("".join(draw.choice(signs) for _ in range(n)) for n in lengths) for i in range(100)]
+
+    names = ["_".join(draw.choice(["total", "count", "sample", "customer", "result"]) for _ in range(4))
+             for _ in range(100)]
+    paths = [".".join(draw.choice(["example", "service", "package", "storage"]) for _ in range(3)) for _ in range(100)]
+    dates = [f"2024-01-{i % 28 + 1:02}T12-30-{i % 60:02}" for i in range(100)]
+    kinds = {"short": made(16), "middle": made(18), "broken": made(9, 9, 9), "names": names, "paths": paths,
+             "dates": dates, "digits": [str(10 ** 15 + 7 * i) for i in range(100)]}
+    rows = [(i * 1000 + j, f"see {t} here", None, None, None) for i, k in enumerate(kinds) for j, t in enumerate(kinds[k])]
+    got = secret_scan.scan(cases.documents(spark, rows), markov).where("size(spans) > 0")
+    hits = {list(kinds)[r["i"]]: r["count"] for r in got.groupBy(F.expr("doc_id div 1000 AS i")).count().collect()}
+    assert min(hits.get(k, 0) for k in ("short", "middle", "broken")) >= 90
+    assert max(hits.get(k, 0) for k in ("names", "paths", "dates", "digits")) <= 3
+    whole = got.where("doc_id div 1000 = 2").select(secret_scan.as_text("spans").alias("s"),
+                                                    secret_scan.redact(F.col("text"), markov).alias("r")).collect()
+    assert {tuple(r) for r in whole} == {("random:4:33", "see [secret] here")}
+
+
+def test_long_runs_are_passed_once(spark, markov):
+    rows = [(1, "z" * 300_000, None, None, None), (2, "abcdef." * 40_000, None, None, None),
+            (3, "ab.cdefgh" * 30_000, None, None, None)]
+    docs = cases.documents(spark, rows)
+    ends = secret_scan.scan(docs, markov).select("doc_id", F.array_max("spans.stop").alias("e")).collect()
+    assert {r["doc_id"]: r["e"] for r in ends if r["e"]}.items() <= {1: 300_000, 2: 279_999, 3: 270_000}.items()
+    unknown = secret_scan.Markov(())
+    assert secret_scan.scan(docs, unknown).where("size(spans) > 0").count() == 0
+    assert docs.where(secret_scan.redact(F.col("text"), unknown) != F.col("text")).count() == 0
+
+
 def test_ratio_matches_plain_python(spark, markov):
     def ratio(t):
         ids = [secret_scan.ALPHABET.find(c) + 1 for c in t]
