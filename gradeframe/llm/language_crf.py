@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeframe.llm.common import fold, thrifty
@@ -218,20 +218,29 @@ def _forward(potential, first, move):
     return alpha
 
 
-def train(docs: DataFrame, max_documents: int = 2500, window: int = 1500, **options) -> Chain:
+def train(docs: DataFrame, max_documents: int = 2500, window: int = 1500, least: int = 50,
+          **options) -> Chain:
     """Learn from documents with a language outside of the held-out fold (remainder 0 of 5).
 
-    ``max_documents`` bounds the sample, the ids with the smallest hashes, and
-    ``window`` the characters taken of each, from a place given by the hash.
-    Only text and language are used. Without two languages the model is trivial.
+    ``max_documents`` bounds the sample: the ids with the smallest hashes, first
+    ``least`` of each language, so that rare ones are learned as well, then over
+    all languages together. With more than ``max_documents / least`` languages
+    those whose ids have the smallest hashes come first. ``window`` bounds the
+    characters taken of each, from a place given by the hash. Only text and
+    language are used; of rows that repeat an id one is taken. Without two
+    languages the model is trivial.
     """
-    chosen = (docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-              .select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents))
-    place = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - window, F.lit(1))).cast("int")
-    rows = (docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-            .join(F.broadcast(chosen), "doc_id", "left_semi")
-            .select("doc_id", "lang", F.substring(F.col("text"), place, F.lit(window)).alias("text"))
-            .orderBy("doc_id", "lang", "text").limit(max_documents).collect())
+    labelled = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    key = F.xxhash64("doc_id")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))
+    ranked = labelled.select("doc_id", "lang").distinct().withColumn("turn", turn).where(F.col("turn") <= max_documents)
+    # An id has one place, whatever number of languages its rows name.
+    chosen = (ranked.groupBy("doc_id").agg(F.min("turn").alias("turn"))
+              .orderBy(F.col("turn") > least, key, "doc_id").limit(max_documents).select("doc_id"))
+    place = 1 + F.pmod(key, F.greatest(F.length("text") - window, F.lit(1))).cast("int")
+    rows = (labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
+            .select("doc_id", F.struct("lang", F.substring(F.col("text"), place, F.lit(window)).alias("text")).alias("row"))
+            .groupBy("doc_id").agg(F.min("row").alias("row")).orderBy("doc_id").select("row.*").collect())
     return fit([(r["text"], r["lang"]) for r in rows], **options)
 
 

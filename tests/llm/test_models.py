@@ -56,6 +56,20 @@ def chain(spark):
     return language_crf.train(common.table(spark, FOLDER, "documents"), epochs=20)
 
 
+def test_rare_languages_are_learned_and_repeated_ids_count_once(spark):
+    docs = spark.range(4000).select(
+        "id", F.when(F.col("id") < 20, "xx").otherwise("yy").alias("lang"),
+        F.when(F.col("id") < 20, "zorgu blipta quonx").otherwise("the plain words").alias("text"))
+    docs = docs.select(F.col("id").alias("doc_id"), "lang", "text").unionByName(
+        spark.range(2000).select(F.lit(9000).cast("long").alias("doc_id"), F.lit("yy").alias("lang"),
+                                 F.lit("again again").alias("text")))
+    model = language_crf.train(docs, max_documents=60, least=10, epochs=10)
+    assert set(model.labels) == {"xx", "yy"}
+    got = docs.groupBy("lang").agg(F.count_if(
+        language_crf.identify(F.col("text"), model)["lang_pred"] == F.col("lang")).alias("n")).collect()
+    assert {r["lang"]: r["n"] for r in got if r["lang"] == "xx"} == {"xx": 20}
+
+
 def test_language_on_held_out_documents(spark, chain):
     docs = common.table(spark, FOLDER, "documents")
     got = docs.where(common.held_out(F.col("doc_id"), 0)).select(
