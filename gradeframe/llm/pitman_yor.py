@@ -12,7 +12,8 @@ so a sweep needs of other buckets only the totals of each restaurant. Those of
 whole words, which grow with the corpus, are summed after every sweep in parts
 dealt by the context's hash, and each bucket hears of the contexts that it meets.
 Those of word endings, ``2 * (CONTEXTS + PARENTS) + 9`` numbers, go through the
-driver. Counts are gathered from all training documents.
+driver. Each sweep is written with its seating, which the next one goes on from.
+Counts are gathered from all training documents.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ _SENT = "bucket int, chunk long, n int, words binary, sizes binary, contexts bin
 _MERGED = ("bucket int, chunk long, n int, sizes binary, contexts binary, ends binary, edges binary, places binary, "
            "counts binary")
 _DEALT = "part int, bucket int, sums binary"
+_TOTALS, _STATE = -1, -2  # in place of a part: a bucket's sums for the driver, and its seating
 
 
 def context(word: bytes) -> int:
@@ -180,6 +182,17 @@ class WordSeating:
         """This bucket's tables of each context."""
         return np.bincount(self.at, self.t3, len(self.ends)).astype(np.int64)
 
+    def state(self) -> np.ndarray:
+        """All tables, from which the customers of the parents follow."""
+        return np.concatenate([self.t3, self.base.t2, self.base.t1, self.base.t0])
+
+    def restore(self, state: np.ndarray) -> None:
+        base = self.base
+        self.t3, base.t2, base.t1, base.t0 = np.split(
+            state.astype(np.int64), np.cumsum([len(self.t3), len(base.t2), len(base.t1)]))
+        base.n2 = np.bincount(self.up, self.t3, len(base.word)).astype(np.int64)
+        base.settle()
+
     def sweep(self, all_: Totals, tables: np.ndarray, discount: float, stirling3, stirling, rng) -> None:
         chance = (STRENGTH + discount * tables[self.at]) * self.base.leaves(all_)[self.up]
         self.t3 = draw_tables(self.n3, chance, discount, stirling3, rng)
@@ -380,21 +393,19 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
     numbered = _settled(merged.select("bucket", "contexts", "edges").mapInArrow(deal, _DEALT)
                       .groupBy("part").applyInArrow(number, _DEALT), "contexts")
 
-    def hear(rows, edges) -> list[np.ndarray]:
-        """All customers of each context, then its tables before each sweep."""
+    def hear(rows, edges) -> dict[int, np.ndarray]:
+        """By number of sweeps made: the tables of each context, in the last line; before the first also all customers."""
         out: dict[int, np.ndarray] = {}
         for row in rows:
             k, part = -1 - row["chunk"], row["part"]
-            values = _unpack_counts(row["values"]).reshape(-1, edges[part + 1] - edges[part])
-            out.setdefault(k, np.zeros((len(values), edges[-1]), np.int64))[:, edges[part]:edges[part + 1]] = values
-        return [line for k in sorted(out) for line in out[k]]
+            if part >= 0:
+                values = _unpack_counts(row["values"]).reshape(-1, edges[part + 1] - edges[part])
+                out.setdefault(k, np.zeros((len(values), edges[-1]), np.int64))[:, edges[part]:edges[part + 1]] = values
+        return out
 
-    def seatings(row, history: list[Totals], tables: list[np.ndarray], stirling):
-        """The seating after each sweep that the history allows; the same in every run."""
-        seating = begin(row)
-        for k, (all_, known) in enumerate(zip(history, tables)):
-            seating.sweep(all_, known, discount, *stirling, np.random.default_rng([seed, row["bucket"], k]))
-            yield k, seating
+    def states(rows) -> dict[int, np.ndarray]:
+        """By number of sweeps made: the bucket's seating."""
+        return {-1 - row["chunk"]: _unpack_counts(row["values"]) for row in rows if row["part"] == _STATE}
 
     def tell(row, seating: WordSeating, first: bool) -> list[dict]:
         edges = unpack_array(row["edges"], np.int32)
@@ -404,7 +415,8 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
         n3, n2 = seating.n3, seating.base.n2
         whole = np.concatenate([seating.base.totals(), [(n3 == 1).sum(), (n3 == 2).sum(), (n2 == 1).sum(),
                                                         (n2 == 2).sum(), n3.sum()]]).astype(float)
-        return [{"part": -1, "bucket": row["bucket"], "sums": pack_array(whole)}, *(
+        state = [] if first else [{"part": _STATE, "bucket": row["bucket"], "sums": _pack_counts(seating.state())}]
+        return [{"part": _TOTALS, "bucket": row["bucket"], "sums": pack_array(whole)}, *state, *(
             {"part": part, "bucket": row["bucket"],
              "sums": _pack_counts(sums[:, edges[part]:edges[part + 1]])}
             for part in np.flatnonzero(np.diff(edges)))]
@@ -429,7 +441,7 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
                                                  ["i", "v"])
 
     bare = merged.drop("contexts")
-    heard, history = None, []
+    heard, kept, history = None, [], []
     for k in range(sweeps + 1):
         if heard is None:
             def told(batches):
@@ -440,16 +452,19 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
             up = bare.mapInArrow(told, _DEALT)
         else:
             def after(left: pa.Table, right: pa.Table) -> pa.Table:
-                row = left.to_pylist()[0]
-                _, *tables = hear(right.to_pylist(), unpack_array(row["edges"], np.int32))
-                for _, seating in seatings(row, history, tables, stirling):
-                    pass
+                row, rows = left.to_pylist()[0], right.to_pylist()
+                seating = begin(row)
+                for state in states(rows).values():
+                    seating.restore(state)
+                tables = hear(rows, unpack_array(row["edges"], np.int32))[k - 1][-1]
+                seating.sweep(history[-1], tables, discount, *stirling,
+                              np.random.default_rng([seed, row["bucket"], k - 1]))
                 return pa.Table.from_pylist(tell(row, seating, False), schema=_schema(_DEALT))
 
             up = bare.groupBy("bucket").cogroup(heard.groupBy("bucket")).applyInArrow(after, _DEALT)
         up = _settled(up, "tables")
         sums = np.zeros(2 * (CONTEXTS + PARENTS) + 9)
-        for row in up.where("part < 0").mapInArrow(spread, "i int, v double").groupBy("i").agg(
+        for row in up.where(F.col("part") == _TOTALS).mapInArrow(spread, "i int, v double").groupBy("i").agg(
                 F.sum("v").alias("v")).collect():
             sums[row["i"]] = row["v"]
         if not history:
@@ -460,24 +475,26 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
         history = [*history, Totals(sums[:-5], below)]
         down = _settled(numbered.groupBy("part").cogroup(up.where("part >= 0").groupBy("part")).applyInArrow(
             add, "bucket int, part int, values binary"), "all-tables")
-        down = down.select("bucket", F.lit(-1 - k).cast("long").alias("chunk"), "part", "values")
-        heard = down if heard is None else heard.unionByName(down)
+        heard = down.unionByName(up.where(F.col("part") == _STATE).withColumnRenamed("sums", "values")).select(
+            "bucket", F.lit(-1 - k).cast("long").alias("chunk"), "part", "values")
+        if k == 0 or k > burn_in:
+            kept.append(heard)
     tokens, vocabulary = int(tokens), int(history[0].words)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         row = right.to_pylist()[0]
         asked = left.to_pylist()
-        customers, *tables = hear([r for r in asked if r["chunk"] < 0], unpack_array(row["edges"], np.int32))
+        told = [r for r in asked if r["chunk"] < 0]
+        tables, found, seating = hear(told, unpack_array(row["edges"], np.int32)), states(told), begin(row)
         word, at, counts = asked_pairs(row)
         seen = np.bincount(word, counts, row["n"]).astype(np.int64)
         known = np.where(seen > 0, np.cumsum(seen > 0) - 1, -1)[word]
         pair = np.where(counts > 0, np.cumsum(counts > 0) - 1, -1)
-        p, samples = np.zeros(len(word)), 0
-        for k, seating in seatings(row, history[:-1], tables, stirling):
-            if k >= burn_in:
-                samples += 1
-                p += seating.predictive(history[k + 1], customers, tables[k + 1], discount, known, at, pair)
-        p, rows = (p / samples).astype(np.float32), []
+        p = np.zeros(len(word))
+        for k in sorted(found):
+            seating.restore(found[k])
+            p += seating.predictive(history[k], tables[0][0], tables[k][-1], discount, known, at, pair)
+        p, rows = (p / len(found)).astype(np.float32), []
         for r in asked:
             if r["chunk"] >= 0:
                 own = np.cumsum(unpack_array(r["values"], np.int32))
@@ -504,7 +521,9 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 3, burn_in: int = 1,
 
     # Names of their own: Spark mixes up columns that both sides take from one table.
     asked_for = asks.select(F.col("bucket").alias("asked"), "chunk", F.lit(None).cast("int").alias("part"),
-                            F.col("places").alias("values")).unionByName(heard.withColumnRenamed("bucket", "asked"))
+                            F.col("places").alias("values"))
+    for known in kept:
+        asked_for = asked_for.unionByName(known.withColumnRenamed("bucket", "asked"))
     answered = asked_for.groupBy("asked").cogroup(bare.groupBy("bucket")).applyInArrow(
         answer, "chunk long, bucket int, seen binary, p binary")
     done = source.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(

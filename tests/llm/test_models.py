@@ -176,6 +176,33 @@ def test_language_model_over_whole_words_is_a_distribution():
                                       np.array(place)).sum() == pytest.approx(1.0)
 
 
+def test_a_stored_seating_goes_on_as_if_never_stored():
+    words, contexts, discount = 20, 40, 0.7
+    stirling = pitman_yor.log_stirling(discount), pitman_yor.log_stirling(0.4)
+
+    def begin():
+        rng = np.random.default_rng(6)
+        pairs = np.unique(rng.integers(0, words * contexts, 300))
+        known, word = np.unique(pairs // contexts, return_inverse=True)
+        return pitman_yor.WordSeating(word, pairs % contexts, rng.integers(1, 200, len(pairs)),
+                                      rng.choice([0, 1, 17, 1023], contexts), len(known))
+
+    def sweep(seating, k):
+        seating.sweep(pitman_yor.Totals(seating.base.totals(), 0.4), seating.tables(), discount, *stirling,
+                      np.random.default_rng(k))
+
+    through, state = begin(), None
+    for k in range(4):
+        sweep(through, k)
+        again = begin()
+        if state is not None:
+            again.restore(pitman_yor._unpack_counts(state))
+        sweep(again, k)
+        state = pitman_yor._pack_counts(again.state())
+        assert (again.state() == through.state()).all() and (again.base.totals() == through.base.totals()).all()
+        assert (again.tables() == through.tables()).all()
+
+
 def test_contexts_are_whole_words(spark):
     """Words that end alike, and whose endings share a hash, predict what follows each of them."""
     rows = [(i, f"xx{i % 40:02d}ab yy{i % 40}q") for i in range(800)]
