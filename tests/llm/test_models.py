@@ -1,6 +1,7 @@
 """Quality, language and language-model scores: held-out figures and plain Python versions."""
 
 import collections
+import itertools
 import math
 import zlib
 
@@ -224,6 +225,23 @@ def test_tables_are_drawn_from_their_conditional():
     assert math.exp(stirling[3, 2]) == pytest.approx(3 * (1 - discount))
 
 
+@pytest.mark.parametrize("discount", [0.3, 0.8])
+def test_tables_of_many_customers_follow_the_conditional(discount):
+    exact, short = pitman_yor.log_stirling(discount, 700), pitman_yor.log_stirling(discount)
+    t = np.arange(1, 701)
+    for n, a in itertools.product((65, 200, 700), (0.01, 1.0, 10.0, 80.0)):
+        logits = exact[n, 1:] + t * np.log(a)
+        weights = np.exp(logits - logits.max())
+        weights /= weights.sum()
+        mean = (weights * t).sum()
+        got = pitman_yor.draw_tables(np.full(20000, n), np.full(20000, a), discount, short, np.random.default_rng(3))
+        assert got.min() >= 1 and got.max() <= n
+        assert got.mean() == pytest.approx(mean, rel=0.03)
+        assert got.std() == pytest.approx(((weights * t * t).sum() - mean ** 2) ** 0.5, rel=0.3, abs=0.02)
+    got = pitman_yor.draw_tables(np.full(20000, 10 ** 9), np.full(20000, 6.0), discount, short, np.random.default_rng(4))
+    assert got.mean() == pytest.approx(1 + 6 / discount, rel=0.02)
+
+
 def test_language_model_without_training_or_documents(spark):
     docs = cases.documents(spark)
     got = pitman_yor.score(docs, F.lit(True)).collect()
