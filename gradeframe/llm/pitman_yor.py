@@ -18,16 +18,20 @@ Counts are gathered from all training documents.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
+import zlib
+from array import array
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm.chunks import (
-    by_bucket, chunk_count, pack_array, pack_words, packed, unpack_array, unpack_words, unpacked,
+    chunk_count, pack_array, pack_words, packed, unpack_array, unpack_words, unpacked,
 )
 from gradeframe.llm.common import stored
 
@@ -45,19 +49,27 @@ _DEALT = "part int, bucket int, sums binary"
 _TOTALS, _STATE = -1, -2  # in place of a part: a bucket's sums for the driver, and its seating
 
 
+# By the last byte and 256 times the one before.
+_ENDINGS = np.array([(last * 37 % 251 % PARENTS) * PER_PARENT + before * 29 % 251 % PER_PARENT
+                     for before in range(256) for last in range(256)])
+
+
 def context(word: bytes) -> int:
     """Ending of a word, the parent of its own context: of its last two bytes, grouped by the last.
 
     ``END`` stands for the beginning of a text.
     """
-    last = word[-1] if word else 0
-    before = word[-2] if len(word) > 1 else 0
-    return (last * 37 % 251 % PARENTS) * PER_PARENT + before * 29 % 251 % PER_PARENT
+    return int(_ENDINGS[_last_two(word)])
+
+
+def context_keys(words: list[bytes]) -> np.ndarray:
+    """The contexts that whole words are: 53 bits of a word's hash, then its ending."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(11)
+    return hashes.astype(np.int64) * CONTEXTS + _ENDINGS[np.fromiter(map(_last_two, words), np.int64, len(words))]
 
 
-def context_key(word: bytes) -> int:
-    """The context that a whole word is: 53 bits of its hash, then its ending."""
-    return (int.from_bytes(hashlib.blake2b(word, digest_size=7).digest(), "big") >> 3) * CONTEXTS + context(word)
+def _last_two(word: bytes) -> int:
+    return int.from_bytes(word[-2:], "big")
 
 
 def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
@@ -286,24 +298,29 @@ def _pair_counts(table: pa.Table):
     alike. Pairs come as word, place of the context's word, and training count, 0 if held out only;
     documents as id, whether trained, tokens' words and pairs.
     """
-    place: dict[bytes, int] = {END: 0}
-    seen, weights, docs = [], [], []
+    # Ends follow texts, so the token before a text's first is an end as well.
+    place: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    end = place[END]
+    seen, edges, docs = array("i"), [0], []
     for doc_id, trained, text in unpacked(table):
-        ids = [0, *[place.setdefault(w, len(place)) for w in _tokens(text)], 0]
-        seen.append(np.array(ids, np.int64))
-        weights.append(np.full(len(ids) - 1, trained))
+        seen.extend(map(place.__getitem__, _tokens(text)))
+        seen.append(end)
+        edges.append(len(seen))
         docs.append((doc_id, trained))
-    words = sorted(place)
+    seen = np.frombuffer(seen, np.int32)
+    words = list(place)
+    order = sorted(range(len(words)), key=words.__getitem__)
+    words = [words[i] for i in order]
     rank = np.empty(len(words), np.int64)
-    rank[np.fromiter((place[w] for w in words), np.int64, len(words))] = np.arange(len(words))
-    keys = np.fromiter(map(context_key, words), np.int64, len(words))
+    rank[order] = np.arange(len(words))
+    keys = context_keys(words)
     by_key = np.argsort(keys, kind="stable")
     key_rank = np.empty(len(words), np.int64)
     key_rank[by_key] = np.arange(len(words))
-    own = np.concatenate([rank[s[1:]] for s in seen])
-    pairs, back = np.unique(own * len(words) + key_rank[np.concatenate([rank[s[:-1]] for s in seen])], return_inverse=True)
-    counts = np.bincount(back, np.concatenate(weights), len(pairs)).astype(np.int64)
-    edges = np.cumsum([0, *[len(s) - 1 for s in seen]])
+    own = rank[seen]
+    pairs, back = np.unique(own * len(words) + key_rank[np.concatenate([rank[[end]], own[:-1]])], return_inverse=True)
+    trained = np.repeat([trained for _, trained in docs], np.diff(edges))
+    counts = np.bincount(back, trained, len(pairs)).astype(np.int64)
     return words, keys, pairs // len(words), by_key[pairs % len(words)], counts, [
         (doc_id, trained, own[a:b], back[a:b]) for (doc_id, trained), a, b in zip(docs, edges[:-1], edges[1:])]
 
@@ -311,8 +328,11 @@ def _pair_counts(table: pa.Table):
 def _dealt(words: list[bytes], word: np.ndarray, buckets: int):
     """(bucket, its words, pairs per word, its pairs) of a chunk, the last as indices."""
     first = np.searchsorted(word, np.arange(len(words) + 1))
-    for bucket, at in by_bucket(words, buckets).items():
-        at = np.array(at)
+    bucket_of = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+    order = np.argsort(bucket_of, kind="stable")
+    stops = np.searchsorted(bucket_of[order], np.arange(buckets + 1))
+    for bucket in np.flatnonzero(np.diff(stops)).tolist():
+        at = order[stops[bucket]:stops[bucket + 1]]
         n = first[at + 1] - first[at]
         yield bucket, at, n, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
 
